@@ -8,15 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .license_scan import digest as license_digest
+from .license_scan import scan_licenses
 from .token_counts import count_tokens
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wanted = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    return license_digest(scan_licenses(docs)).select(*wanted)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
