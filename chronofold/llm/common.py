@@ -88,7 +88,7 @@ def append_columns(
                 ins = [part.column(n_kept + k).to_pylist() for k in range(len(temp))]
                 made = apply(*ins)
                 columns = [part.column(k) for k in range(n_kept)]
-                columns += [pa.array(v, type=arrow.field(n_kept + k).type) for k, v in enumerate(made)]
+                columns += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n_kept + k).type) for k, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(
                     [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )

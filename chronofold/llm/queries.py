@@ -7,25 +7,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import byte_bpe, language_id
 from .common import table
 from .license_scan import digest as license_digest
 from .license_scan import scan_licenses
 from .token_counts import count_tokens
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     wanted = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     return license_digest(scan_licenses(docs)).select(*wanted)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.held_out_rows()
+    model = language_id.train(docs, held_out)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language_id.predict(rows, model)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
+    "op8_language_id": op8_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
