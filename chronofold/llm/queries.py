@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id
+from . import byte_bpe, language_id, mixing
 from .common import table
 from .license_scan import digest as license_digest
 from .license_scan import scan_licenses
@@ -26,6 +26,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(docs)).select(*wanted)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.held_out_rows()
@@ -42,8 +47,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
+    "op5_mixing": op5_mixing,
     "op8_language_id": op8_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # the schedule is not in it: whatever the order of slots, a source's line is taken from its start to its target
+    "op5_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   md5(concat_ws('|', '5', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS key
+            FROM documents),
+        sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        weighed AS (
+            SELECT *, [1.0::DOUBLE, 2.0, 3.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+                   CAST(source_size * 3 AS DOUBLE) AS cap
+            FROM sizes),
+        levels AS (
+            SELECT *, cap / weight AS ratio,
+                   (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0))
+                   / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM weighed
+            WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        filled AS (
+            SELECT (SELECT level FROM levels WHERE level * weight <= cap ORDER BY ratio, source NULLS LAST LIMIT 1) AS level),
+        targets AS (
+            SELECT source, source_size, least(coalesce(filled.level * weight, cap), cap) AS target FROM levels, filled),
+        laid AS (
+            SELECT doc_id, source, size, coalesce(sum(size) OVER (
+                PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM sized)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(list_sum([greatest(0, least(start + size, floor(target) - e * source_size) - start) FOR e IN [0, 1, 2]]) AS BIGINT) AS taken
+        FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
+    """,
+}
