@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, mixing, quality_rules
+from . import byte_bpe, fingerprints, language_id, mixing, pii, quality_rules
 from .common import table
 from .license_scan import digest as license_digest
 from .license_scan import scan_licenses
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.held_out_rows()
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
