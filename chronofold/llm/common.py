@@ -38,6 +38,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Ranges:
+    """Ranges of ids, from the smallest on (null ids last), with about equally many rows each."""
+
+    def __init__(self, ids: DataFrame, column: str, per_partition: int):
+        n = shuffle_partitions(ids.sparkSession) * per_partition
+        at = [k / n for k in range(1, n)]
+        self.key = F.col(column).cast("double")
+        found = ids.agg(F.percentile_approx(self.key, at, 100 * n)).first()[0]
+        self.cuts: list[float] = sorted(set(found or []))
+        self.count = len(self.cuts) + 2
+
+    def number(self) -> F.Column:
+        """The range of a row's id: found in steps of the square root of their number, as Spark has no binary search."""
+        step = max(1, int(len(self.cuts) ** 0.5))
+        key = self.key
+        coarse = F.array(*[F.lit(x) for x in self.cuts[::step]]).cast("array<double>")
+        fine = F.array(*[F.array(*[F.lit(x) for x in self.cuts[k : k + step]]) for k in range(0, len(self.cuts), step)]).cast("array<array<double>>")
+        at = F.size(F.filter(coarse, lambda x: x < key))
+        inner = F.coalesce(F.size(F.filter(F.get(fine, at - 1), lambda x: x < key)), F.lit(0))
+        return F.when(key.isNull(), F.lit(self.count - 1)).when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+
+
 def utf8(column) -> F.Column:
     """The text's UTF-8 bytes; empty for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
