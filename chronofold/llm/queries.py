@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, mixing, pii, quality_rules, substring_dedup
+from . import byte_bpe, fingerprints, language_id, mixing, ngram_join, pii, quality_rules, substring_dedup
 from .common import table
 from .license_scan import digest as license_digest
 from .license_scan import scan_licenses
@@ -41,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
