@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import byte_bpe, language_id, mixing, ngram_join, pii
+from chronofold.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Probability of the likeliest language under which a document goes.
@@ -32,7 +33,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.join(docs)
+    linked = materialize(ngram_join.join(docs))
     others = linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     kept = docs.join(others, "doc_id", "left_anti")
