@@ -35,8 +35,8 @@ WINDOW = 20
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Words of an anchor at least, so that chance doesn't repeat it.
 LEAST_ANCHOR = 8
-#: Parts a shuffle partition.
-SPREAD = 3
+#: Parts (and buckets) a shuffle partition. Each part sends a row to each bucket, so their number counts squared.
+SPREAD = 2
 SLICE_BYTES = 8 << 20
 
 OUTPUT = "id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept string"
