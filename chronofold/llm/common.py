@@ -9,6 +9,7 @@ needs is replaced by the result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,7 +36,11 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronofold-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # shuffle files of finished steps go when the driver collects what held them, else only by chance
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 class Ranges:

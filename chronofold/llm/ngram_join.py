@@ -44,10 +44,12 @@ THRESHOLD = Fraction(4, 5)
 #: Sizes at the top of one band and of the next, in proportion.
 BAND = 1.6
 #: Bits of the sketch that pairs are tried by before their sets are fetched.
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 
-GROUP = "kind int, members array<bigint>, ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>"
-SETS = "node bigint, size bigint, sketch array<bigint>, shingles binary"
+#: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, bit sketch of a node.
+DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, sketches array<array<bigint>>"
+GROUP = f"kind int, members array<bigint>, {DESCRIBED}"
+SETS = "node bigint, shingles binary"
 
 
 def bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
@@ -146,7 +148,12 @@ def _node(part: int, rows: np.ndarray) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + rows.astype(np.int64)
 
 
-_GROUP = pa.schema([("kind", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("members", "ids", "sizes", "nodes", "firsts", "seconds"))])
+_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")), ("sketches", pa.list_(pa.list_(pa.int64())))]
+_GROUP = pa.schema([("kind", pa.int32()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
+
+
+def _nothing(n: int) -> list[pa.Array]:
+    return [pa.nulls(n, t) for _, t in _DESCRIBED]
 
 
 def _find_groups(table):
@@ -161,18 +168,39 @@ def _find_groups(table):
     for k in np.flatnonzero(np.diff(edges) > 1).tolist():
         groups.add(tuple(nodes[edges[k] : edges[k + 1]].tolist()))
     out = sorted(groups)
-    return pa.table([pa.array([1] * len(out), pa.int32()), pa.array(out, pa.list_(pa.int64())), *[pa.array([None] * len(out), pa.list_(pa.int64()))] * 5], schema=_GROUP)
+    return pa.table([pa.array([1] * len(out), pa.int32()), pa.array(out, pa.list_(pa.int64())), *_nothing(len(out))], schema=_GROUP)
+
+
+def _near(table, threshold: Fraction):
+    """For each row of a group: which later rows sizes and bit sketches allow to be alike."""
+    a, b = threshold.numerator, threshold.denominator
+    sizes = table.column("size").to_numpy()
+    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(sizes), -1)
+    for k in range(len(sizes)):
+        differ = np.bitwise_count(sketch[k + 1 :] ^ sketch[k]).sum(1, dtype=np.int64)
+        small, large = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
+        yield k, (small * b >= large * a) & (differ * (a + b) <= (small + large) * (b - a))
+
+
+def _facts(found: DataFrame) -> DataFrame:
+    """node, size, sketch."""
+    each = found.where("kind = 0").select(F.explode(F.arrays_zip("nodes", "sizes", "sketches")).alias("d"))
+    return each.where("d.nodes IS NOT NULL").select(F.col("d.nodes").alias("node"), F.col("d.sizes").alias("size"), F.col("d.sketches").alias("sketch"))
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """group, members."""
+    return found.where("kind = 1").select(F.xxhash64("members").alias("group"), "members")
 
 
 def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One table of the documents (kind 0, a row a part), the groups (kind 1) and the sets of their members (kind 2)."""
+    """One table of the documents (kind 0, a row a part), the groups (kind 1), and the sets of those members that may be alike to another (kind 2)."""
     rows = docs.select("id", "raw")
     ranges = Ranges(rows.select("id"), "id", SPREAD)
     n = ranges.count
     dealt = rows.withColumn("part", ranges.number())
-    sent = SENT + ", ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>"
-    lists = [("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("seconds", pa.list_(pa.int64()))]
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *lists])
+    sent = f"{SENT}, {DESCRIBED}"
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *_DESCRIBED])
 
     def send_signatures(key, table):
         p = Part(table, k)
@@ -191,16 +219,16 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         hashes, whose = part_hashes(flat[keep], sizes[mine], threshold)
         order = np.argsort(hashes)
         table = _send(part, n, hashes[order], np.flatnonzero(mine)[whose[order]].astype(np.uint32))
-        # a document's row: its id, its set's size and signature, and its node if the set's first document is this one
         nodes = [int(x) if m else None for x, m in zip(_node(part, np.arange(len(sizes))), mine, strict=True)]
-        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist()]
-        out = pa.table([*table.columns, *[pa.array([None] * len(table), pa.list_(pa.int64()))] * 5], schema=schema)
-        row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], pa.list_(pa.int64())) for x in described)]
+        sketches = iter(bit_sketch(flat[keep], sizes[mine]).tolist() if mine.any() else [])
+        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), [next(sketches) if m else None for m in mine]]
+        out = pa.table([*table.columns, *_nothing(len(table))], schema=schema)
+        row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], t) for x, (_, t) in zip(described, _DESCRIBED, strict=True))]
         return pa.concat_tables([out, pa.table(row, schema=schema)])
 
     def bucket(table):
         if table.column("bucket")[0].as_py() < 0:  # a part's documents
-            described = [table.column(c).cast(pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")]
+            described = [table.column(c).cast(t) for c, t in _DESCRIBED]
             return pa.table([pa.array([0] * len(table), pa.int32()), pa.array([None] * len(table), pa.list_(pa.int64())), *described], schema=_GROUP)
         return _find_groups(table)
 
@@ -210,39 +238,39 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         flat, sizes = p.sets(at)
         ends = np.cumsum(sizes)
         blobs = [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        sketches = bit_sketch(flat, sizes).tolist() if at else []
-        return pa.table(
-            {
-                "node": pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()),
-                "size": pa.array(sizes.astype(np.int64)),
-                "sketch": pa.array(sketches, pa.list_(pa.int64())),
-                "shingles": pa.array(blobs, pa.binary()),
-            }
-        )
+        return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+
+    def near_nodes(table):
+        nodes = table.column("node").to_numpy()
+        alike = np.zeros(len(nodes), bool)
+        for j, ok in _near(table, threshold):
+            alike[j] |= ok.any()
+            alike[j + 1 :] |= ok
+        return pa.table([pa.array(nodes[alike], pa.int64())], names=["node"])
 
     signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
     owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, sent)
     found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
-    wanted = found.where("kind = 1").select(F.explode("members").alias("node")).distinct()
+    rows = _members(found).select("group", F.explode("members").alias("node")).join(_facts(found), "node")
+    wanted = rows.groupBy("group").applyInArrow(near_nodes, "node bigint").distinct()
     wanted = wanted.withColumn("part", F.shiftright("node", 32).cast("int"))
     sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
     return materialize(found.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (x, y) that are alike; sets are fetched only for those that sizes and bit sketches leave over."""
     a, b = threshold.numerator, threshold.denominator
-    s = sets.select("node", "size", "sketch", "shingles")
-    left = s.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("sketch").alias("sketch_x"))
-    right = s.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("sketch").alias("sketch_y"))
+    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("sketch").alias("sketch_x"))
+    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("sketch").alias("sketch_y"))
     both = pairs.join(left, "x").join(right, "y")
     total = F.col("size_x") + F.col("size_y")
     differ = F.aggregate(F.zip_with("sketch_x", "sketch_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
     close = (F.least("size_x", "size_y") * b >= F.greatest("size_x", "size_y") * a) & (differ * (a + b) <= total * (b - a))
     near = both.where(close).select("x", "y")
-    near = near.join(s.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x")
-    near = near.join(s.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y").select("x", "y", "set_x", "set_y")
+    near = near.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x")
+    near = near.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y").select("x", "y", "set_x", "set_y")
 
     def alike(batches):
         for batch in batches:
@@ -283,37 +311,30 @@ def _rest(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "group")
 
 
-def _last_pairs(rest: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of a group with different labels that sizes and bit sketches leave over, each sought in blocks."""
-    a, b = threshold.numerator, threshold.denominator
+def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of a group with different labels that sizes and bit sketches leave over."""
 
     def pairs(table):
-        table = table.sort_by([("label", "ascending"), ("node", "ascending")])
-        nodes, labels, sizes = (table.column(c).to_numpy() for c in ("node", "label", "size"))
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(nodes), -1)
+        nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
         out = [np.zeros((0, 2), np.int64)]
-        for k in range(len(nodes)):
-            after = slice(int(np.searchsorted(labels, labels[k], "right")), None)
-            differ = np.bitwise_count(sketch[after] ^ sketch[k]).sum(1, dtype=np.int64)
-            small, large = np.minimum(sizes[after], sizes[k]), np.maximum(sizes[after], sizes[k])
-            ok = (small * b >= large * a) & (differ * (a + b) <= (small + large) * (b - a))
-            other = nodes[after][ok]
+        for k, ok in _near(table, threshold):
+            other = nodes[k + 1 :][ok & (labels[k + 1 :] != labels[k])]
             out.append(np.stack([np.minimum(other, nodes[k]), np.maximum(other, nodes[k])], 1))
         every = np.concatenate(out)
-        return pa.table({"x": pa.array(every[:, 0]), "y": pa.array(every[:, 1])})
+        return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
 
-    return rest.join(sets.select("node", "size", "sketch"), "node").groupBy("group").applyInArrow(pairs, "x bigint, y bigint").distinct()
+    return rest.join(facts, "node").groupBy("group").applyInArrow(pairs, "x bigint, y bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id, n_shingles, component_id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
     found = _groups(rows, k, threshold)
-    groups = found.where("kind = 1").select(F.xxhash64("members").alias("group"), "members")
-    sets = materialize(found.where("kind = 2").select("node", "size", "sketch", "shingles").repartition("node"))
+    groups, facts = _members(found), _facts(found)
+    sets = materialize(found.where("kind = 2").select("node", "shingles").repartition("node"))
     labels = sets.select("node", F.col("node").alias("label"))
     star = groups.select(F.get("members", F.lit(0)).alias("x"), F.explode(F.slice("members", 2, 1 << 30)).alias("y")).distinct()
-    links = materialize(verified(star, sets, threshold))
+    links = materialize(verified(star, facts, sets, threshold))
     labels = components(labels, links)
     rest = materialize(_rest(groups, labels))
     if not rest.isEmpty():
@@ -321,9 +342,9 @@ def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_
         ranked = rest.join(degrees, "node", "left").groupBy("group").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "node", "label")).alias("hub"))
         hubs = rest.join(ranked, "group").where(F.col("label") != F.col("hub.label"))
         star = hubs.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
-        labels = components(labels, materialize(verified(star, sets, threshold)))
-        last = _last_pairs(_rest(groups, labels), sets, threshold)
-        labels = components(labels, materialize(verified(last, sets, threshold)))
+        labels = components(labels, materialize(verified(star, facts, sets, threshold)))
+        last = _last_pairs(_rest(groups, labels), facts, threshold)
+        labels = components(labels, materialize(verified(last, facts, sets, threshold)))
 
     described = F.arrays_zip("ids", "sizes", "nodes", "firsts", "seconds")
     d = found.where("kind = 0").select(F.explode(described).alias("d")).select("d.*").toDF("id", "n_shingles", "node", "first", "second")
