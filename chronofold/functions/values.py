@@ -17,12 +17,17 @@ def field(document: Column, name: str, kind: str = "string") -> Column:
 def stamped(document: Column, topic: Column | str) -> Column:
     """The document with its topic in its metadata, which is made if there is none. Field order may change; a text that is no object is null."""
     topic = F.lit(topic) if isinstance(topic, str) else topic
-    whole = F.from_json(document, "map<string,string>")
-    inner = F.coalesce(F.from_json(F.get(F.array(whole[METADATA]), F.lit(0)), "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
-    entry = F.to_json(F.map_concat(F.map_filter(inner, lambda k, _: k != ENTITY), F.create_map(F.lit(ENTITY), topic)))
-    rest = F.rtrim(F.regexp_replace(F.trim(document), r"\}$", ""))
+    fields = "map<string,variant>"
+    whole = F.from_json(document, fields)
+    none = F.from_json(F.lit("{}"), fields)
+    inner = F.coalesce(F.try_variant_get(F.try_element_at(whole, F.lit(METADATA)), "$", fields), none)
+    stamp = F.create_map(F.lit(ENTITY), F.to_variant_object(F.create_map(F.lit("v"), topic)))
+    stamp = F.transform_values(stamp, lambda _, v: F.variant_get(v, "$.v", "variant"))
+    entry = F.to_json(F.map_concat(F.map_filter(inner, lambda k, _: k != ENTITY), stamp))
+    rest = F.regexp_replace(F.trim(document), r"\s*\}$", "")
     simple = F.concat(rest, F.when(rest.endswith("{"), "").otherwise(","), F.lit(f'"{METADATA}":'), entry, F.lit("}"))
-    replaced = F.to_json(F.map_concat(F.map_filter(whole, lambda k, _: k != METADATA), F.create_map(F.lit(METADATA), entry)))
+    others = F.map_filter(whole, lambda k, _: k != METADATA)
+    replaced = F.to_json(F.map_concat(others, F.create_map(F.lit(METADATA), F.parse_json(entry))))
     return F.when(whole.isNull(), F.lit(None)).when(F.map_contains_key(whole, METADATA), replaced).otherwise(simple)
 
 
