@@ -36,18 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ranges, materialize, slices, utf8
-from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges
+from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges, buckets
 from .wordhash import Words, mix, runs
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 #: Sizes at the top of one band and of the next, in proportion.
 BAND = 1.6
-#: Bits of the sketch that pairs are tried by before their sets are fetched.
-SKETCH_BITS = 1024
+#: Bits of the sketch that pairs are tried by before their sets are fetched: the power of two not under the size, in these bounds.
+LEAST_BITS, MOST_BITS = 64, 4096
+#: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
+HASH_BYTES = 6
 
 #: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, bit sketch of a node.
-DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, sketches array<array<bigint>>"
+DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, sketches array<binary>"
 GROUP = f"kind int, members array<bigint>, {DESCRIBED}"
 SETS = "node bigint, shingles binary"
 
@@ -137,18 +139,29 @@ def part_hashes(flat: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tup
     return (np.concatenate(found), np.concatenate(whose)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def bit_sketch(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by bit, as 64-bit numbers."""
-    bit = (mix(flat + np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    held = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * SKETCH_BITS + bit, minlength=len(sizes) * SKETCH_BITS) & 1
-    return np.packbits(held.astype(bool).reshape(len(sizes), SKETCH_BITS), axis=1).view(np.int64)
+def bit_sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parities of each set's shingles by bit. The sketch of half the width is the XOR of the halves (see `narrowed`)."""
+    out, hashes, end = [], mix(flat + np.uint64(0x8EBC6AF09C88C6E3)), 0
+    for n in sizes.tolist():
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
+        held = np.bincount((hashes[end : end + n] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(held.astype(bool)).tobytes())
+        end += n
+    return out
+
+
+def narrowed(sketches: list[bytes]) -> np.ndarray:
+    """The sketches, all at the width of the narrowest, as rows of 64-bit numbers."""
+    width = min(map(len, sketches), default=LEAST_BITS // 8)
+    rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches]
+    return np.array(rows, np.uint64).reshape(len(sketches), -1)
 
 
 def _node(part: int, rows: np.ndarray) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + rows.astype(np.int64)
 
 
-_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")), ("sketches", pa.list_(pa.list_(pa.int64())))]
+_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")), ("sketches", pa.list_(pa.binary()))]
 _GROUP = pa.schema([("kind", pa.int32()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
 
 
@@ -156,12 +169,22 @@ def _nothing(n: int) -> list[pa.Array]:
     return [pa.nulls(n, t) for _, t in _DESCRIBED]
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def _find_groups(table):
     """In a bucket: nodes that sent one hash, as a group; the rows that describe documents pass through."""
     groups, out = set(), []
     raw = [r for r in zip(*(table.column(c).to_pylist() for c in ("part", "hashes", "more")), strict=True)]
-    hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in raw])
-    nodes = np.concatenate([_node(p, np.frombuffer(m, np.uint32)) for p, _, m in raw])
+    hashes = np.concatenate([_unpacked(h) for _, h, _ in raw])
+    nodes = np.concatenate([_node(p, np.frombuffer(m, f"<u{len(m) * HASH_BYTES // len(h)}")) for p, h, m in raw])
     order = np.lexsort((nodes, hashes))
     hashes, nodes = hashes[order], nodes[order]
     edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
@@ -175,7 +198,7 @@ def _near(table, threshold: Fraction):
     """For each row of a group: which later rows sizes and bit sketches allow to be alike."""
     a, b = threshold.numerator, threshold.denominator
     sizes = table.column("size").to_numpy()
-    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(len(sizes), -1)
+    sketch = narrowed(table.column("sketch").to_pylist())
     for k in range(len(sizes)):
         differ = np.bitwise_count(sketch[k + 1 :] ^ sketch[k]).sum(1, dtype=np.int64)
         small, large = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
@@ -188,16 +211,11 @@ def _facts(found: DataFrame) -> DataFrame:
     return each.where("d.nodes IS NOT NULL").select(F.col("d.nodes").alias("node"), F.col("d.sizes").alias("size"), F.col("d.sketches").alias("sketch"))
 
 
-def _members(found: DataFrame) -> DataFrame:
-    """group, members."""
-    return found.where("kind = 1").select(F.xxhash64("members").alias("group"), "members")
-
-
 def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One table of the documents (kind 0, a row a part), the groups (kind 1), and the sets of those members that may be alike to another (kind 2)."""
+    """One table of the documents (kind 0, a row a part), those members of groups that may be alike to another one (kind 1), and their sets (kind 2)."""
     rows = docs.select("id", "raw")
     ranges = Ranges(rows.select("id"), "id", SPREAD)
-    n = ranges.count
+    n = buckets(docs.sparkSession)
     dealt = rows.withColumn("part", ranges.number())
     sent = f"{SENT}, {DESCRIBED}"
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *_DESCRIBED])
@@ -218,11 +236,15 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         keep = np.repeat(mine, sizes)
         hashes, whose = part_hashes(flat[keep], sizes[mine], threshold)
         order = np.argsort(hashes)
-        table = _send(part, n, hashes[order], np.flatnonzero(mine)[whose[order]].astype(np.uint32))
+        hashes, rows = hashes[order], np.flatnonzero(mine)[whose[order]].astype("<u2" if len(sizes) <= 1 << 16 else "<u4")
+        edges = bucket_edges(hashes, n)
+        full = np.flatnonzero(np.diff(edges))
+        runs_ = [slice(edges[j], edges[j + 1]) for j in full]
+        sent_rows = [pa.array(full.astype(np.int32)), pa.array([part] * len(full), pa.int32()), pa.array([_packed(hashes[r]) for r in runs_], pa.binary()), pa.array([rows[r].tobytes() for r in runs_], pa.binary())]
         nodes = [int(x) if m else None for x, m in zip(_node(part, np.arange(len(sizes))), mine, strict=True)]
-        sketches = iter(bit_sketch(flat[keep], sizes[mine]).tolist() if mine.any() else [])
+        sketches = iter(bit_sketches(flat[keep], sizes[mine]))
         described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), [next(sketches) if m else None for m in mine]]
-        out = pa.table([*table.columns, *_nothing(len(table))], schema=schema)
+        out = pa.table([*sent_rows, *_nothing(len(full))], schema=schema)
         row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], t) for x, (_, t) in zip(described, _DESCRIBED, strict=True))]
         return pa.concat_tables([out, pa.table(row, schema=schema)])
 
@@ -240,34 +262,34 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         blobs = [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
         return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    def near_nodes(table):
+    def near_members(table):
         nodes = table.column("node").to_numpy()
         alike = np.zeros(len(nodes), bool)
         for j, ok in _near(table, threshold):
             alike[j] |= ok.any()
             alike[j + 1 :] |= ok
-        return pa.table([pa.array(nodes[alike], pa.int64())], names=["node"])
+        return table.select(["group", "node"]).filter(pa.array(alike))
 
     signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
     owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, sent)
     found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
-    rows = _members(found).select("group", F.explode("members").alias("node")).join(_facts(found), "node")
-    wanted = rows.groupBy("group").applyInArrow(near_nodes, "node bigint").distinct()
-    wanted = wanted.withColumn("part", F.shiftright("node", 32).cast("int"))
+    members = found.where("kind = 1").select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"))
+    near = members.join(_facts(found), "node").groupBy("group").applyInArrow(near_members, "group bigint, node bigint")
+    near = near.distinct()
+    wanted = near.select("node").distinct().withColumn("part", F.shiftright("node", 32).cast("int"))
     sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
-    return materialize(found.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
+    whole = found.where("kind = 0").unionByName(near.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return materialize(whole.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
 
 
 def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (x, y) that are alike; sets are fetched only for those that sizes and bit sketches leave over."""
+    """The pairs (x, y) that are alike; sets are fetched only for those whose sizes allow it."""
     a, b = threshold.numerator, threshold.denominator
-    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("sketch").alias("sketch_x"))
-    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("sketch").alias("sketch_y"))
+    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"))
+    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"))
     both = pairs.join(left, "x").join(right, "y")
-    total = F.col("size_x") + F.col("size_y")
-    differ = F.aggregate(F.zip_with("sketch_x", "sketch_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-    close = (F.least("size_x", "size_y") * b >= F.greatest("size_x", "size_y") * a) & (differ * (a + b) <= total * (b - a))
+    close = F.least("size_x", "size_y") * b >= F.greatest("size_x", "size_y") * a
     near = both.where(close).select("x", "y")
     near = near.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x")
     near = near.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y").select("x", "y", "set_x", "set_y")
@@ -306,7 +328,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _rest(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """group, node, label of the groups whose members have more than one label."""
-    rows = groups.select("group", F.explode("members").alias("node")).join(labels, "node")
+    rows = groups.join(labels, "node")
     several = rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("group")
     return rows.join(several, "group")
 
@@ -330,10 +352,11 @@ def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_
     """A row a document: id, n_shingles, component_id."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
     found = _groups(rows, k, threshold)
-    groups, facts = _members(found), _facts(found)
+    groups, facts = found.where("kind = 1").select("group", "node"), _facts(found)
     sets = materialize(found.where("kind = 2").select("node", "shingles").repartition("node"))
     labels = sets.select("node", F.col("node").alias("label"))
-    star = groups.select(F.get("members", F.lit(0)).alias("x"), F.explode(F.slice("members", 2, 1 << 30)).alias("y")).distinct()
+    centres = groups.groupBy("group").agg(F.min("node").alias("x"))
+    star = groups.join(centres, "group").where("node != x").select("x", F.col("node").alias("y")).distinct()
     links = materialize(verified(star, facts, sets, threshold))
     labels = components(labels, links)
     rest = materialize(_rest(groups, labels))

@@ -375,14 +375,14 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the spans in its text replaced."""
-    field = T.StructType([T.StructField("masked", T.StringType())])
+    field = T.StructType([T.StructField("__masked", T.StringType())])
 
     def make():
         finder = Finder()
         return lambda texts: [[None if t is None else masked(t, s) for t, s in zip(texts, finder.find([t or "" for t in texts]), strict=True)]]
 
     masked_docs = append_columns(docs, make, [(text_col, F.col(text_col))], field)
-    return masked_docs.withColumn(text_col, F.col("masked")).select(*docs.columns)
+    return masked_docs.withColumn(text_col, F.col("__masked")).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

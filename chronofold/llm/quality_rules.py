@@ -74,8 +74,8 @@ def _repeated(windows: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without its text, with COUNTS and the features that rules may test."""
-    kept = [c for c in docs.columns if c != text_col and c not in COUNTS and not c.startswith("f_")]
+    """`docs` without its text, with COUNTS and the features that rules may test. Columns named _... or f_... go."""
+    kept = [c for c in docs.columns if c != text_col and c not in COUNTS and not c.startswith(("f_", "_"))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     # all white space between words as one space; where it is one already, nothing is replaced
     plain = F.trim(F.regexp_replace(text, rf"\x20[{GAP}]+|[\x09-\x0D][{GAP}]*", " "))

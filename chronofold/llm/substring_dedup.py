@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, slices, utf8
+from .common import Ranges, shuffle_partitions, slices, utf8
 from .wordhash import Words, mix, runs
 
 WINDOW = 20
@@ -35,7 +35,7 @@ WINDOW = 20
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Words of an anchor at least, so that chance doesn't repeat it.
 LEAST_ANCHOR = 8
-#: Parts (and buckets) a shuffle partition. Each part sends a row to each bucket, so their number counts squared.
+#: Parts a shuffle partition. Each part sends a row to each bucket, so there are fewer of those: one to two partitions.
 SPREAD = 2
 SLICE_BYTES = 8 << 20
 
@@ -52,6 +52,10 @@ def bucket_edges(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, lows), len(hashes))
 
 
+def buckets(spark: SparkSession) -> int:
+    return max(1, shuffle_partitions(spark) // 2)
+
+
 class Part:
     """The documents of a part: their anchors, and the windows that repeated anchors lead to."""
 
@@ -183,7 +187,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     """A row a document: id, n_words, n_removed, removed (runs of word numbers, end exclusive) and kept (words joined by one space)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
     ranges = Ranges(rows.select("id"), "id", SPREAD)
-    n = ranges.count
+    n = buckets(docs.sparkSession)
     dealt = rows.withColumn("part", ranges.number())
 
     def send_anchors(key, table):
