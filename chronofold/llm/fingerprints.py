@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 #: Letters and marks after which white space ends a piece.
-ENDINGS = r"nrNR\p{Punct}"
+ENDINGS = r"nrkxzNRKXZ0-9\p{Punct}"
 #: Buckets a shuffle partition, so that partitions get about equally many of them.
 SPREAD = 8
 
