@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import Ranges
 
 #: Letters and marks after which white space ends a piece.
 ENDINGS = r"nrkxzNRKXZ0-9\p{Punct}"
@@ -90,20 +90,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text, and the text of the next document by descending id (after the last one: of the first)."""
-    spark = docs.sparkSession
-    key = F.col("id").cast("double")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.select(F.col(id_col).alias("id"))
-    n = shuffle_partitions(spark) * SPREAD
-    found = ids.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 100 * n)).first()[0]
-    cuts = sorted(set(found or []), reverse=True)
-    # buckets from the largest ids (0) to the smallest and then null, found in steps of the square root of their number
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(x) for x in cuts[::step]]).cast("array<double>")
-    fine = F.array(*[F.array(*[F.lit(x) for x in cuts[k : k + step]]) for k in range(0, len(cuts), step)]).cast("array<array<double>>")
-    at = F.size(F.filter(coarse, lambda x: x > key))
-    inner = F.coalesce(F.size(F.filter(F.get(fine, at - 1), lambda x: x > key)), F.lit(0))
-    bucket = F.when(key.isNull(), F.lit(len(cuts) + 1)).when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+    ranges = Ranges(ids, "id", SPREAD)
+    # from the largest ids (0) to the smallest, then null
+    bucket = F.when(F.col("id").isNull(), ranges.count).otherwise(ranges.count - 1 - ranges.number())
 
     # the first id of each bucket there is, and the bucket that it visits: the one before, for the very first the last
     heads = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
