@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, materialize, slices, utf8
+from .common import Ranges, materialize, shuffle_partitions, slices, utf8
 from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges, buckets
 from .wordhash import Words, mix, runs
 
@@ -194,15 +194,20 @@ def _find_groups(table):
     return pa.table([pa.array([1] * len(out), pa.int32()), pa.array(out, pa.list_(pa.int64())), *_nothing(len(out))], schema=_GROUP)
 
 
-def _near(table, threshold: Fraction):
-    """For each row of a group: which later rows sizes and bit sketches allow to be alike."""
+def _compatible(sketch: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Whether sizes and bit sketches (of one width) allow sets to be alike."""
     a, b = threshold.numerator, threshold.denominator
-    sizes = table.column("size").to_numpy()
-    sketch = narrowed(table.column("sketch").to_pylist())
-    for k in range(len(sizes)):
-        differ = np.bitwise_count(sketch[k + 1 :] ^ sketch[k]).sum(1, dtype=np.int64)
-        small, large = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
-        yield k, (small * b >= large * a) & (differ * (a + b) <= (small + large) * (b - a))
+    differ = np.bitwise_count(sketch ^ other).sum(-1, dtype=np.int64)
+    return (np.minimum(size, other_size) * b >= np.maximum(size, other_size) * a) & (differ * (a + b) <= (size + other_size) * (b - a))
+
+
+def _by_group(table):
+    """The rows of each of the groups of a table: (slice of the sorted table, their sizes, their sketches at one width)."""
+    table = table.sort_by([("group", "ascending"), ("node", "ascending")])
+    groups, sizes, raw = table.column("group").to_numpy(), table.column("size").to_numpy(), table.column("sketch").to_pylist()
+    edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])).tolist()
+    each = [(slice(i, j), sizes[i:j], narrowed(raw[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
+    return table, each
 
 
 def _facts(found: DataFrame) -> DataFrame:
@@ -263,11 +268,14 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
     def near_members(table):
-        nodes = table.column("node").to_numpy()
-        alike = np.zeros(len(nodes), bool)
-        for j, ok in _near(table, threshold):
-            alike[j] |= ok.any()
-            alike[j + 1 :] |= ok
+        table, groups = _by_group(table)
+        alike = np.zeros(len(table), bool)
+        for at, size, sketch in groups:
+            mine = alike[at]
+            for j in range(len(size) - 1):
+                ok = _compatible(sketch[j], size[j], sketch[j + 1 :], size[j + 1 :], threshold)
+                mine[j] |= ok.any()
+                mine[j + 1 :] |= ok
         return table.select(["group", "node"]).filter(pa.array(alike))
 
     signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
@@ -275,22 +283,32 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, sent)
     found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
     members = found.where("kind = 1").select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"))
-    near = members.join(_facts(found), "node").groupBy("group").applyInArrow(near_members, "group bigint, node bigint")
-    near = near.distinct()
-    wanted = near.select("node").distinct().withColumn("part", F.shiftright("node", 32).cast("int"))
+    # many groups go to one call; the exchange by node serves both uses of the result, so it keeps all columns
+    bundle = F.pmod("group", F.lit(8 * shuffle_partitions(docs.sparkSession))).alias("bundle")
+    near = members.join(_facts(found), "node").groupBy(bundle).applyInArrow(near_members, "group bigint, node bigint").repartition("node")
+    wanted = near.groupBy("node").agg(F.min("group").alias("group")).withColumn("part", F.shiftright("node", 32).cast("int"))
     sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
     whole = found.where("kind = 0").unionByName(near.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     return materialize(whole.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
 
 
 def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (x, y) that are alike; sets are fetched only for those whose sizes allow it."""
+    """The pairs (x, y) that are alike; sets are fetched only for those that sizes and bit sketches leave over."""
     a, b = threshold.numerator, threshold.denominator
-    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"))
-    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"))
-    both = pairs.join(left, "x").join(right, "y")
-    close = F.least("size_x", "size_y") * b >= F.greatest("size_x", "size_y") * a
-    near = both.where(close).select("x", "y")
+    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("sketch").alias("sketch_x"))
+    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("sketch").alias("sketch_y"))
+
+    def compatible(batches):
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in (2, 4)]
+            keep = [
+                bool(_compatible(*(two := narrowed([p, q]))[:1], m, two[1:], n, threshold)[0])
+                for p, q, m, n in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), *sizes, strict=True)
+            ]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "size_x", "sketch_x", "size_y", "sketch_y")
+    near = both.mapInArrow(compatible, "x bigint, y bigint")
     near = near.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x")
     near = near.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y").select("x", "y", "set_x", "set_y")
 
@@ -337,15 +355,19 @@ def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataF
     """Pairs of a group with different labels that sizes and bit sketches leave over."""
 
     def pairs(table):
+        table, groups = _by_group(table)
         nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
         out = [np.zeros((0, 2), np.int64)]
-        for k, ok in _near(table, threshold):
-            other = nodes[k + 1 :][ok & (labels[k + 1 :] != labels[k])]
-            out.append(np.stack([np.minimum(other, nodes[k]), np.maximum(other, nodes[k])], 1))
+        for at, size, sketch in groups:
+            node, label = nodes[at], labels[at]
+            for k in range(len(size) - 1):
+                ok = _compatible(sketch[k], size[k], sketch[k + 1 :], size[k + 1 :], threshold) & (label[k + 1 :] != label[k])
+                out.append(np.stack([np.full(ok.sum(), node[k]), node[k + 1 :][ok]], 1))
         every = np.concatenate(out)
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
 
-    return rest.join(facts, "node").groupBy("group").applyInArrow(pairs, "x bigint, y bigint").distinct()
+    bundle = F.pmod("group", F.lit(8 * shuffle_partitions(rest.sparkSession))).alias("bundle")
+    return rest.join(facts, "node").groupBy(bundle).applyInArrow(pairs, "x bigint, y bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
