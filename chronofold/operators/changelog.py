@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import fold
 
 DELETE, PUT = 0, 1
+#: Keys a range that the bounds of ranges are taken from.
+SAMPLE = 20
 
 
 def _id(folded: bool) -> Column:
@@ -87,6 +89,14 @@ def seek_previous(log: DataFrame, key: str, as_of: int | None = None, folded: bo
     return scan(log, end=key, as_of=as_of, reverse=True, folded=folded).limit(1)
 
 
+def _bounds(keys: DataFrame, n: int) -> Column:
+    """Up to n - 1 keys that cut a table into ranges of about equally many, from the SAMPLE keys a range that hash lowest."""
+    rows = keys.select("at").where(F.col("at").isNotNull()).orderBy(F.xxhash64("at"), "at").limit(n * SAMPLE).collect()
+    ordered = sorted((r["at"] for r in rows), key=lambda k: k.encode())
+    cuts = sorted({ordered[len(ordered) * k // n] for k in range(1, n)}, key=lambda k: k.encode()) if ordered else []
+    return F.array(*[F.lit(c) for c in cuts]).cast("array<string>")
+
+
 def seek_each(log: DataFrame, probes: DataFrame, as_of: int | None = None, folded: bool = True, ranges: int | None = None) -> DataFrame:
     """probe, key: for each probe (column probe) the first key not below it, or null.
 
@@ -98,8 +108,10 @@ def seek_each(log: DataFrame, probes: DataFrame, as_of: int | None = None, folde
     n = ranges or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = probes.select((fold(F.col("probe")) if folded else F.col("probe")).alias("at"), F.col("probe"))
     both = there.select("at", "key", F.lit(None).cast("string").alias("probe"), F.lit(1).alias("is_key")).unionByName(asked.select("at", F.lit(None).cast("string").alias("key"), "probe", F.lit(0).alias("is_key")))
-    # by range of keys, and in it from the end: the nearest key at or after a row
-    dealt = both.where(F.col("at").isNotNull()).repartitionByRange(n, "at").withColumn("range", F.spark_partition_id())
+    # by range of keys, and in it from the end: the nearest key at or after a row. The bounds are values, so that
+    # every use of the ranges has the same ones
+    bounds = _bounds(there, n)
+    dealt = both.where(F.col("at").isNotNull()).withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("at"))))
     after = Window.partitionBy("range").orderBy(F.col("at").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
     found = dealt.withColumn("hit", F.last("key", ignorenulls=True).over(after))
     heads = dealt.where("is_key = 1").groupBy("range").agg(F.min_by("key", "at").alias("head"))
