@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where an event keeps its topic (fixed by the data model).
-METADATA, ENTITY = "@metadata", "Raven-Entity-Name"
+#: Where an event keeps its topic: a field of its metadata. Logs from elsewhere may use another name for it, a parameter below.
+METADATA, ENTITY = "@metadata", "Entity-Name"
 
 
 def field(document: Column, name: str, kind: str = "string") -> Column:
@@ -14,16 +14,16 @@ def field(document: Column, name: str, kind: str = "string") -> Column:
     return F.get_json_object(document, f"$['{name}']").try_cast(kind)
 
 
-def stamped(document: Column, topic: Column | str) -> Column:
+def stamped(document: Column, topic: Column | str, entity: str = ENTITY) -> Column:
     """The document with its topic in its metadata, which is made if there is none. Field order may change; a text that is no object is null."""
     topic = F.lit(topic) if isinstance(topic, str) else topic
     fields = "map<string,variant>"
     whole = F.from_json(document, fields)
     none = F.from_json(F.lit("{}"), fields)
     inner = F.coalesce(F.try_variant_get(F.try_element_at(whole, F.lit(METADATA)), "$", fields), none)
-    stamp = F.create_map(F.lit(ENTITY), F.to_variant_object(F.create_map(F.lit("v"), topic)))
+    stamp = F.create_map(F.lit(entity), F.to_variant_object(F.create_map(F.lit("v"), topic)))
     stamp = F.transform_values(stamp, lambda _, v: F.variant_get(v, "$.v", "variant"))
-    entry = F.to_json(F.map_concat(F.map_filter(inner, lambda k, _: k != ENTITY), stamp))
+    entry = F.to_json(F.map_concat(F.map_filter(inner, lambda k, _: k != entity), stamp))
     rest = F.regexp_replace(F.trim(document), r"\s*\}$", "")
     simple = F.concat(rest, F.when(rest.endswith("{"), "").otherwise(","), F.lit(f'"{METADATA}":'), entry, F.lit("}"))
     others = F.map_filter(whole, lambda k, _: k != METADATA)

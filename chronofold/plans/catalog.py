@@ -225,7 +225,7 @@ def stream_read_from(spark, sf_dir):
 @query("SELECT event_id, event_type AS topic, json_extract_string(props, '$.k') AS k FROM events")
 def events_stamped(spark, sf_dir):
     e = event_log(spark, sf_dir).withColumn("data", fn.stamped(F.col("data"), F.col("topic")))
-    topic = F.get_json_object("data", "$['@metadata']['Raven-Entity-Name']")
+    topic = F.get_json_object("data", "$['@metadata']['Entity-Name']")
     return e.select("event_id", topic.alias("topic"), fn.field(F.col("data"), "k").alias("k"))
 
 

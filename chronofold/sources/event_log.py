@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import etag, etag_text
-from ..functions.values import stamped
+from ..functions.values import ENTITY, stamped
 from .commits import CommitLog, Conflict
 
 SCHEMA = T.StructType(
@@ -37,8 +37,8 @@ SCHEMA = T.StructType(
 class EventLog:
     """The log in folder `path`. Opening it begins a new epoch, as a number in etags that sorts before the event's own."""
 
-    def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = True, error_if_exists: bool = False):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = True, error_if_exists: bool = False, entity: str = ENTITY):
+        self.spark, self.path, self.entity = spark, path.rstrip("/"), entity
         self.commits = CommitLog(spark, f"{self.path}/_commits")
         last = self.commits.last()
         if last is None and not create_if_missing:
@@ -112,7 +112,7 @@ class EventLog:
         ts = F.col("ts") if "ts" in rows.columns else F.current_timestamp()
         draft = f"{self.path}/_drafts/{uuid.uuid4().hex}"
         # written once to fix the order in which the rows come, then numbered
-        rows.select(name.alias("topic"), ts.alias("ts"), stamped(data, name).alias("data"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("arrival")).write.parquet(draft)
+        rows.select(name.alias("topic"), ts.alias("ts"), stamped(data, name, self.entity).alias("data"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("arrival")).write.parquet(draft)
         try:
             for _ in range(retries):
                 try:

@@ -89,8 +89,8 @@ def test_stamped(spark):
     docs = ['{"a":1}', "{}", '{"@metadata":{"x":"y"},"a":2}', "not json", None]
     d = spark.createDataFrame([(k, x) for k, x in enumerate(docs)], "k int, d string").select("k", fn.stamped(F.col("d"), "Sms").alias("s"))
     found = {r.k: r.s for r in d.collect()}
-    topic = lambda s: F.get_json_object(F.lit(s), "$['@metadata']['Raven-Entity-Name']")
-    assert json.loads(found[0])["a"] == 1 and json.loads(found[1])["@metadata"]["Raven-Entity-Name"] == "Sms"
+    topic = lambda s: F.get_json_object(F.lit(s), "$['@metadata']['Entity-Name']")
+    assert json.loads(found[0])["a"] == 1 and json.loads(found[1])["@metadata"]["Entity-Name"] == "Sms"
     assert one(spark, topic(found[0]).alias("x")).x == one(spark, topic(found[2]).alias("x")).x == "Sms"
     assert found[3] is None and found[4] is None
 

@@ -87,7 +87,7 @@ def test_event_log(spark, tmp_path):
     assert last == log.last_etag() and log.count() == 15
     rows = log.scan().collect()
     assert [json.loads(r.data)["Item"] for r in rows] == list(range(15)) and all(r.etag for r in rows) and rows[-1].etag == last
-    assert json.loads(rows[0].data)["@metadata"]["Raven-Entity-Name"] == "test"
+    assert json.loads(rows[0].data)["@metadata"]["Entity-Name"] == "test"
     more = log.append("other", spark.range(40).select(F.to_json(F.struct("id")).alias("data")))
     assert log.scan(after=last).count() == 40 and log.events(topic="other").count() == 40 and log.scan(limit=3).count() == 3
     etags = [r.etag for r in log.scan().collect()]
