@@ -375,7 +375,7 @@ def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
     found = _groups(rows, k, threshold)
     groups, facts = found.where("kind = 1").select("group", "node"), _facts(found)
-    sets = materialize(found.where("kind = 2").select("node", "shingles").repartition("node"))
+    sets = found.where("kind = 2").select("node", "shingles")
     labels = sets.select("node", F.col("node").alias("label"))
     centres = groups.groupBy("group").agg(F.min("node").alias("x"))
     star = groups.join(centres, "group").where("node != x").select("x", F.col("node").alias("y")).distinct()
