@@ -4,7 +4,8 @@ Sequential covering over the labelled rows: a rule grows by the threshold test
 with the largest FOIL gain on the growing part until it takes no good row or has
 MAX_TESTS tests, then loses tests from its end while that does not lower its
 precision on the pruning part; it stands if its smoothed precision there is at
-least MIN_PRECISION. Rows it covers go, and the next rule grows, until none
+least MIN_PRECISION. Its thresholds then move towards the bad rows, which leaves a
+margin to the good ones. Rows it covers go, and the next rule grows, until none
 stands. Thresholds are quantiles over all labelled rows. Everything is counted by
 Spark aggregations, of which the driver sees a row per statistic and bin, never
 a document; the list itself becomes one ordered CASE expression.
@@ -190,7 +191,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         if cover < MIN_COVER or precision < MIN_PRECISION:
             break
         rule = rule[:length]
-        rules.append(rule)
+        rules.append(_with_margin(rule, rows))
         inside = holds(rule[0])
         for t in rule[1:]:
             inside = inside & holds(t)
@@ -198,14 +199,25 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     return rules
 
 
+def _covers(rule: list[Test]) -> Column:
+    test = F.lit(True)
+    for t in rule:
+        test = test & (F.col(t.feature) > t.threshold if t.above else F.col(t.feature) <= t.threshold)
+    return test
+
+
+def _with_margin(rule: list[Test], rows: DataFrame) -> list[Test]:
+    """Thresholds half way to where all but a twentieth of the bad rows that the rule covers lie: good rows near the old ones are spared."""
+    ends = [F.percentile_approx(t.feature, 0.05 if t.above else 0.95, 10_000).alias(f"e{k}") for k, t in enumerate(rule)]
+    found = rows.where((F.col("_label") == 0) & _covers(rule)).agg(*ends).first()
+    return [t if found[k] is None else t._replace(threshold=(t.threshold + found[k]) / 2) for k, t in enumerate(rule)]
+
+
 def verdict(rules: list[list[Test]]) -> Column:
     """The decision list as one ordered expression: true for a text that no rule rejects."""
     whole = None
     for rule in rules:
-        test = F.lit(True)
-        for t in rule:
-            test = test & (F.col(t.feature) > t.threshold if t.above else F.col(t.feature) <= t.threshold)
-        whole = F.when(test, False) if whole is None else whole.when(test, False)
+        whole = F.when(_covers(rule), False) if whole is None else whole.when(_covers(rule), False)
     return F.lit(True) if whole is None else whole.otherwise(True)
 
 
