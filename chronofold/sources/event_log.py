@@ -24,6 +24,9 @@ from ..functions.keys import etag, etag_text
 from ..functions.values import ENTITY, stamped
 from .commits import CommitLog, Conflict
 
+#: Commits from one list of all folders to the next.
+LISTED = 64
+
 SCHEMA = T.StructType(
     [
         T.StructField("etag", T.StringType()),
@@ -45,9 +48,36 @@ class EventLog:
             raise FileNotFoundError(f"there is no event log in {path}")
         if last is not None and error_if_exists:
             raise FileExistsError(f"there is an event log in {path}")
-        number, state = last or (0, {"epoch": 0, "etag": None, "number": 0, "folders": []})
+        number, state = last or (0, {"epoch": 0, "etag": None, "number": 0})
         self.epoch = state["epoch"] + 1
-        self.commits.commit(number + 1, state | {"epoch": self.epoch})
+        self._publish(number, state, {"epoch": self.epoch})
+
+    # -- commits: each names its own folder, and every LISTED-th one all folders before it ------------
+
+    def _publish(self, number: int, state: dict, change: dict) -> None:
+        new = {k: state[k] for k in ("epoch", "etag", "number")} | {"folder": None} | change
+        if number % LISTED == 0:
+            new["before"] = self._folders(number, state) if number else []
+        self.commits.commit(number + 1, new)
+
+    def _folders(self, number: int, state: dict, after: str | None = None) -> list[dict]:
+        """Folders that a commit sees, those with later etags than `after`: back from it, no further than to the last list."""
+        found = []
+        while True:
+            if state["folder"]:
+                if after is not None and state["folder"]["last"] <= after:
+                    break
+                found.append(state["folder"])
+            if "before" in state:
+                found += [f for f in reversed(state["before"]) if after is None or f["last"] > after]
+                break
+            number -= 1
+            state = self.commits.read(number)
+        return found[::-1]
+
+    def folders(self) -> list[dict]:
+        """name, first and last etag, and count of each append."""
+        return self._folders(*self._state())
 
     # -- reading ------------------------------------------------------------------------------------
 
@@ -62,10 +92,10 @@ class EventLog:
 
     def events(self, after: str | None = None, topic: str | None = None, upto: str | None = None) -> DataFrame:
         """Events with a larger etag than `after`, as the log is now. Folders that hold none of them aren't listed, topics not asked for not read."""
-        return self._read(self._state()[1]["folders"], after, topic, upto)
+        return self._read(self._folders(*self._state(), after), after, topic, upto)
 
     def _read(self, folders: list[dict], after: str | None = None, topic: str | None = None, upto: str | None = None) -> DataFrame:
-        wanted = [f"{self.path}/{f['name']}" for f in folders if (after is None or f["last"] > after) and (upto is None or f["first"] <= upto)]
+        wanted = [f"{self.path}/{f['name']}" for f in folders if upto is None or f["first"] <= upto]
         if not wanted:
             return self.spark.createDataFrame([], SCHEMA)
         schema = T.StructType([*SCHEMA.fields[:-1], T.StructField("commit", T.StringType()), SCHEMA["topic"]])
@@ -139,9 +169,8 @@ class EventLog:
         folder = f"commit={number + 1:010d}-{uuid.uuid4().hex[:8]}"
         rows.select(etag(F.col("arrival") + F.col("start"), self.epoch).alias("etag"), "ts", "data", "topic").write.partitionBy("topic").parquet(f"{self.path}/{folder}")
         first, last = etag_text(base + 1, self.epoch), etag_text(base + total, self.epoch)
-        new = state | {"etag": last, "number": base + total, "folders": [*state["folders"], {"name": folder, "first": first, "last": last, "n": total}]}
         try:
-            self.commits.commit(number + 1, new)
+            self._publish(number, state, {"etag": last, "number": base + total, "folder": {"name": folder, "first": first, "last": last, "n": total}})
         except Conflict:
             self.commits.delete(f"{self.path}/{folder}")
             raise

@@ -35,4 +35,4 @@ class EventStream:
 
     def ranges(self) -> list[dict]:
         """first, last, n of each committed folder."""
-        return [{k: f[k] for k in ("name", "first", "last", "n")} for f in self.log._state()[1]["folders"]]
+        return self.log.folders()

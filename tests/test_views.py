@@ -100,6 +100,15 @@ def test_event_log(spark, tmp_path):
         EventLog(spark, str(tmp_path / "none"), create_if_missing=False)
 
 
+def test_folders_are_found_across_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("chronofold.sources.event_log.LISTED", 3)
+    log = EventLog(spark, str(tmp_path / "log"))
+    etags = [log.append("t", ["{}"]) for _ in range(8)]
+    assert [f["last"] for f in log.folders()] == etags and log.events().count() == 8
+    assert [log.events(after=e).count() for e in etags] == [7, 6, 5, 4, 3, 2, 1, 0]
+    assert [f["last"] for f in EventLog(spark, str(tmp_path / "log")).folders()] == etags
+
+
 def test_appends_side_by_side(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
