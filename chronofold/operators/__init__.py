@@ -17,7 +17,7 @@ from .changelog import (
     size_of,
 )
 from .compaction import compact
-from .mapreduce import Map, View, fold_batches, fold_into, map_rows, reduce_rows, results, run
+from .mapreduce import Map, View, fold_batches, fold_into, map_rows, map_with, reduce_rows, reduce_with, results, run
 
 __all__ = [
     "Map",
@@ -31,11 +31,13 @@ __all__ = [
     "get",
     "last",
     "map_rows",
+    "map_with",
     "merge_runs",
     "missing",
     "multi_get",
     "prefix",
     "reduce_rows",
+    "reduce_with",
     "results",
     "run",
     "scan",

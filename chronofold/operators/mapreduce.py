@@ -99,6 +99,19 @@ def reduce_rows(view: View, rows: DataFrame) -> DataFrame:
     return keyed.groupBy("reduce_key").agg(*outputs)
 
 
+def map_with(events: DataFrame, function, schema: str) -> DataFrame:
+    """A map that expressions can't write: function takes and yields Arrow batches (none, one or many rows for each)."""
+    return events.mapInArrow(lambda batches: (out for b in batches for out in function(b)), schema)
+
+
+def reduce_with(rows: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """A reduce that expressions can't write: function takes the Arrow table of one key's rows and returns one of `schema`.
+
+    All rows of a key go to one call, so a reduce that can be an aggregate should be one.
+    """
+    return rows.groupBy(F.expr(key).alias("__key")).applyInArrow(lambda table: function(table), schema)
+
+
 def run(view: View, events: DataFrame) -> DataFrame:
     """The view over all events at once."""
     return reduce_rows(view, map_rows(view, events))

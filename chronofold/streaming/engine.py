@@ -85,6 +85,11 @@ class Following:
                 raise TimeoutError(f"{self.view.name} is at {self.progress()}, not yet at {etag}")
             time.sleep(poll)
 
+    def metrics(self) -> list[dict]:
+        """Of the query's recent micro-batches: their number, commits taken up, and milliseconds by step."""
+        recent = self.query.recentProgress if self.query is not None else []
+        return [{"batch": p["batchId"], "commits": p["numInputRows"], "milliseconds": dict(p["durationMs"])} for p in recent]
+
     # -- reading --------------------------------------------------------------------------------------
 
     def progress(self) -> str | None:
