@@ -45,12 +45,17 @@ THRESHOLD = Fraction(4, 5)
 BAND = 1.6
 #: Bits of the sketch that pairs are tried by before their sets are fetched: the power of two not under the size, in these bounds.
 LEAST_BITS, MOST_BITS = 64, 4096
+#: Members of a group that go to one call. A larger group is cut into chunks of that size by hash, and each two of its
+#: chunks go to a call, so none sees more than two chunks however large a group is, and no two members miss each other.
+CHUNK = 512
 #: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
 HASH_BYTES = 6
 
 #: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, bit sketch of a node.
 DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, sketches array<binary>"
-GROUP = f"kind int, members array<bigint>, {DESCRIBED}"
+GROUP = f"kind int, group bigint, n bigint, members array<bigint>, {DESCRIBED}"
+#: Members in a row; a larger group has several rows.
+ROW_MEMBERS = 1 << 14
 SETS = "node bigint, shingles binary"
 
 
@@ -162,7 +167,7 @@ def _node(part: int, rows: np.ndarray) -> np.ndarray:
 
 
 _DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")), ("sketches", pa.list_(pa.binary()))]
-_GROUP = pa.schema([("kind", pa.int32()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
+_GROUP = pa.schema([("kind", pa.int32()), ("group", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
 
 
 def _nothing(n: int) -> list[pa.Array]:
@@ -181,17 +186,19 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _find_groups(table):
     """In a bucket: nodes that sent one hash, as a group; the rows that describe documents pass through."""
-    groups, out = set(), []
     raw = [r for r in zip(*(table.column(c).to_pylist() for c in ("part", "hashes", "more")), strict=True)]
     hashes = np.concatenate([_unpacked(h) for _, h, _ in raw])
     nodes = np.concatenate([_node(p, np.frombuffer(m, f"<u{len(m) * HASH_BYTES // len(h)}")) for p, h, m in raw])
     order = np.lexsort((nodes, hashes))
     hashes, nodes = hashes[order], nodes[order]
     edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    found: dict[int, np.ndarray] = {}  # by a hash of the members, as most groups come from several parts of a sketch
     for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-        groups.add(tuple(nodes[edges[k] : edges[k + 1]].tolist()))
-    out = sorted(groups)
-    return pa.table([pa.array([1] * len(out), pa.int32()), pa.array(out, pa.list_(pa.int64())), *_nothing(len(out))], schema=_GROUP)
+        members = nodes[edges[k] : edges[k + 1]]
+        name = int(np.bitwise_xor.reduce(mix(members.view(np.uint64) + np.uint64(len(members)))).view(np.int64))
+        found.setdefault(name, members)
+    rows = [(g, len(m), m[k : k + ROW_MEMBERS]) for g, m in sorted(found.items()) for k in range(0, len(m), ROW_MEMBERS)]
+    return pa.table([pa.array([1] * len(rows), pa.int32()), *(pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())))), *_nothing(len(rows))], schema=_GROUP)
 
 
 def _compatible(sketch: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -201,10 +208,19 @@ def _compatible(sketch: np.ndarray, size: np.ndarray, other: np.ndarray, other_s
     return (np.minimum(size, other_size) * b >= np.maximum(size, other_size) * a) & (differ * (a + b) <= (size + other_size) * (b - a))
 
 
+def _bundled(rows: DataFrame):
+    """Rows (group, n members, node, ...) grouped for calls that compare members: `chunks` names a group or two chunks of it."""
+    cuts = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(6)), cuts.cast("bigint")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda j: F.xxhash64("group", F.least(own, j), F.greatest(own, j)))
+    dealt = rows.withColumn("chunks", F.explode(F.when(cuts > 1, pairs).otherwise(F.array("group"))))
+    return dealt.groupBy(F.pmod("chunks", F.lit(8 * shuffle_partitions(rows.sparkSession))).alias("bundle"))
+
+
 def _by_group(table):
     """The rows of each of the groups of a table: (slice of the sorted table, their sizes, their sketches at one width)."""
-    table = table.sort_by([("group", "ascending"), ("node", "ascending")])
-    groups, sizes, raw = table.column("group").to_numpy(), table.column("size").to_numpy(), table.column("sketch").to_pylist()
+    table = table.sort_by([("chunks", "ascending"), ("node", "ascending")])
+    groups, sizes, raw = table.column("chunks").to_numpy(), table.column("size").to_numpy(), table.column("sketch").to_pylist()
     edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])).tolist()
     each = [(slice(i, j), sizes[i:j], narrowed(raw[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
     return table, each
@@ -256,7 +272,7 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     def bucket(table):
         if table.column("bucket")[0].as_py() < 0:  # a part's documents
             described = [table.column(c).cast(t) for c, t in _DESCRIBED]
-            return pa.table([pa.array([0] * len(table), pa.int32()), pa.array([None] * len(table), pa.list_(pa.int64())), *described], schema=_GROUP)
+            return pa.table([pa.array([0] * len(table), pa.int32()), *(pa.nulls(len(table), t) for t in _GROUP.types[1:4]), *described], schema=_GROUP)
         return _find_groups(table)
 
     def fetch(key, left, right):
@@ -282,10 +298,10 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, sent)
     found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
-    members = found.where("kind = 1").select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"))
-    # many groups go to one call; the exchange by node serves both uses of the result, so it keeps all columns
-    bundle = F.pmod("group", F.lit(8 * shuffle_partitions(docs.sparkSession))).alias("bundle")
-    near = members.join(_facts(found), "node").groupBy(bundle).applyInArrow(near_members, "group bigint, node bigint").repartition("node")
+    members = found.where("kind = 1").select("group", "n", F.explode("members").alias("node"))
+    near = _bundled(members.join(_facts(found), "node")).applyInArrow(near_members, "group bigint, node bigint").distinct()
+    # the exchange by node serves both uses of the result, so it keeps all columns
+    near = near.repartition("node")
     wanted = near.groupBy("node").agg(F.min("group").alias("group")).withColumn("part", F.shiftright("node", 32).cast("int"))
     sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
     whole = found.where("kind = 0").unionByName(near.withColumn("kind", F.lit(1)), allowMissingColumns=True)
@@ -345,9 +361,9 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rest(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, node, label of the groups whose members have more than one label."""
+    """group, n members, node, label of the groups whose members have more than one label."""
     rows = groups.join(labels, "node")
-    several = rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("group")
+    several = rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("group", "n")
     return rows.join(several, "group")
 
 
@@ -366,8 +382,7 @@ def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataF
         every = np.concatenate(out)
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
 
-    bundle = F.pmod("group", F.lit(8 * shuffle_partitions(rest.sparkSession))).alias("bundle")
-    return rest.join(facts, "node").groupBy(bundle).applyInArrow(pairs, "x bigint, y bigint").distinct()
+    return _bundled(rest.join(facts, "node")).applyInArrow(pairs, "x bigint, y bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -284,9 +284,12 @@ def test_ngram_join(docs, rows):
     assert found == plain_join(rows)
 
 
-def test_ngram_join_chains_of_near_copies(spark):
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_ngram_join_chains_of_near_copies(spark, monkeypatch, chunk):
     import random
 
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+
     rnd = random.Random(5)
     rows = []
     for c in range(4):
