@@ -33,6 +33,8 @@ DIMS = 1 << 14
 #: Rows of each language that the classifier is fitted on, at most (the bound of the sample).
 SAMPLE_PER_LANG = 400
 MARGIN = 4
+#: Languages whose counts are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1000
 EPOCHS = 4
 #: FTRL-proximal: learning rate and its smoothing, and the penalties on sum and squares of the weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
@@ -116,6 +118,7 @@ def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     number = F.xxhash64(F.col(id_col).cast("string"), F.lit(8))
     # first by a bound on the hash that leaves about MARGIN times the sample, so that no task ranks a whole language
     sizes = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     share = F.least(F.lit(1.0), F.lit(float(MARGIN * SAMPLE_PER_LANG)) / F.col("_n"))
     low = rows.select(id_col, lang_col).join(sizes, F.col(lang_col) == F.col("_lang")).where(F.shiftrightunsigned(number, 11) <= share * float(1 << 53))
     order = Window.partitionBy(lang_col).orderBy(F.shiftrightunsigned(number, 11), F.col(id_col))
