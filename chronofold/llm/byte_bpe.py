@@ -38,7 +38,7 @@ from .common import append_columns, utf8
 #: Bytes of a word up to which the matrix merges it.
 LONG = 128
 #: Distinct pieces of text whose ids a task keeps; past it the table starts anew, which costs time only.
-KEPT = 500_000
+KEPT = 200_000
 #: No rank; above every rank.
 NONE = 1 << 30
 

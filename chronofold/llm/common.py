@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes up at once; bounds its memory.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,8 +116,14 @@ def append_columns(
                 made = apply(*ins)
                 columns = [part.column(k) for k in range(n_kept)]
                 columns += [v if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(n_kept + k).type) for k, v in enumerate(made)]
+                del made, ins
                 yield pa.RecordBatch.from_arrays(
                     [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )
 
+        # the worker lives on with the next task: what this one gathered goes back to the system now
+        del apply
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
     return source.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ KINDS = BASE + ADDED
 #: Of the fit: steps of gradient ascent, their size, and the penalty on squares.
 STEPS, RATE, PENALTY = 400, 0.2, 0.02
 #: Distinct words whose scores a task keeps.
-KEPT = 400_000
+KEPT = 200_000
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 OUTPUT = T.StructType([T.StructField("spans", T.ArrayType(SPAN))])

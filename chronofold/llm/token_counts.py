@@ -26,7 +26,7 @@ from .common import append_columns, utf8
 
 SPACE = "▁"
 #: Pre-tokens whose counts a task keeps; past it the table starts anew, which costs time only.
-KEPT = 400_000
+KEPT = 200_000
 
 OUTPUT = T.StructType(
     [
