@@ -47,7 +47,7 @@ BAND = 1.6
 LEAST_BITS, MOST_BITS = 64, 4096
 #: Members of a group that go to one call. A larger group is cut into chunks of that size by hash, and each two of its
 #: chunks go to a call, so none sees more than two chunks however large a group is, and no two members miss each other.
-CHUNK = 512
+CHUNK = 8192
 #: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
 HASH_BYTES = 6
 
