@@ -119,7 +119,9 @@ class Part:
 def part_hashes(flat: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """(hash, set number) of each sketch part of the sets."""
     starts = np.cumsum(sizes) - sizes
-    every, found, whose = bands(threshold, int(sizes.max(initial=0)) or 1), [], []
+    # up to the largest set that any one here can be alike to, wherever that lies: a set's bands don't depend on its part
+    largest = int(sizes.max(initial=1)) * threshold.denominator // threshold.numerator
+    every, found, whose = bands(threshold, largest), [], []
     tops = np.array([b[0] for b in every])
     own = np.searchsorted(tops, sizes)
     # into the next band, if a set of its least size could still be alike

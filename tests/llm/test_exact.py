@@ -302,6 +302,26 @@ def test_ngram_join_chains_of_near_copies(spark, monkeypatch, chunk):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()} == plain_join(rows)
 
 
+def test_ngram_join_copies_across_a_band_top(spark):
+    # sizes on both sides of a band's top; ids far apart, as many parts as documents
+    rows = []
+    for c, (small, large) in enumerate([(189, 197), (118, 125), (300, 320)]):
+        words = [f"c{c}v{k}" for k in range(large + 4)]
+        rows += [(10 + c, " ".join(words[: small + 4])), (20 + c, " ".join(words))]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain_join(rows) and found[20] == (197, 10)
+
+
+def test_sets_meet_in_a_band_whatever_their_part_holds():
+    import numpy as np
+
+    for small in range(4, 500):
+        large = 5 * small // 4
+        flat = np.arange(1, large + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        one, other = (ngram_join.part_hashes(flat[:n], np.array([n]), ngram_join.THRESHOLD)[0] for n in (small, large))
+        assert len(np.intersect1d(one, other))
+
+
 def test_ngram_join_odd(empty, odd):
     assert ngram_join.join(empty).collect() == []
     found = sorted((r.doc_id or 99, r.n_shingles, r.component_id) for r in ngram_join.join(odd).collect())
