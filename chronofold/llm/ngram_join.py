@@ -15,7 +15,8 @@ first all members are verified against one of them, then, in groups whose member
 are not all connected yet, against the one with the most links so far, and at
 last what still lies in different components, pair by pair, as far as a bit sketch
 allows the likeness. So every two members of a group are either connected or
-compared: no link between different texts is lost.
+compared, and no component is missed. `join` yields components only; `links`
+compares every two members of a group and yields all links between sets.
 
 Documents are dealt to parts by ranges of ids; a node is (part, row). The texts
 are shuffled once; what groups need of them is kept as sets of hashes.
@@ -29,6 +30,7 @@ ids are null).
 from __future__ import annotations
 
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,8 @@ CHUNK = 8192
 #: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
 HASH_BYTES = 6
 
-#: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, bit sketch of a node.
-DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, sketches array<binary>"
+#: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, the caller's mark, bit sketch of a node.
+DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, marks array<bigint>, sketches array<binary>"
 GROUP = f"kind int, group bigint, n bigint, members array<bigint>, {DESCRIBED}"
 #: Members in a row; a larger group has several rows.
 ROW_MEMBERS = 1 << 14
@@ -97,6 +99,7 @@ class Part:
         ids, texts = table.column("id").to_pylist(), table.column("raw").to_pylist()
         order = sorted(range(len(ids)), key=lambda j: (ids[j] is None, ids[j] or 0, texts[j]))
         self.ids, self.texts, self.k = [ids[j] for j in order], [texts[j] for j in order], k
+        self.marks = table.column("mark").take(order).to_pylist()
 
     def sets(self, at: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         return shingle_sets(self.texts if at is None else [self.texts[j] for j in at], self.k)
@@ -168,7 +171,7 @@ def _node(part: int, rows: np.ndarray) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + rows.astype(np.int64)
 
 
-_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds")), ("sketches", pa.list_(pa.binary()))]
+_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds", "marks")), ("sketches", pa.list_(pa.binary()))]
 _GROUP = pa.schema([("kind", pa.int32()), ("group", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
 
 
@@ -235,8 +238,8 @@ def _facts(found: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One table of the documents (kind 0, a row a part), those members of groups that may be alike to another one (kind 1), and their sets (kind 2)."""
-    rows = docs.select("id", "raw")
+    """One table of the documents (kind 0, a row a part, whose number is in `group`), those members of groups that may be alike to another one (kind 1), and their sets (kind 2)."""
+    rows = docs.select("id", "raw", "mark")
     ranges = Ranges(rows.select("id"), "id", SPREAD)
     n = buckets(docs.sparkSession)
     dealt = rows.withColumn("part", ranges.number())
@@ -266,7 +269,7 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         sent_rows = [pa.array(full.astype(np.int32)), pa.array([part] * len(full), pa.int32()), pa.array([_packed(hashes[r]) for r in runs_], pa.binary()), pa.array([rows[r].tobytes() for r in runs_], pa.binary())]
         nodes = [int(x) if m else None for x, m in zip(_node(part, np.arange(len(sizes))), mine, strict=True)]
         sketches = iter(bit_sketches(flat[keep], sizes[mine]))
-        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), [next(sketches) if m else None for m in mine]]
+        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), p.marks, [next(sketches) if m else None for m in mine]]
         out = pa.table([*sent_rows, *_nothing(len(full))], schema=schema)
         row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], t) for x, (_, t) in zip(described, _DESCRIBED, strict=True))]
         return pa.concat_tables([out, pa.table(row, schema=schema)])
@@ -274,7 +277,7 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     def bucket(table):
         if table.column("bucket")[0].as_py() < 0:  # a part's documents
             described = [table.column(c).cast(t) for c, t in _DESCRIBED]
-            return pa.table([pa.array([0] * len(table), pa.int32()), *(pa.nulls(len(table), t) for t in _GROUP.types[1:4]), *described], schema=_GROUP)
+            return pa.table([pa.array([0] * len(table), pa.int32()), table.column("part").cast(pa.int64()), *(pa.nulls(len(table), t) for t in _GROUP.types[2:4]), *described], schema=_GROUP)
         return _find_groups(table)
 
     def fetch(key, left, right):
@@ -387,9 +390,21 @@ def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataF
     return _bundled(rest.join(facts, "node")).applyInArrow(pairs, "x bigint, y bigint").distinct()
 
 
-def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: id, n_shingles, component_id."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, mark=None) -> DataFrame:
+    mark = F.lit(None) if mark is None else mark
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"), mark.cast("bigint").alias("mark"))
+
+
+def _documents(found: DataFrame) -> DataFrame:
+    """A row a document; places ascend by id (null last), then text."""
+    described = F.arrays_zip("ids", "sizes", "nodes", "firsts", "seconds", "marks")
+    d = found.where("kind = 0").select("group", F.posexplode(described).alias("at", "d"))
+    place = F.shiftleft(F.col("group"), 32) + F.col("at")
+    return d.select("d.*", place.alias("place")).toDF("id", "n_shingles", "node", "first", "second", "mark", "place")
+
+
+def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """A row a document: id, mark, n_shingles, component_id, kept (true for the first row of each component)."""
     found = _groups(rows, k, threshold)
     groups, facts = found.where("kind = 1").select("group", "node"), _facts(found)
     sets = found.where("kind = 2").select("node", "shingles")
@@ -408,12 +423,36 @@ def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_
         last = _last_pairs(_rest(groups, labels), facts, threshold)
         labels = components(labels, materialize(verified(last, facts, sets, threshold)))
 
-    described = F.arrays_zip("ids", "sizes", "nodes", "firsts", "seconds")
-    d = found.where("kind = 0").select(F.explode(described).alias("d")).select("d.*").toDF("id", "n_shingles", "node", "first", "second")
+    d = _documents(found)
     # the least id of each set, then of each component of sets; most sets are their own component
-    least = d.where("n_shingles > 0").groupBy("first", "second").agg(F.min("id").alias("least"), F.max("node").alias("node"), F.count(F.lit(1)).alias("rows"))
+    least = d.where("n_shingles > 0").groupBy("first", "second").agg(F.min("id").alias("least"), F.min("place").alias("place"), F.max("node").alias("node"), F.count(F.lit(1)).alias("rows"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all_rows"))
-    several = named.join(whole.where("all_rows > 1"), "label").select(F.col("first").alias("f"), F.col("second").alias("s"), "component_id")
+    whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("place").alias("keeper"), F.sum("rows").alias("all_rows"))
+    several = named.join(whole.where("all_rows > 1"), "label").select(F.col("first").alias("f"), F.col("second").alias("s"), "component_id", "keeper")
     joined = d.join(several, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    kept = F.coalesce(F.col("keeper") == F.col("place"), F.lit(True))
+    return joined.select("id", "mark", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), kept.alias("kept"))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a document: id, n_shingles, component_id. The links themselves: `links`."""
+    return _joined(_rows(docs, id_col, text_col), k, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+class Links(NamedTuple):
+    #: a row a document: id, n_shingles, node (one for equal sets; null for an empty one)
+    members: DataFrame
+    #: x, y: every two nodes with a likeness of at least the threshold, once, x < y; documents of one node are alike by 1
+    links: DataFrame
+
+
+def links(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> Links:
+    """All verified links, also those inside a component; a group of m different texts has up to m x m / 2 of them."""
+    found = _groups(_rows(docs, id_col, text_col), k, threshold)
+    sets = found.where("kind = 2").select("node", "shingles")
+    facts, alone = _facts(found), sets.select("node", F.col("node").alias("label"))
+    pairs = _last_pairs(_rest(found.where("kind = 1").select("group", "node"), alone), facts, threshold)
+    d = _documents(found).select("id", "n_shingles", "node", "first", "second")
+    owners = d.where("node IS NOT NULL").select(F.col("first").alias("f"), F.col("second").alias("s"), F.col("node").alias("owner"))
+    members = d.join(owners, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
+    return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(verified(pairs, facts, sets, threshold)))

@@ -322,6 +322,32 @@ def test_sets_meet_in_a_band_whatever_their_part_holds():
         assert len(np.intersect1d(one, other))
 
 
+def test_ngram_links_inside_components(spark, docs, rows, empty):
+    import random
+
+    rnd = random.Random(9)
+    words, chain = [f"v{k}" for k in range(60)], []
+    for k in range(30):  # one component; not all of its members are alike
+        words = list(words)
+        words[rnd.randrange(60)] = f"n{k}"
+        chain.append((10_000 + k, " ".join(words)))
+    every = rows + chain
+    found = ngram_join.links(docs.select("doc_id", "text").unionByName(spark.createDataFrame(chain, "doc_id long, text string")))
+    members = defaultdict(list)
+    for r in found.members.collect():
+        members[r.node].append(r.doc_id)
+    assert sum(map(len, members.values())) == len(every)
+    got = [frozenset((a, b)) for r in found.links.collect() for a in members[r.x] for b in members[r.y]]
+    got += [frozenset((a, b)) for n, ids in members.items() if n is not None for a in ids for b in ids if a < b]
+    sets = []
+    for i, t in every:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    plain = {frozenset((i, j)) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and 10 * len(a & b) >= 8 * len(a | b)}
+    assert set(got) == plain and len(got) == len(plain)
+    assert all(x.collect() == [] for x in ngram_join.links(empty))
+
+
 def test_ngram_join_odd(empty, odd):
     assert ngram_join.join(empty).collect() == []
     found = sorted((r.doc_id or 99, r.n_shingles, r.component_id) for r in ngram_join.join(odd).collect())
