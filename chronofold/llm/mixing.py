@@ -51,6 +51,11 @@ class Mix(NamedTuple):
     schedule: DataFrame
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Column:
+    """The key of a row in `documents`: a hash of seed, id and text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
@@ -93,7 +98,7 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list[Column],
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5, blocks_per_doc: int = BLOCKS_PER_DOC) -> Mix:
     """The mix of all documents; `documents` has a row for each, `schedule` one for each part of a document that a slot takes."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    key = row_key(id_col, text_col, seed)
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key")))
     whole = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     block = max(1, whole.words // max(1, whole.n * blocks_per_doc))

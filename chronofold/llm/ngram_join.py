@@ -439,6 +439,16 @@ def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_
     return _joined(_rows(docs, id_col, text_col), k, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
+def text_hash(text_col: str = "text") -> F.Column:
+    """By which rows of one id are told apart; a null text is the empty one."""
+    return F.xxhash64(utf8(F.col(text_col)))
+
+
+def first_rows(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a document: id, text_hash, kept, which is true for one row of each component, the first by id (null last) and text."""
+    return _joined(_rows(docs, id_col, text_col, text_hash(text_col)), k, threshold).select(F.col("id").alias(id_col), F.col("mark").alias("text_hash"), "kept")
+
+
 class Links(NamedTuple):
     #: a row a document: id, n_shingles, node (one for equal sets; null for an empty one)
     members: DataFrame

@@ -3,10 +3,13 @@
 1. language_id: documents whose language can't be told (no text, no letter, or a
    probability under LEAST_SCORE) go.
 2. near_duplicates: of each group of documents linked by a 5-word shingle likeness
-   of 0.8 or more, the one with the least id stays.
+   of 0.8 or more, the one with the least id stays (null ids last, then by text).
+   Rows are told apart by id and text: a null id is no reason to stay, texts of one
+   id are judged each for itself, and rows with one id and text are one document.
 3. pii: personal data in the texts is replaced by its kind in brackets.
 4. mixing: a document is in the result as often as the mix takes it, counting an
-   epoch of which it takes half or more; one that is taken less goes.
+   epoch of which it takes half or more; one that is taken less goes. Each row of
+   an id has its own count.
 5. byte_bpe: the texts become token ids, with the text that they decode to.
 
 Stages 1 to 4 return the columns of documents (n_chars follows the text).
@@ -15,7 +18,7 @@ Stages 1 to 4 return the columns of documents (n_chars follows the text).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm import byte_bpe, language_id, mixing, ngram_join, pii
@@ -33,12 +36,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = materialize(ngram_join.join(docs))
-    others = linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti")
-    # rows with one id: equal texts once; the ids are few, so most texts pass by
-    single, several = kept.join(repeated, "doc_id", "left_anti"), kept.join(repeated, "doc_id", "left_semi")
+    linked = materialize(ngram_join.first_rows(docs))
+    keys = linked.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (ngram_join.text_hash() == F.col("hash"))
+    kept = docs.join(keys.where("NOT kept"), same, "left_anti")
+    # rows with one id and text: once; they are few, so most texts pass by
+    repeated = keys.where("kept AND rows > 1")
+    single, several = kept.join(repeated, same, "left_anti"), kept.join(repeated, same, "left_semi")
     return single.select(*COLUMNS).unionByName(several.dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
@@ -47,10 +51,17 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).documents.where("taken > 0").select("doc_id", F.expr("CAST(floor(taken / size + 0.5) AS INT)").alias("times"))
-    taken = taken.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times")).where("times > 0")
-    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*COLUMNS)
+    times = F.when(F.col("taken") > 0, F.expr("CAST(floor(taken / size + 0.5) AS INT)")).otherwise(0)
+    taken = mixing.mix(docs).documents.select("key", F.col("source").alias("of"), times.alias("times"))
+    taken = materialize(taken.groupBy("key", "of").agg(F.sort_array(F.collect_list("times"), asc=False).alias("each")).where("each[0] > 0"))
+    found = docs.join(taken, (mixing.row_key() == F.col("key")) & F.col("source").eqNullSafe(F.col("of")))
+    unlike = F.array_min("each") < F.array_max("each")
+    counted = found.where(~unlike).withColumn("times", F.col("each")[0])
+    if not taken.where(unlike).isEmpty():  # rows equal in id, text and source, of which the mix takes one more often
+        number = F.row_number().over(Window.partitionBy("key", "of").orderBy("lang", "n_chars"))
+        several = found.where(unlike).withColumn("times", F.get("each", number - 1))
+        counted = counted.unionByName(several.where("times > 0"))
+    return counted.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

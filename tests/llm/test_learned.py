@@ -79,6 +79,33 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("n_tokens != size(ids) OR decoded IS NULL").count() == 0
 
 
+def test_near_duplicates_go_by_row(spark, make_prose):
+    rnd = random.Random(4)
+    a, b, c, d, e = (make_prose(rnd, 60, 5000) for _ in range(5))
+    rows = [
+        (1, a), (None, a + " more"),  # a null id, near a kept one
+        (None, b), (None, b + " more"), (None, c),  # null ids: two near ones and another
+        (2, a + " again"), (2, d),  # one id: a near copy of 1, and a text like no other
+        (3, e), (3, e + " more"), (3, e),  # one id: two near texts, one of them twice
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in found) == sorted([(1, a), (0, b), (0, c), (2, d), (3, e)])
+
+
+def test_mixing_counts_by_row(spark):
+    rnd = random.Random(6)
+    rows = [(k // 4 if k < 200 else None, f"{k} " + "w " * rnd.randrange(5, 30), "en", "abc"[k % 3], 0) for k in range(240)]
+    rows += [(900, "w " * 9, x, "b", 0) for x in ("en", "fr", "de")]  # equal in id, text and source
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = corpus_pipeline.mixing.mix(docs).documents.where("size > 0").selectExpr("doc_id", "key", "CAST(floor(taken / size + 0.5) AS INT) AS times").collect()
+    found = corpus_pipeline.mix_sources(spark, docs, SF).withColumn("key", corpus_pipeline.mixing.row_key()).groupBy("doc_id", "key").count().collect()
+    wanted = {}
+    for r in taken:
+        wanted[(r.doc_id, r.key)] = wanted.get((r.doc_id, r.key), 0) + r.times
+    assert {(r.doc_id, r.key): r["count"] for r in found} == {k: n for k, n in wanted.items() if n}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_tables(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
