@@ -5,8 +5,8 @@ with the largest FOIL gain on the growing part until it takes no good row or has
 MAX_TESTS tests, then loses tests from its end while that does not lower its
 precision on the pruning part; it stands if its smoothed precision there is at
 least MIN_PRECISION. Its thresholds then move towards the bad rows, which leaves a
-margin to the good ones. Rows it covers go, and the next rule grows, until none
-stands. Thresholds are quantiles over all labelled rows. Everything is counted by
+margin to the good ones. Rows that the moved rule covers go, and the next rule
+grows on the others, until none stands. Thresholds are quantiles over all labelled rows. Everything is counted by
 Spark aggregations, of which the driver sees a row per statistic and bin, never
 a document; the list itself becomes one ordered CASE expression.
 
@@ -138,8 +138,10 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         return F.coalesce(F.size(F.filter(edges, lambda x: x < F.col(name))), F.lit(0))
 
     bins = [bin_of(c) for c in features]
-    binned = rows.select((F.col("_label") == 0).alias("bad"), "pruning", F.array(*bins).alias("bins")).groupBy("bad", "pruning", "bins").agg(F.count(F.lit(1)).alias("n"))
-    binned = materialize(binned)
+
+    def binned(rows: DataFrame) -> DataFrame:
+        each = rows.select((F.col("_label") == 0).alias("bad"), "pruning", F.array(*bins).alias("bins"))
+        return materialize(each.groupBy("bad", "pruning", "bins").agg(F.count(F.lit(1)).alias("n")))
 
     def holds(t: Test) -> Column:
         own = F.get("bins", F.lit(features.index(t.feature)))
@@ -155,7 +157,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         return sum(b for b, _ in first), sum(g for _, g in first)
 
     rules: list[list[Test]] = []
-    rest = binned
+    rest = binned(rows)
     while len(rules) < MAX_RULES:
         rule: list[Test] = []
         growing = rest.where(~F.col("pruning"))
@@ -192,10 +194,9 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
             break
         rule = rule[:length]
         rules.append(_with_margin(rule, rows))
-        inside = holds(rule[0])
-        for t in rule[1:]:
-            inside = inside & holds(t)
-        rest = rest.where(~inside)
+        # what lies in the margin is still there for later rules; a moved threshold may lie inside a bin, so rows are counted anew
+        rows = rows.where(~_covers(rules[-1]))
+        rest = binned(rows)
     return rules
 
 

@@ -470,6 +470,16 @@ def test_decision_list(spark, empty, make_prose):
     assert str(quality_rules.Test("f_x", True, 1, 0.5)) == "f_x > 0.5"
 
 
+def test_rules_can_learn_what_a_margin_left_out(spark):
+    # bad rows lie in f_x > 10: most far above, some (in the margin) next to the good ones
+    values = [(k % 10 + 0.5, 1) for k in range(3000)] + [(10 + k % 20 / 20, 0) for k in range(60)] + [(100.0 + k % 50, 0) for k in range(2000)]
+    stats = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(values)], "doc_id long, f_x double")
+    labels = spark.createDataFrame([(k, q) for k, (_, q) in enumerate(values)], "doc_id long, quality int")
+    rules = quality_rules.learn(stats, labels)
+    kept = stats.withColumn("kept", quality_rules.verdict(rules)).join(labels, "doc_id")
+    assert kept.where("kept AND quality = 0").count() <= 6 and kept.where("NOT kept AND quality = 1").count() == 0
+
+
 # -- 10 ------------------------------------------------------------------------------------------------
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
