@@ -3,14 +3,16 @@
 A section ends at a blank line, a paragraph at a line's end, and within a
 paragraph a piece ends at white space after certain letters or marks, so that a
 change moves no boundary but its own. A piece's leaf is a 64-bit hash cut to 32
-bits; a paragraph is its leaves, a section its paragraphs, and the root the
-SHA-256 of the text. The fingerprint writes the tree down:
+bits; a paragraph's node is a 64-bit hash of its leaves, a section's one of its
+paragraphs' nodes, and the root the SHA-256 of the sections' nodes. The SHA-256
+of the text stands beside the tree, as white space between pieces and sections
+is in no leaf. The fingerprint writes all of it down:
 
-    root:leaf.leaf,leaf/leaf.leaf      (pieces by ".", paragraphs by ",", sections by "/")
+    text:root:node=node=leaf.leaf,node=leaf/node=node=leaf      (pieces by ".", paragraphs by ",", sections by "/")
 
-so that equal roots mean equal texts, inner nodes follow from what stands below
-them, and branches that differ locate edits. The likeness of two fingerprints is
-1 for equal roots, else the share of leaves in common (Dice).
+so that equal text hashes mean equal texts, and nodes that differ at one place,
+from the root down, locate edits. The likeness of two fingerprints is 1 for equal
+texts, else the share of leaves in common (Dice).
 
 All of it is Spark expressions. Pairing each document with the next one (by
 descending id) moves every text once: ids are cut into buckets at quantiles, a
@@ -35,6 +37,8 @@ ENDINGS = r"nrkxzNRKXZ0-9\p{Punct}"
 SPREAD = 8
 
 SECTION, PARAGRAPH = r"\n[ \t]*\n\s*", r"\n"
+#: Digits of an inner node.
+NODE = 16
 PIECE = rf"(?<=[{ENDINGS}])[ \t]+"
 
 
@@ -45,47 +49,85 @@ def fingerprint(text: Column) -> Column:
     def leaf(piece: Column) -> Column:
         return F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(piece), 32))), 8, "0")
 
-    def paragraph(line: Column) -> Column:
+    def below(line: Column) -> Column:
         return F.array_join(F.transform(F.split(line, PIECE), leaf), ".")
 
-    def section(part: Column) -> Column:
-        return F.array_join(F.transform(F.split(part, PARAGRAPH), paragraph), ",")
+    def nodes(written: Column) -> Column:
+        return F.transform(written, lambda x: F.substring(x, 1, NODE))
 
-    tree = F.array_join(F.transform(F.split(text, SECTION), section), "/")
-    return F.concat(F.sha2(text, 256), F.lit(":"), F.when(text == "", "").otherwise(tree))
+    def node(of: Column) -> Column:
+        return F.lpad(F.lower(F.hex(F.xxhash64(of))), NODE, "0")
 
+    def paragraphs(part: Column) -> Column:
+        return F.transform(F.transform(F.split(part, PARAGRAPH), below), lambda p: F.concat(node(p), F.lit("="), p))
 
-def root(print_: Column) -> Column:
+    def section(parts: Column) -> Column:
+        return F.concat(node(F.array_join(nodes(parts), ",")), F.lit("="), F.array_join(parts, ","))
+
+    def tree(parts: Column) -> Column:
+        return F.concat(F.sha2(F.array_join(nodes(parts), "/"), 256), F.lit(":"), F.array_join(parts, "/"))
+
+    whole = F.transform(F.transform(F.split(text, SECTION), paragraphs), section)
+    none = F.concat(F.sha2(F.lit(""), 256), F.lit(":"))
+    return F.concat(F.sha2(text, 256), F.lit(":"), F.when(text == "", none).otherwise(F.get(F.transform(F.array(whole), tree), F.lit(0))))
+
+
+def text_sha256(print_: Column) -> Column:
     return F.substring(print_, 1, 64)
 
 
+def root(print_: Column) -> Column:
+    return F.substring(print_, 66, 64)
+
+
+def _tree(print_: Column) -> Column:
+    return F.substring(print_, 131, 1 << 30)
+
+
 def leaves(print_: Column) -> Column:
     """The distinct leaves."""
-    return F.array_distinct(F.filter(F.split(F.substring(print_, 66, 1 << 30), "[.,/]"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(_tree(print_), rf"[.,/]|[0-9a-f]{{{NODE}}}="), lambda x: x != ""))
 
 
 def sections(print_: Column) -> Column:
-    """Section, then paragraph: the paragraphs' nodes."""
-    return F.transform(F.split(F.substring(print_, 66, 1 << 30), "/"), lambda s: F.split(s, ","))
+    """The sections: node, and the nodes of the paragraphs."""
+
+    def section(written: Column) -> Column:
+        below = F.split(F.substring(written, NODE + 2, 1 << 30), ",")
+        return F.struct(F.substring(written, 1, NODE).alias("node"), F.transform(below, lambda p: F.substring(p, 1, NODE)).alias("paragraphs"))
+
+    return F.transform(F.split(_tree(print_), "/"), section)
 
 
 def edits(old: Column, new: Column) -> Column:
-    """Places (section, paragraph of `old`, from 0) whose branch is nowhere in `new`; none for equal roots."""
-    there = F.array_distinct(F.flatten(sections(new)))
-    places = F.flatten(F.transform(sections(old), lambda s, i: F.transform(s, lambda p, j: F.struct(i.alias("section"), j.alias("paragraph"), p.alias("node")))))
-    differ = F.filter(places, lambda x: ~F.array_contains(there, x["node"]))
+    """Places (section, paragraph, from 0) at which the two trees have different nodes, compared from the root down.
+
+    `node` is that of `old` and `other` that of `new`, null where a tree has no such place. None for equal roots, as of
+    texts that differ only in white space between pieces or sections. After an inserted paragraph all later ones of its
+    section have other places.
+    """
+
+    def places(both: Column, i: Column) -> Column:
+        none = F.array().cast("array<string>")
+        below = F.zip_with(F.coalesce(both["old"]["paragraphs"], none), F.coalesce(both["new"]["paragraphs"], none), lambda p, q: F.struct(p.alias("node"), q.alias("other")))
+        each = F.transform(below, lambda x, j: F.struct(i.alias("section"), j.alias("paragraph"), x["node"].alias("node"), x["other"].alias("other")))
+        differ = F.filter(each, lambda x: ~x["node"].eqNullSafe(x["other"]))
+        return F.when(both["old"]["node"].eqNullSafe(both["new"]["node"]), F.slice(differ, 1, 0)).otherwise(differ)
+
+    pairs = F.zip_with(sections(old), sections(new), lambda s, t: F.struct(s.alias("old"), t.alias("new")))
+    differ = F.flatten(F.transform(pairs, places))
     return F.when(root(old) == root(new), F.slice(differ, 1, 0)).otherwise(differ)
 
 
-def _alike(same_root: Column, a: Column, b: Column) -> Column:
+def _alike(same_text: Column, a: Column, b: Column) -> Column:
     both = (F.size(a) + F.size(b)).cast("double")
     share = F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), both), F.lit(0.0))
-    return F.when(same_root, 1.0).otherwise(share)
+    return F.when(same_text, 1.0).otherwise(share)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """How alike two fingerprints are, 0 to 1."""
-    return _alike(root(a) == root(b), leaves(a), leaves(b))
+    return _alike(text_sha256(a) == text_sha256(b), leaves(a), leaves(b))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,12 +171,12 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = d.select("*", *[leaves(F.col(c)).alias(f"_{c}") for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")])
 
     def near(other: str) -> Column:
-        return _alike(root(F.col("fingerprint")) == root(F.col(other)), F.col("_fingerprint"), F.col(f"_{other}"))
+        return _alike(text_sha256(F.col("fingerprint")) == text_sha256(F.col(other)), F.col("_fingerprint"), F.col(f"_{other}"))
 
     return d.select(
         id_col,
         "n_chars",
-        root(F.col("edited_fingerprint")).alias("edited_sha256"),
+        text_sha256(F.col("edited_fingerprint")).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         near("edited_fingerprint").alias("near_edited"),

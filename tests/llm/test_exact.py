@@ -102,6 +102,38 @@ def test_fingerprint_locates_edits(spark):
     assert found[1].e == [] and found[1].n == 1.0
 
 
+def test_fingerprint_nodes_are_hashed_from_their_children(spark):
+    texts = ["One a. Two b\nNext line\n\nOther section", "One a. Two b\nNext line\n\n\nOther section", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprints.fingerprint(F.col("t")).alias("p"))
+    prints = [r.p for r in d.collect()]
+    for t, p in zip(texts, prints, strict=True):
+        text, root, tree = p.split(":")
+        parts = [x.split("=", 1) for x in tree.split("/")] if tree else []
+        assert text == sha(t) and root == sha("/".join(n for n, _ in parts))
+        for node, below in parts:
+            lines = [x.split("=") for x in below.split(",")]
+            asked = [(node, ",".join(n for n, _ in lines)), *lines]
+            hashed = spark.createDataFrame([(x,) for _, x in asked], "x string").select(F.lower(F.hex(F.xxhash64("x")))).collect()
+            assert [n for n, _ in asked] == [h[0].rjust(16, "0") for h in hashed]
+    assert prints[0].split(":")[1:] == prints[1].split(":")[1:]
+
+
+def test_fingerprint_locates_inserted_moved_and_repeated_paragraphs(spark):
+    old = "a one\nb two\nc three\n\nd four"
+    cases = {
+        "a one\nx new\nb two\nc three\n\nd four": [(0, 1), (0, 2), (0, 3)],
+        "a one\nc three\nb two\n\nd four": [(0, 1), (0, 2)],
+        "a one\nb two\nc three\nc three\n\nd four": [(0, 3)],
+        "a one\nb two\nc three\n\nd four\n\ne five": [(2, 0)],
+        "a one\nb two\nc three": [(1, 0)],
+        old: [],
+        "": [(0, 0), (0, 1), (0, 2), (1, 0)],
+    }
+    d = spark.createDataFrame([(old, new) for new in cases], "a string, b string")
+    found = d.select("b", fingerprints.edits(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("e")).collect()
+    assert {r.b: [(x.section, x.paragraph) for x in r.e] for r in found} == cases
+
+
 def test_fingerprints_odd(empty, odd):
     assert fingerprints.compare_with_next(empty).collect() == []
     assert len(fingerprints.compare_with_next(odd).collect()) == 7
