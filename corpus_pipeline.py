@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each working on what the one before kept.
 
-1. language_id: documents whose language can't be told (no text, no letter, or a
-   probability under LEAST_SCORE) go.
+1. language_id: documents whose language can't be told (no text, or no letter) go.
+   The probability of the likeliest language is no reason to go.
 2. near_duplicates: of each group of documents linked by a 5-word shingle likeness
    of 0.8 or more, the one with the least id stays (null ids last, then by text).
    Rows are told apart by id and text: a null id is no reason to stay, texts of one
@@ -25,14 +25,12 @@ from chronofold.llm import byte_bpe, language_id, mixing, ngram_join, pii
 from chronofold.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Probability of the likeliest language under which a document goes.
-LEAST_SCORE = 0.4
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, language_id.held_out_rows())
     judged = language_id.predict(docs, model, keep_text=True)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,17 @@ def test_mixing_counts_by_row(spark):
     assert {(r.doc_id, r.key): r["count"] for r in found} == {k: n for k, n in wanted.items() if n}
 
 
+def test_only_unknown_languages_go(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(k, letters(lang, rnd, 30), lang) for k, lang in enumerate(["xx", "yy", "zz"] * 20)] + [(1000, "q", "xx"), (1002, "12", "xx"), (1003, None, "yy")]
+    docs = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    train = language_id.train
+    # as with many languages: all have about the same probability, a third
+    monkeypatch.setattr(language_id, "train", lambda *a: train(*a)._replace(temperature=1e6))
+    found = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, SF).collect()}
+    assert found == {i for i, _, _ in rows} - {1002, 1003}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_tables(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
