@@ -58,6 +58,12 @@ def etag_text(number: int, epoch: int = 1) -> str:
     return f"{ETAG_TYPE:02X}000000-{high[:4]}-{high[4:]}-{low[:4]}-{low[4:]}"
 
 
+def etag_parts(text: str) -> tuple[int, int]:
+    """(epoch, number) of an etag."""
+    digits = text.replace("-", "")
+    return int(digits[8:16], 16), int(digits[16:], 16)
+
+
 def pack(seq: Column, op: Column) -> Column:
     """Sequence number and operation in one number; order by it is order by (seq, op)."""
     return F.shiftleft(seq.cast("bigint"), 8).bitwiseOR(op.cast("bigint"))

@@ -17,12 +17,13 @@ from .changelog import (
     size_of,
 )
 from .compaction import compact
-from .mapreduce import Map, View, fold_batches, fold_into, map_rows, map_with, reduce_rows, reduce_with, results, run
+from .mapreduce import Map, View, fold_batches, fold_into, can_reduce_again, map_rows, map_with, reduce_checked, reduce_rows, reduce_with, rejects, results, run
 
 __all__ = [
     "Map",
     "View",
     "as_batch",
+    "can_reduce_again",
     "compact",
     "current",
     "first",
@@ -36,8 +37,10 @@ __all__ = [
     "missing",
     "multi_get",
     "prefix",
+    "reduce_checked",
     "reduce_rows",
     "reduce_with",
+    "rejects",
     "results",
     "run",
     "scan",

@@ -3,7 +3,9 @@
 One row is one version of a key. The newest version whose seq isn't above the
 snapshot stands; a key whose newest version is a delete isn't there. With
 `folded` (the store's default) keys that differ only in the case of ASCII letters
-are one key, which shows in the spelling of its newest version.
+are one key, which shows in the spelling of its newest version. A log may hold
+the form of the key that it is ordered and compared by as a column `at`, as the
+store's files do; then filters reach the scan.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ DELETE, PUT = 0, 1
 SAMPLE = 20
 
 
-def _id(folded: bool) -> Column:
+def at(log: DataFrame, folded: bool = True) -> Column:
+    """What the keys of a log are ordered and compared by."""
+    if "at" in log.columns:
+        return F.col("at")
     return fold(F.col("key")) if folded else F.col("key")
 
 
@@ -30,44 +35,46 @@ def current(log: DataFrame, as_of: int | None = None, folded: bool = True) -> Da
     """
     rows = log if as_of is None else log.where(F.col("seq") <= as_of)
     newest = F.max_by(F.struct("key", "seq", "op", "value"), "seq")
-    found = rows.groupBy(_id(folded).alias("_id")).agg(newest.alias("v")).select("v.*")
+    found = rows.groupBy(at(rows, folded).alias("_id")).agg(newest.alias("v")).select("v.*")
     return found.where(F.col("op") == PUT).select("key", "seq", "value")
 
 
 def get(log: DataFrame, key: str, as_of: int | None = None, folded: bool = True) -> DataFrame:
     """The row of one key; none if it is missing or deleted."""
     wanted = fold(F.lit(key)) if folded else F.lit(key)
-    return current(log.where(_id(folded) == wanted), as_of, folded)
+    return current(log.where(at(log, folded) == wanted), as_of, folded)
 
 
 def multi_get(log: DataFrame, keys: DataFrame, as_of: int | None = None, folded: bool = True) -> DataFrame:
     """The rows of those of `keys` (column key) that are there; the versions of others aren't shuffled for the argmax."""
-    wanted = keys.select(_id(folded).alias("_id")).distinct()
-    rows = log.withColumn("_id", _id(folded)).join(wanted, "_id", "left_semi").drop("_id")
+    wanted = keys.select(at(keys, folded).alias("_id")).distinct()
+    rows = log.withColumn("_id", at(log, folded)).join(wanted, "_id", "left_semi").drop("_id")
     return current(rows, as_of, folded)
 
 
 def missing(log: DataFrame, keys: DataFrame, as_of: int | None = None, folded: bool = True) -> DataFrame:
     """Those of `keys` that are not there."""
-    there = current(log, as_of, folded).select(_id(folded).alias("_id"))
-    return keys.withColumn("_id", _id(folded)).join(there, "_id", "left_anti").drop("_id")
+    there = current(log, as_of, folded)
+    there = there.select(at(there, folded).alias("_id"))
+    return keys.withColumn("_id", at(keys, folded)).join(there, "_id", "left_anti").drop("_id")
 
 
 def scan(log: DataFrame, begin: str | None = None, end: str | None = None, as_of: int | None = None, reverse: bool = False, folded: bool = True) -> DataFrame:
     """All keys in order, from `begin` up to and without `end`."""
-    key = _id(folded)
-    rows = log
+    key, rows = at(log, folded), log
     if begin is not None:
         rows = rows.where(key >= (fold(F.lit(begin)) if folded else F.lit(begin)))
     if end is not None:
         rows = rows.where(key < (fold(F.lit(end)) if folded else F.lit(end)))
-    return current(rows, as_of, folded).orderBy(key.desc() if reverse else key.asc())
+    found = current(rows, as_of, folded)
+    return found.orderBy(at(found, folded).desc() if reverse else at(found, folded).asc())
 
 
 def prefix(log: DataFrame, start: str, as_of: int | None = None, folded: bool = True) -> DataFrame:
     """Keys that begin with `start`, in order. Where to begin goes by the folded key, which keys belong by their own bytes."""
-    near = log.where(_id(folded).startswith(fold(F.lit(start)) if folded else start))
-    return current(near, as_of, folded).where(F.col("key").startswith(start)).orderBy(_id(folded))
+    near = log.where(at(log, folded).startswith(fold(F.lit(start)) if folded else F.lit(start)))
+    found = current(near, as_of, folded).where(F.col("key").startswith(start))
+    return found.orderBy(at(found, folded))
 
 
 def first(log: DataFrame, n: int = 1, as_of: int | None = None, folded: bool = True) -> DataFrame:
@@ -104,7 +111,8 @@ def seek_each(log: DataFrame, probes: DataFrame, as_of: int | None = None, folde
     range's probes don't find in it is the first key of a later one, of which there
     is one a range; no probe is compared with all keys.
     """
-    there = current(log, as_of, folded).select(_id(folded).alias("at"), "key")
+    there = current(log, as_of, folded)
+    there = there.select(at(there, folded).alias("at"), "key")
     n = ranges or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = probes.select((fold(F.col("probe")) if folded else F.col("probe")).alias("at"), F.col("probe"))
     both = there.select("at", "key", F.lit(None).cast("string").alias("probe"), F.lit(1).alias("is_key")).unionByName(asked.select("at", F.lit(None).cast("string").alias("key"), "probe", F.lit(0).alias("is_key")))
@@ -127,10 +135,10 @@ def as_batch(rows: DataFrame, base: int, order: str = "position") -> DataFrame:
     return rows.withColumn("seq", F.lit(base).cast("bigint") + F.col(order).cast("bigint") + 1)
 
 
-def size_of(rows: DataFrame) -> DataFrame:
-    """operations, bytes of a batch."""
+def size_of(rows: DataFrame, *batch: Column) -> DataFrame:
+    """operations, bytes of a batch; or of each, if columns say which one a row is of."""
     size = F.octet_length(F.col("key")) + F.coalesce(F.octet_length(F.col("value")), F.lit(0))
-    return rows.agg(F.count(F.lit(1)).alias("operations"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
+    return rows.groupBy(*batch).agg(F.count(F.lit(1)).alias("operations"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def merge_runs(runs: list[DataFrame], *order: str) -> DataFrame:

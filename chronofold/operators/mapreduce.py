@@ -4,15 +4,21 @@ A view has maps, each a projection of the events of one topic (or of all), whose
 rows are put together; a reduce, which groups them by its key and aggregates; and
 so a result a key. `run` over all events is what a view means; the incremental
 forms must give the same, which they do if the reduce can be applied to its own
-results: its outputs are its inputs' columns, and its aggregates are sums, minima,
-maxima or the like. A view is checked for the first when it is made; an average
-is two sums.
+results: each output is a column of the maps under that aggregate of itself that
+gives the same whether rows come at once or in parts, a sum, a minimum or the like.
+A view that isn't so is refused when it is made. An average is two sums, a count
+the sum of a column of ones.
+
+A map may name checks. An event that fails one isn't mapped and goes to the
+rejects; the others go on. In a micro-batch a map stops after ERRORS events in a
+row that fail, for the rest of that batch.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -21,17 +27,55 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import NULL_KEY, fold, reduce_key, result_key
 
-#: Events that a view takes up at once.
+#: Events of a small batch.
 BATCH = 1024
+#: Events in a row that fail a map's checks and end it for the batch.
+ERRORS = 50
+#: What a key's result says if its reduce gave no row (fixed by the data model).
+INVALID = "Invalid reduce result was generated"
+
+#: Aggregates that give the same over parts' results as over all rows.
+_AGAIN = "sum|min|max|first|first_value|any_value|bool_and|every|bool_or|some|any|bit_and|bit_or|bit_xor"
+_CAST = re.compile(r"\s*cast\s*\((?P<inner>.*)\s+as\s+[\w\s(),]+\)\s*", re.I | re.S)
+_CALL = re.compile(rf"\s*(?P<name>{_AGAIN})\s*\(\s*(?P<of>`[^`]+`|\w+)\s*(?:,\s*true\s*)?\)\s*", re.I)
+_BY = re.compile(r"\s*(?P<name>min|max)_by\s*\(\s*(?P<of>`[^`]+`|\w+)\s*,\s*(?P<by>`[^`]+`|\w+)\s*\)\s*", re.I)
+
+
+def _without_casts(expression: str) -> str:
+    while m := _CAST.fullmatch(expression):
+        expression = m["inner"]
+    return expression.strip()
+
+
+def _aggregate(expression: str) -> tuple[str, str] | None:
+    """(aggregate, column) of an expression that is an aggregate of a column, casts aside."""
+    m = _CALL.fullmatch(_without_casts(expression))
+    return (m["name"].lower(), m["of"].strip("`")) if m else None
+
+
+def can_reduce_again(name: str, reduce: dict[str, str], key: str) -> bool:
+    """Whether the output `name` of a reduce is the same if it is applied to parts' results."""
+    plain = _without_casts(reduce[name])
+    if plain == key.strip() or plain.strip("`") == name:
+        return True
+    if m := _BY.fullmatch(plain):
+        by = m["by"].strip("`")
+        return m["of"].strip("`") == name and _aggregate(reduce.get(by, "")) == (m["name"].lower(), by)
+    return (_aggregate(plain) or ("", ""))[1] == name
 
 
 @dataclass(frozen=True)
 class Map:
-    """columns: name to SQL expression over an event (etag, topic, ts, data); topic: None for all events."""
+    """columns: name to SQL expression over an event (etag, topic, ts, data); topic: None for all events.
+
+    checks: name to SQL condition that an event must meet to be mapped, such as
+    "try_cast(get_json_object(data, '$.n') AS INT) IS NOT NULL"; null fails.
+    """
 
     columns: dict[str, str]
     topic: str | None = None
     where: str | None = None
+    checks: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -57,6 +101,8 @@ class View:
                 raise ValueError(f"the maps of {self.name} have different columns: {first}, {list(m.columns)}")
         if open_ := [c for c in self.reduce if c not in first]:
             raise ValueError(f"the reduce of {self.name} can't be applied to its own results: no map has {', '.join(open_)}")
+        if bad := [f"{e} AS {c}" for c, e in self.reduce.items() if not can_reduce_again(c, self.reduce, self.key)]:
+            raise ValueError(f"the reduce of {self.name} gives something else if it is applied to its own results: {'; '.join(bad)}")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -80,16 +126,56 @@ class View:
         return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in self.reduce.items()) + "\nFROM (" + "\n  UNION ALL ".join(maps) + f")\nGROUP BY {self.key}"
 
 
-def map_rows(view: View, events: DataFrame) -> DataFrame:
-    """The rows of all maps. A topic becomes a filter that reaches the scan's partitions."""
+def _mapped(m: Map, events: DataFrame) -> DataFrame:
+    """The events of a map's topic that its condition leaves. A topic becomes a filter that reaches the scan's partitions."""
+    rows = events if m.topic is None else events.where(F.col("topic") == m.topic)
+    return rows.where(m.where) if m.where else rows
+
+
+def _checks(m: Map) -> dict[str, Column]:
+    return {name: F.expr(test) for name, test in m.checks.items()}
+
+
+def map_rows(view: View, events: DataFrame, stops: dict[int, str] | None = None, *extra: Column) -> DataFrame:
+    """The rows of all maps, without events that fail a map's checks. stops: by a map's number the etag that it doesn't go beyond."""
     parts = []
-    for m in view.maps:
-        rows = events if m.topic is None else events.where(F.col("topic") == m.topic)
-        rows = rows.where(m.where) if m.where else rows
-        parts.append(rows.select(*[F.expr(e).alias(c) for c, e in m.columns.items()]))
+    for k, m in enumerate(view.maps):
+        rows = _mapped(m, events)
+        if m.checks:
+            rows = tolerant(rows, _checks(m))[0]
+        if stops and k in stops:
+            rows = rows.where(F.col("etag") <= stops[k])
+        parts.append(rows.select(*extra, *[F.expr(e).alias(c) for c, e in m.columns.items()]))
     return reduce(DataFrame.unionByName, parts)
 
 
+def rejects(view: View, events: DataFrame) -> DataFrame | None:
+    """map (its number), rejected_by (the checks failed), and the event; None if no map has checks."""
+    parts = [tolerant(_mapped(m, events), _checks(m))[1].withColumn("map", F.lit(k)) for k, m in enumerate(view.maps) if m.checks]
+    return reduce(DataFrame.unionByName, parts).select("map", "rejected_by", *events.columns) if parts else None
+
+
+def stops(view: View, events: DataFrame, errors: int = ERRORS) -> dict[int, str]:
+    """By a map's number the etag where it has met `errors` failing events in a row. Looks at a batch's rejects and, if there are enough, at the batch's order."""
+    from pyspark.sql import Window
+
+    out = {}
+    for k, m in enumerate(view.maps):
+        if not m.checks:
+            continue
+        rows, bad = _mapped(m, events), F.lit(False)
+        for ok in _checks(m).values():
+            bad = bad | ~F.coalesce(ok, F.lit(False))
+        if rows.where(bad).limit(errors).count() < errors:
+            continue
+        # one task, of a micro-batch
+        lately = Window.orderBy("etag").rowsBetween(1 - errors, 0)
+        at = rows.select("etag", F.sum(bad.cast("int")).over(lately).alias("n")).where(F.col("n") == errors).agg(F.min("etag")).first()[0]
+        if at is not None:
+            out[k] = at
+    return out
+
+
 def reduce_rows(view: View, rows: DataFrame) -> DataFrame:
     """reduce_key and the reduce's columns; no rows give no result, also for a constant key."""
     keyed = rows.withColumn("__key", F.expr(view.key))
@@ -112,6 +198,28 @@ def reduce_with(rows: DataFrame, key: str, function, schema: str) -> DataFrame:
     return rows.groupBy(F.expr(key).alias("__key")).applyInArrow(lambda table: function(table), schema)
 
 
+def reduce_checked(rows: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """As reduce_with, with reduce_key and error: a key for which the function returns no row is a row of nulls with the error INVALID."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    named = rows.withColumn("__key", F.expr(key))
+    named = named.withColumn("reduce_key", reduce_key(F.col("__key"), named.schema["__key"].dataType)).drop("__key")
+    out = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("reduce_key", T.StringType()), T.StructField("error", T.StringType())])
+    wanted = to_arrow_schema(out)
+    columns, invalid = wanted.names[:-2], INVALID
+
+    def run_(key_, table):
+        found = function(table.drop_columns(["reduce_key"]))
+        n = found.num_rows
+        values = [found.column(c) for c in columns] if n else [pa.nulls(1)] * len(columns)
+        values += [pa.array([key_[0].as_py()] * max(n, 1)), pa.array([None] * n if n else [invalid], pa.string())]
+        return pa.table([v.cast(f.type) for v, f in zip(values, wanted, strict=True)], names=wanted.names)
+
+    return named.groupBy("reduce_key").applyInArrow(run_, out)
+
+
 def run(view: View, events: DataFrame) -> DataFrame:
     """The view over all events at once."""
     return reduce_rows(view, map_rows(view, events))
@@ -127,12 +235,7 @@ def fold_into(view: View, state: DataFrame | None, partial: DataFrame) -> DataFr
 
 def fold_batches(view: View, events: DataFrame, batch: Column) -> DataFrame:
     """The view by partial results of each batch, reduced again: the incremental form as one query."""
-    mapped = [events.where(F.col("topic") == m.topic) if m.topic else events for m in view.maps]
-    parts = []
-    for m, rows in zip(view.maps, mapped, strict=True):
-        rows = rows.where(m.where) if m.where else rows
-        parts.append(rows.select(batch.alias("__batch"), *[F.expr(e).alias(c) for c, e in m.columns.items()]))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = map_rows(view, events, None, batch.alias("__batch"))
     outputs = [F.expr(f"first({e}, true)" if e == view.key or e in rows.columns else e).alias(c) for c, e in view.reduce.items()]
     partial = rows.withColumn("__key", F.expr(view.key)).groupBy("__batch", "__key").agg(*outputs)
     return reduce_rows(view, partial.select(*view.reduce))

@@ -1,13 +1,17 @@
-"""A log of JSON commits in a folder of any Hadoop file system.
-
-Commit n is the file n.json, written under another name and renamed, which fails
-if it is there already: so of two writers one wins, and a reader sees a commit
-whole or not at all. The highest number is the state; nothing is ever rewritten.
+"""A log of JSON commits in a folder.
+
+Commit n is the file n.json, written under another name and then given its own,
+which fails if it is there already: so of two writers one wins, and a reader sees a
+commit whole or not at all. The highest number is the state; nothing is ever
+rewritten. On a local disk the name is a hard link; elsewhere it is a rename that
+doesn't replace, which must be one step, as on HDFS. Object stores without such a
+rename are only for a single writer.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -61,9 +65,18 @@ class CommitLog:
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            self._name(draft, final)
+        except FileExistsError as e:
+            raise Conflict(f"commit {number} of {self.path} has been made by another writer") from e
+        finally:
             self._fs.delete(draft, False)
-            raise Conflict(f"commit {number} of {self.path} has been made by another writer")
+
+    def _name(self, draft, final) -> None:
+        if self._fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+        elif self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise FileExistsError(final.toString())
 
     def drop_before(self, number: int) -> None:
         """Forget older commits, once nothing reads them any more."""
@@ -71,6 +84,11 @@ class CommitLog:
             if n < number:
                 self._fs.delete(self._path(f"{self.path}/{n:010d}.json"), False)
 
+    def folders(self, path: str, prefix: str) -> dict[str, float]:
+        """The folders in `path` whose names begin with `prefix`, and when they were changed, in seconds."""
+        found = self._fs.listStatus(self._path(path)) if self.has(path) else []
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in found if s.isDirectory() and s.getPath().getName().startswith(prefix)}
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import etag, etag_text
+from ..functions.keys import etag, etag_parts, etag_text
 from ..functions.values import ENTITY, stamped
 from .commits import CommitLog, Conflict
 
@@ -94,6 +94,25 @@ class EventLog:
         """Events with a larger etag than `after`, as the log is now. Folders that hold none of them aren't listed, topics not asked for not read."""
         return self._read(self._folders(*self._state(), after), after, topic, upto)
 
+    def cuts(self, after: str | None, upto: str, most: int) -> list[str]:
+        """The etags at which to cut the events after `after`, up to `upto`, so that no part has more than `most`; the last is `upto`. From the commits alone."""
+        out, held, last = [], 0, None
+        for f in self._folders(*self._state(), after):
+            if f["first"] > upto:
+                break
+            epoch, begin = etag_parts(f["first"])
+            end = min(f["last"], upto)
+            begin = max(begin, etag_parts(after)[1] + 1) if after is not None else begin
+            n = etag_parts(end)[1] - begin + 1
+            if held and held + n > most:
+                out.append(last)
+                held = 0
+            while held + n > most:  # one append that is larger than a part
+                begin, n = begin + most, n - most
+                out.append(etag_text(begin - 1, epoch))
+            held, last = held + n, end
+        return [*out, upto] if not out or out[-1] != upto else out
+
     def _read(self, folders: list[dict], after: str | None = None, topic: str | None = None, upto: str | None = None) -> DataFrame:
         wanted = [f"{self.path}/{f['name']}" for f in folders if upto is None or f["first"] <= upto]
         if not wanted:
@@ -141,7 +160,7 @@ class EventLog:
         name = F.col("topic") if "topic" in rows.columns else F.lit(topic)
         ts = F.col("ts") if "ts" in rows.columns else F.current_timestamp()
         draft = f"{self.path}/_drafts/{uuid.uuid4().hex}"
-        # written once to fix the order in which the rows come, then numbered
+        # written once to fix the order in which the rows come, then numbered; stamped once, as an outrun append is numbered again
         rows.select(name.alias("topic"), ts.alias("ts"), stamped(data, name, self.entity).alias("data"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("arrival")).write.parquet(draft)
         try:
             for _ in range(retries):

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_statistics(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+def file_statistics(spark: SparkSession, path: str, key: str | None = None, schema: str | None = None) -> DataFrame:
     """file, size, n, and the smallest and largest key of each Parquet file of a table."""
-    rows = spark.read.parquet(path)
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     bounds = [F.min(key).alias("smallest"), F.max(key).alias("largest")] if key else []
     named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), *([key] if key else []))
     return named.groupBy("file", "size").agg(F.count(F.lit(1)).alias("n"), *bounds)

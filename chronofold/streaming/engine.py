@@ -6,9 +6,10 @@ committed there, and `foreachBatch` folds them in. A new view starts at the log'
 beginning. The query's checkpoint only says which commits have been seen; what is
 in the results, and so what a repeated batch leaves out, the state itself says.
 
-Order is the log's. There is no watermark: a late event changes its result. A map
-that meets a value it can't read should use try_ expressions; an error that gets
-through ends the view's query, and its readers get it.
+Order is the log's. There is no watermark: a late event changes its result. Events
+that fail a map's checks go to the view's rejects, and after ERRORS of them in a
+row the map stops for the rest of that batch; an error that gets through ends the
+view's query, and its readers get it.
 """
 
 from __future__ import annotations
@@ -21,22 +22,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import LOWER, UPPER
 from ..operators import mapreduce
-from ..operators.mapreduce import View
+from ..operators.mapreduce import ERRORS, View
 from ..sources.commits import CommitLog
 from ..sources.event_log import EventLog
-from .state import State
+from .state import BUCKETS, State
 
 _FOLD = str.maketrans(UPPER, LOWER)
 #: Commits in a micro-batch.
 COMMITS = 16
+#: Events that are folded in at once, at most. Each fold is a commit of the state, so this is larger than what one machine would take up at once.
+EVENTS = 1 << 16
 
 
 class Following:
     """A view, its state, and the query that keeps it current."""
 
-    def __init__(self, log: EventLog, path: str, view: View):
-        self.log, self.path, self.view = log, path, view
-        self.state = State(log.spark, f"{path}/state", view)
+    def __init__(self, log: EventLog, path: str, view: View, events: int = EVENTS, errors: int = ERRORS, buckets: int = BUCKETS):
+        self.log, self.path, self.view, self.events, self.errors = log, path, view, events, errors
+        self.state = State(log.spark, f"{path}/state", view, buckets)
         self.query: StreamingQuery | None = None
 
     def describe(self) -> str:
@@ -52,13 +55,30 @@ class Following:
             upto = commits.agg(F.max("etag")).first()[0]
             done = self.state.progress()
             if upto is not None and (done is None or upto > done):
-                self.state.fold(self.log.events(after=done, upto=upto), upto)
+                for cut in self.log.cuts(done, upto, self.events):
+                    self._fold(self.log.events(after=done, upto=cut), cut)
+                    done = cut
 
         commits = self.log.spark.readStream.schema("etag string").option("maxFilesPerTrigger", COMMITS).json(f"{self.log.path}/_commits")
         writer = commits.writeStream.foreachBatch(take).option("checkpointLocation", f"{self.path}/checkpoint")
         self.query = writer.trigger(**trigger).start()
         return self.query
 
+    def _fold(self, events: DataFrame, upto: str) -> None:
+        stops = mapreduce.stops(self.view, events, self.errors)
+        rejected = mapreduce.rejects(self.view, events)
+        if rejected is not None:  # a repeated batch writes the same folder again
+            for k, at in stops.items():
+                rejected = rejected.where((F.col("map") != k) | (F.col("etag") <= at))
+            rejected.write.mode("overwrite").parquet(f"{self.path}/rejects/upto={upto}")
+        self.state.fold(events, upto, stops)
+
+    def rejects(self) -> DataFrame | None:
+        """map, rejected_by, etag, ts, data, topic of the events that a map's checks kept out; None if no map has checks, or before the first batch."""
+        if not any(m.checks for m in self.view.maps) or not self.log.commits.has(f"{self.path}/rejects"):
+            return None
+        return self.log.spark.read.parquet(f"{self.path}/rejects").drop("upto")
+
     def start(self, interval: str = "1 second") -> StreamingQuery:
         """Follow the log until stopped."""
         return self._start(processingTime=interval)
@@ -111,8 +131,11 @@ class Following:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str):
+    """events, errors, buckets: of each view, the events folded in at once, the failing ones in a row that stop a map, and the parts that its results lie in."""
+
+    def __init__(self, spark: SparkSession, path: str, events: int = EVENTS, errors: int = ERRORS, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        self.settings = {"events": events, "errors": errors, "buckets": buckets}
         self.log = EventLog(spark, f"{self.path}/events")
         self.definitions = CommitLog(spark, f"{self.path}/definitions")
         self.views: dict[str, Following] = {}
@@ -122,7 +145,7 @@ class Engine:
 
     def _follow(self, view: View) -> Following:
         name = "".join(c if c.isalnum() else f"_{ord(c):x}_" for c in view.name.translate(_FOLD))
-        return Following(self.log, f"{self.path}/views/{name}-{view.version()}", view)
+        return Following(self.log, f"{self.path}/views/{name}-{view.version()}", view, **self.settings)
 
     def append(self, topic: str, events) -> str | None:
         return self.log.append(topic, events)

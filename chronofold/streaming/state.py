@@ -13,9 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapreduce import View, fold_into, run
+from ..operators.mapreduce import View, fold_into, map_rows, reduce_rows
 from ..sources.commits import CommitLog
 
+#: Parts that a view's results lie in, unless the engine is told otherwise. A view keeps the number it was made with; a
+#: bucket is rewritten by one task, so there should be one for each 100 MB or so of results.
 BUCKETS = 16
 
 
@@ -39,12 +41,12 @@ class State:
         paths = [f"{self.path}/{name}/bucket={b}" for b, name in folders.items()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def fold(self, events: DataFrame, upto: str) -> None:
-        """Take up events, all later than the progress, up to `upto`."""
+    def fold(self, events: DataFrame, upto: str, stops: dict[int, str] | None = None) -> None:
+        """Take up events, all later than the progress, up to `upto`. stops: by a map's number the etag that it doesn't go beyond."""
         number, last = self._last()
         self.buckets = last["buckets"]
         bucket = F.pmod(F.xxhash64("reduce_key"), F.lit(self.buckets)).cast("int")
-        partial = run(self.view, events).persist()
+        partial = reduce_rows(self.view, map_rows(self.view, events, stops)).persist()
         try:
             touched = [str(r.b) for r in partial.select(bucket.alias("b")).distinct().collect()]  # no more than there are buckets
             folders = dict(last["folders"])

@@ -64,6 +64,33 @@ def test_definitions_are_checked():
     assert View.from_json(BILL.to_json()) == BILL and "UNION ALL" in BILL.describe() and BILL.version() != COUNT.version()
 
 
+def test_reduces_that_give_something_else_when_applied_again_are_refused():
+    one = (Map({"n": "1", "v": "1D", "at": "etag"}),)
+    for bad in ("avg(n)", "count(n)", "count(*)", "count(DISTINCT n)", "stddev(n)", "sum(DISTINCT n)", "sum(v)", "sum(n) / 2", "sum(n) + 1", "max_by(n, v)", "approx_count_distinct(n)", "percentile(n, 0.5)"):
+        with pytest.raises(ValueError, match="own results"):
+            View("Bad", one, {"n": bad, "v": "v", "at": "at"}, "at")
+    View("Good", one, {"n": "CAST(sum(n) AS BIGINT)", "v": "max_by(v, at)", "at": "max(at)"}, "1")
+
+
+def test_a_mean_is_two_sums(spark):
+    e = events(spark, [("t", json.dumps({"v": v})) for v in (1, 1, 1, 9)])
+    mean = View("Mean", (Map({"Sum": "CAST(get_json_object(data, '$.v') AS BIGINT)", "Count": "1L"}),), {"Sum": "sum(Sum)", "Count": "sum(Count)"}, "1")
+    for found in (run(mean, e), fold_batches(mean, e, F.col("etag") > "00002")):
+        assert [(r.Sum / r.Count) for r in found.collect()] == [3.0]
+
+
+def test_a_reduce_without_a_row_says_so(spark):
+    import pyarrow as pa
+
+    def large_only(table):
+        n = pa.compute.sum(table["n"]).as_py()
+        return pa.table({"n": pa.array([n] if n > 2 else [], pa.int64())})
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 5)], "k string, n long")
+    found = {r.reduce_key: (r.n, r.error) for r in mapreduce.reduce_checked(rows, "k", large_only, "n bigint").collect()}
+    assert found == {"a": (3, None), "b": (None, "Invalid reduce result was generated"), "@null": (5, None)}
+
+
 def test_maps_may_give_many_rows_and_opaque_functions(spark):
     import pyarrow as pa
 
@@ -183,6 +210,43 @@ def test_engine_folds_what_a_batch_view_gives(spark, tmp_path):
     assert found == EXPECTED == {r.reduce_key: (r.Calls, r.Sms) for r in run(BILL, engine.log.events()).collect()}
 
 
+NUMBERS = View(
+    "Numbers",
+    (Map({"Sum": "CAST(get_json_object(data, '$.n') AS BIGINT)"}, checks={"number": "try_cast(get_json_object(data, '$.n') AS BIGINT) IS NOT NULL"}),),
+    {"Sum": "sum(Sum)"},
+    "1",
+)
+
+
+@pytest.mark.parametrize(("bad", "at_once", "total", "rejected"), [(range(5, 9), 1000, 200 - 4, 4), (range(10, 100), 1000, 10, 50), (range(10, 100), 100, 10 + 60 + 40, 50 + 20)])
+def test_bad_events_go_to_the_rejects(spark, tmp_path, bad, at_once, total, rejected):
+    engine = Engine(spark, str(tmp_path / "db"), events=at_once)
+    view = engine.create(NUMBERS)
+    for k in range(0, 200, 40):
+        last = engine.append("t", [json.dumps({"n": "x" if i in bad else 1}) for i in range(k, k + 40)])
+    view.catch_up()
+    view.wait_for(last, 5)
+    # 90 in a row: those after the 50th that are in its batch aren't mapped
+    assert view.result("1") == {"Sum": total}
+    found = view.rejects().collect()
+    assert len(found) == rejected and {tuple(r.rejected_by) for r in found} == {("number",)} and len({r.etag for r in found}) == rejected
+    if len(bad) == 4:
+        assert run(NUMBERS, engine.log.events()).first().Sum == total
+
+
+def test_batches_are_cut_by_events(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"))
+    etags = [log.append("t", ["{}"] * n) for n in (3, 4, 25, 1)]
+    every = [r.etag for r in log.scan().collect()]
+    for after, upto in [(None, every[-1]), (every[1], every[-1]), (every[9], every[20]), (every[-2], every[-1])]:
+        cuts, before = log.cuts(after, upto, 10), after
+        assert cuts[-1] == upto and cuts == sorted(set(cuts))
+        for c in cuts:
+            assert 0 < log.events(after=before, upto=c).count() <= 10
+            before = c
+    assert log.cuts(None, etags[1], 100) == [etags[1]]
+
+
 def test_a_failing_view_says_so(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"))
     bad = engine.create(View("Bad", (Map({"Count": "CAST(get_json_object(data, '$.x') AS INT)"}),), {"Count": "sum(Count)"}, "1"))
