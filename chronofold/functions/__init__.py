@@ -2,9 +2,9 @@
 
 from .bloom import BloomFilter
 from .checksums import crc32c, crc32c_bytes, crc32c_extend, crc32c_mask, crc32c_unmask
-from .histograms import BUCKETS, bucket_of, histogram, percentile
+from .histograms import BUCKETS, bucket_of, histogram, merge, percentile, summary
 from .keys import bench_key, etag, etag_number, event_key, fold, pack, reduce_key, result_key, unpack
-from .values import duration_seconds, field, stamped, timestamp
+from .values import duration_seconds, field, payload, stamped, timestamp, unvarint, varint
 
 __all__ = [
     "BUCKETS",
@@ -23,11 +23,16 @@ __all__ = [
     "field",
     "fold",
     "histogram",
+    "merge",
     "pack",
+    "payload",
     "percentile",
     "reduce_key",
     "result_key",
     "stamped",
+    "summary",
     "timestamp",
     "unpack",
+    "unvarint",
+    "varint",
 ]

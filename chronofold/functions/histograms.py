@@ -21,7 +21,7 @@ def _limits() -> list[float]:
     return out[:-1] + [1e200]
 
 
-#: 154 limits; the bucket of v is that of the first limit above v.
+#: 154 limits (fixed values of the data model, made by the rule above); the bucket of v is that of the first limit above v.
 BUCKETS = _limits()
 
 

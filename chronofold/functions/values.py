@@ -1,4 +1,4 @@
-"""Values: JSON documents, timestamps, durations."""
+"""Values: JSON documents, timestamps, durations, variable-length numbers, seeded payloads."""
 
 from __future__ import annotations
 
@@ -45,3 +45,33 @@ def duration_seconds(text: Column) -> Column:
 
     seconds = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
     return F.when(text.rlike(pattern), F.when(F.regexp_extract(text, pattern, 1) == "-", -seconds).otherwise(seconds))
+
+
+def varint(number: Column) -> Column:
+    """A number of 0 or more in groups of 7 bits, the lowest first, the high bit on all but the last (LEB128), as a binary. Null for null and below 0."""
+    n = number.cast("bigint")
+    last = F.floor((F.greatest(F.length(F.bin(n)), F.lit(1)) - 1) / 7).cast("int")
+
+    def byte(i: Column) -> Column:
+        group = F.call_function("shiftright", n, 7 * i).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(group + F.when(i < last, F.lit(128)).otherwise(F.lit(0))), 2, "0")
+
+    return F.when(n >= 0, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), last), byte), "")))
+
+
+def unvarint(value: Column) -> Column:
+    """The number that `varint` has written."""
+
+    def add(total: Column, i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(value, i + 1, F.lit(1))), 16, 10).cast("bigint")
+        return total + F.call_function("shiftleft", byte.bitwiseAND(F.lit(127)), 7 * i)
+
+    return F.aggregate(F.sequence(F.lit(0), F.octet_length(value) - 1), F.lit(0).cast("bigint"), add)
+
+
+def payload(seed: Column, size: int, share: float = 0.5) -> Column:
+    """`size` printable characters that follow from the seed: about `share` of them are random, the rest repeat those, as for values that compress by so much."""
+    fresh = max(1, min(size, round(size * share)))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((fresh - 1) // 64)), lambda i: F.sha2(F.concat_ws("/", seed.cast("string"), i.cast("string")), 256))
+    piece = F.substring(F.array_join(blocks, ""), 1, fresh)
+    return F.substring(F.repeat(piece, -(-size // fresh)), 1, size)

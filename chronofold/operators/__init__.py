@@ -18,6 +18,7 @@ from .changelog import (
 )
 from .compaction import compact
 from .mapreduce import Map, View, fold_batches, fold_into, can_reduce_again, map_rows, map_with, reduce_checked, reduce_rows, reduce_with, rejects, results, run
+from .measures import roll_up
 
 __all__ = [
     "Map",
@@ -42,6 +43,7 @@ __all__ = [
     "reduce_with",
     "rejects",
     "results",
+    "roll_up",
     "run",
     "scan",
     "seek",

@@ -2,7 +2,9 @@
 
 `events` plays the event log: event_type is the topic, event_id the etag's number,
 props the document. `change_log` plays the versioned store: key 'u/' + user_id,
-seq event_id + 1, a delete where event_type is 'error'.
+seq event_id + 1, a delete where event_type is 'error'. The queries named log_,
+store_ and engine_ write them into a log or store of their own in the shared
+folder first, and read them from there.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions import histograms as hist
-from ..operators import changelog, mapreduce
+from ..operators import changelog, mapreduce, measures
 from ..operators.compaction import compact
 from ..operators.mapreduce import Map, View
+from ..session import scratch
+from ..sources import EventLog, Store
+from ..streaming import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,10 +377,12 @@ def kv_stats_by_level(spark, sf_dir):
 def batch_last_op_wins(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "error", 0).otherwise(1)
-    rows = e.select(F.expr("event_id div 10").alias("batch"), (F.col("event_id") % 10).alias("position"), F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), "value")
-    numbered = changelog.as_batch(rows, 0)
-    newest = numbered.groupBy("batch", "key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("v"))
-    return newest.where("v.op = 1").select("batch", "key", "v.seq", "v.value")
+    batch = F.expr("event_id div 10")
+    # each batch has keys of its own, so that all of them can be applied at once
+    key = F.concat_ws("/", batch.cast("string"), F.concat(F.lit("u/"), F.col("user_id").cast("string")))
+    rows = e.select((F.col("event_id") % 10).alias("position"), key.alias("key"), op.alias("op"), F.struct("value", batch.alias("batch")).alias("value"))
+    newest = changelog.current(changelog.as_batch(rows, 0))
+    return newest.select("value.batch", F.substring_index("key", "/", -2).alias("key"), "seq", "value.value")
 
 
 @query("""
@@ -383,8 +390,8 @@ def batch_last_op_wins(spark, sf_dir):
            CAST(sum(octet_length(encode('u/' || CAST(user_id AS VARCHAR))) + octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1""")
 def batch_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    size = F.octet_length(F.concat(F.lit("u/"), F.col("user_id").cast("string"))) + F.octet_length("props")
-    return e.groupBy(F.expr("event_id div 1000").alias("batch")).agg(F.count(F.lit(1)).alias("operations"), F.sum(size).cast("bigint").alias("bytes"))
+    rows = e.select(F.expr("event_id div 1000").alias("batch"), F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("value"))
+    return changelog.size_of(rows, F.col("batch"))
 
 
 # -- workloads and measures --------------------------------------------------------------------------------
@@ -398,10 +405,17 @@ def bench_key(spark, sf_dir):
 @query(f"""
     WITH limits AS (SELECT unnest([{", ".join(repr(x) for x in hist.BUCKETS[:-1])}]) AS l),
     binned AS (SELECT value, (SELECT count(*) FROM limits WHERE l <= value) AS bucket FROM events)
-    SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n, min(value) AS lo, max(value) AS hi, round(stddev_pop(value), 6) AS deviation FROM binned GROUP BY 1""")
+    SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS total FROM binned GROUP BY 1""")
 def hist_value(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(fn.bucket_of(F.col("value")).alias("bucket"), "value")
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.stddev_pop("value"), 6).alias("deviation"))
+    return fn.histogram(table(spark, sf_dir, "events"), "value").select("bucket", "n", "lo", "hi", F.round("total", 4).alias("total"))
+
+
+@query("SELECT count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS deviation FROM events")
+def hist_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    parts = [fn.histogram(e.where(f"event_id % 3 = {k}"), "value") for k in range(3)]
+    whole = fn.summary(fn.merge(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    return whole.withColumns({c: F.round(c, 4) for c in ("mean", "deviation")})
 
 
 _LIMITS = ", ".join(repr(x) for x in [0.0, *hist.BUCKETS])
@@ -422,11 +436,16 @@ def hist_median(spark, sf_dir):
 @query("SELECT o_orderpriority AS op, count(*) AS ops, CAST(sum(o_custkey) AS BIGINT) AS bytes, max(o_orderkey) AS elapsed, round(CAST(sum(o_custkey) AS DOUBLE) / max(o_orderkey), 6) AS rate FROM orders GROUP BY 1")
 def bench_rollup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    rate = F.sum("o_custkey").cast("double") / F.max("o_orderkey")
-    return orders.groupBy(F.col("o_orderpriority").alias("op")).agg(F.count(F.lit(1)).alias("ops"), F.sum("o_custkey").alias("bytes"), F.max("o_orderkey").alias("elapsed"), F.round(rate, 6).alias("rate"))
+    found = measures.roll_up(orders, F.col("o_orderpriority"), F.lit(1), F.col("o_custkey"), F.col("o_orderkey"))
+    return found.withColumn("rate", F.round("rate", 6))
 
 
-@query(None)
+@query("""
+    WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS t),
+    bytes AS (SELECT event_id, hex(encode(props)) AS h FROM events),
+    listed AS (SELECT event_id, t, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM bytes, bits),
+    crcs AS (SELECT event_id, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS crc FROM listed)
+    SELECT event_id, crc, (((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) % 4294967296 AS masked FROM crcs""")
 def crc32c_text(spark, sf_dir):
     crc = fn.crc32c(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", crc.alias("crc"), fn.crc32c_mask(crc).alias("masked"))
@@ -437,3 +456,144 @@ def bloom_no_false_negatives(spark, sf_dir):
     users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key")).distinct()
     filter_ = fn.BloomFilter.build(users, "key")
     return users.agg(F.count(F.lit(1)).alias("n"), F.count_if(filter_.may_match(F.col("key"))).alias("n_matched"))
+
+
+@query("""
+    WITH numbers AS (SELECT event_id, event_id * event_id * 7 AS n FROM events)
+    SELECT event_id, n, array_to_string(list_transform(range(greatest(1, (len(CAST(bin(n) AS VARCHAR)) + 6) // 7)), lambda i:
+        printf('%02X', ((n >> CAST(7 * i AS BIGINT)) & 127) + CASE WHEN (n >> CAST(7 * i + 7 AS BIGINT)) > 0 THEN 128 ELSE 0 END)), '') AS written
+    FROM numbers""")
+def varint_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", fn.varint(F.col("event_id") * F.col("event_id") * 7).alias("v"))
+    return rows.select("event_id", fn.unvarint(F.col("v")).alias("n"), F.hex("v").alias("written"))
+
+
+@query("""
+    WITH pieces AS (SELECT event_id, sha256('42/' || event_id || '/0') AS piece FROM events)
+    SELECT event_id, substr(repeat(substr(piece, 1, 50), 2), 1, 100) AS value FROM pieces""")
+def bench_payload(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fn.payload(F.concat(F.lit("42/"), F.col("event_id")), 100).alias("value"))
+
+
+# -- views through their engine, and reduces of other kinds ---------------------------------------------------
+
+
+@query("SELECT 'mean' AS reduce_key, CAST(sum(event_id % 10) AS BIGINT) AS \"Sum\", count(*) AS \"Count\", CAST(sum(event_id % 10) AS DOUBLE) / count(*) AS \"Mean\" FROM events")
+def mr_mean_is_two_sums(spark, sf_dir):
+    view = View("Mean", (Map({"Sum": "event_id % 10", "Count": "1L"}),), {"Sum": "sum(Sum)", "Count": "sum(Count)"}, "'mean'")
+    found = mapreduce.fold_batches(view, event_log(spark, sf_dir), F.floor(F.col("event_id") / mapreduce.BATCH))
+    return found.select("reduce_key", "Sum", "Count", (F.col("Sum") / F.col("Count")).alias("Mean"))
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS reduce_key, CASE WHEN count(*) >= 10 THEN count(*) END AS n,
+           CASE WHEN count(*) < 10 THEN 'Invalid reduce result was generated' END AS error FROM events GROUP BY user_id""")
+def mr_invalid_reduce(spark, sf_dir):
+    def often_only(rows):
+        import pyarrow as pa
+
+        return pa.table({"n": pa.array([rows.num_rows] if rows.num_rows >= 10 else [], pa.int64())})
+
+    return mapreduce.reduce_checked(table(spark, sf_dir, "events").select("user_id"), "user_id", often_only, "n bigint").select("reduce_key", "n", "error")
+
+
+def _ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are appended: by id, which the data keeps."""
+    data = F.to_json(F.struct("event_id", "user_id", F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_id").cast("string")).alias("text")))
+    return table(spark, sf_dir, "events").orderBy("event_id").select(F.col("event_type").alias("topic"), "ts", data.alias("data"))
+
+
+def _stored_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    log = EventLog(spark, scratch(spark, "log"))
+    log.append("all", _ordered_events(spark, sf_dir))
+    return log
+
+
+@query("SELECT event_id, event_type AS topic FROM events ORDER BY event_id LIMIT 1024 OFFSET 500")
+def log_after_etag(spark, sf_dir):
+    log = _stored_log(spark, sf_dir)
+    return log.scan(after=fn.keys.etag_text(500, log.epoch), limit=mapreduce.BATCH).select(fn.field(F.col("data"), "event_id", "bigint").alias("event_id"), "topic")
+
+
+@query("SELECT event_type AS topic, count(*) AS n, count(DISTINCT event_id) AS n_etags FROM events WHERE event_type = 'click' GROUP BY 1")
+def log_topic(spark, sf_dir):
+    rows = _stored_log(spark, sf_dir).events(topic="click")
+    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("etag").alias("n_etags"))
+
+
+@query("SELECT 2 * count(*) AS n, 2 * count(*) AS last_number, 2 AS appends FROM events")
+def log_counts(spark, sf_dir):
+    """From the commits alone."""
+    log = _stored_log(spark, sf_dir)
+    log.append("all", _ordered_events(spark, sf_dir))
+    return spark.createDataFrame([(log.count(), fn.keys.etag_parts(log.last_etag())[1], len(log.folders()))], "n bigint, last_number bigint, appends int")
+
+
+_OK = "try_cast(get_json_object(data, '$.text') AS BIGINT) IS NOT NULL"
+
+
+@query("""
+    SELECT event_type AS reduce_key, count(*) FILTER (WHERE event_id % 7 != 0) AS "Count", CAST(sum(event_id) FILTER (WHERE event_id % 7 != 0) AS BIGINT) AS "Sum",
+           count(*) FILTER (WHERE event_id % 7 = 0) AS rejected FROM events GROUP BY 1""")
+def engine_tolerant_view(spark, sf_dir):
+    engine = Engine(spark, scratch(spark, "engine"), events=4096)
+    engine.append("all", _ordered_events(spark, sf_dir))
+    maps = (Map({"Topic": "topic", "Count": "1L", "Sum": "CAST(get_json_object(data, '$.text') AS BIGINT)"}, checks={"number": _OK}),)
+    view = engine.create(View("Tolerant", maps, {"Topic": "Topic", "Count": "sum(Count)", "Sum": "sum(Sum)"}, "Topic"))
+    view.catch_up()
+    kept_out = view.rejects().groupBy(F.col("topic").alias("reduce_key")).agg(F.count(F.lit(1)).alias("rejected"))
+    return view.results().join(kept_out, "reduce_key").select("reduce_key", "Count", "Sum", "rejected")
+
+
+# -- the store through its files ------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, scratch(spark, "store"))
+
+
+def _write(store: Store, sf_dir: str, part: int, parts: int) -> Store:
+    """Write one of so many equal parts of the change log, by order of event ids, as a batch."""
+    n = table(store.spark, sf_dir, "events").count()
+    low, high = n * part // parts, n * (part + 1) // parts
+    rows = change_log(store.spark, sf_dir).where((F.col("seq") > low) & (F.col("seq") <= high))
+    store.write(rows.select("key", "op", (F.col("seq") - 1).cast("string").alias("value"), (F.col("seq") - 1 - low).alias("position")))
+    return store
+
+
+_TEXT_LOG = LOG.replace("value FROM", "CAST(event_id AS VARCHAR) AS value FROM")
+
+
+@query(f"WITH {_TEXT_LOG} SELECT key, seq, value FROM ({NEWEST}) WHERE place = 1 AND op = 1")
+def store_scan(spark, sf_dir):
+    return _write(_store(spark), sf_dir, 0, 1).scan()
+
+
+@query(f"WITH {_TEXT_LOG} SELECT key, seq, value FROM ({NEWEST}) WHERE place = 1 AND op = 1 AND key = 'u/17'")
+def store_get(spark, sf_dir):
+    store = _store(spark)
+    for k in range(2):
+        _write(store, sf_dir, k, 2)
+    return store.find("U/17")
+
+
+@query(f"WITH {_TEXT_LOG} SELECT key, seq, value FROM ({NEWEST} WHERE seq <= (SELECT count(*) // 2 FROM events)) WHERE place = 1 AND op = 1 AND key >= 'u/2' AND key < 'u/4'")
+def store_compacted_snapshot(spark, sf_dir):
+    """What a snapshot sees doesn't change when what it doesn't need is compacted away."""
+    store = _write(_store(spark), sf_dir, 0, 2)
+    half = store.snapshot("half")
+    _write(store, sf_dir, 1, 2).compact()
+    return store.scan("U/2", "U/4", half)
+
+
+@query(f"""
+    WITH {_TEXT_LOG}, cut AS (SELECT 2 * count(*) // 3 AS n FROM events),
+    below AS (SELECT key, seq, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS place FROM log, cut WHERE seq <= n) WHERE place = 1 AND op = 1),
+    placed AS (SELECT 1 AS level, key FROM below UNION ALL SELECT 0, key FROM log, cut WHERE seq > n)
+    SELECT level, count(*) AS n, min(key) AS smallest, max(key) AS largest FROM placed GROUP BY 1""")
+def store_levels(spark, sf_dir):
+    store = _store(spark)
+    for k in range(2):
+        _write(store, sf_dir, k, 3)
+    store.compact_level(0)
+    return _write(store, sf_dir, 2, 3).statistics().select("level", "n", "smallest", "largest")
