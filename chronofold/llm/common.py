@@ -9,8 +9,9 @@ needs is replaced by the result.
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -18,10 +19,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 #: Bytes of text that a Python worker takes up at once; bounds its memory.
 BATCH_BYTES = 2 << 20
 
 
+def _return_memory() -> None:
+    """Blocks of 1 MB and more go back to the system when they are freed, as workers live on between tasks (glibc; elsewhere nothing changes)."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        for option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            mallopt(option, 1 << 20)
+
+
+_return_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +48,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder all executors share, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronofold-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     done = df.checkpoint(eager=True)
     # shuffle files of finished steps go when the driver collects what held them, else only by chance
     gc.collect()
@@ -43,26 +56,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return done
 
 
+def literal(values: list, kind: str) -> F.Column:
+    """An array of numbers as one literal of the plan, however many they are: the optimizer reads the text of it once."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def text_rank(text: F.Column) -> F.Column:
+    """By which rows of one id are ordered: 31 bits of a hash of the text (or its bytes)."""
+    return F.shiftrightunsigned(F.xxhash64(text.cast("binary")), 33)
+
+
 class Ranges:
-    """Ranges of ids, from the smallest on (null ids last), with about equally many rows each."""
+    """Ranges of ids, from the smallest on (null ids last), with about equally many rows each.
+
+    An id that fills several ranges, as the null one may, is dealt to as many by the
+    rank of the text, if that column is given; rows are then in order by id and rank.
+    """
 
-    def __init__(self, ids: DataFrame, column: str, per_partition: int):
-        n = shuffle_partitions(ids.sparkSession) * per_partition
+    def __init__(self, rows: DataFrame, column: str, per_partition: int, text: F.Column | None = None):
+        n = shuffle_partitions(rows.sparkSession) * per_partition
         at = [k / n for k in range(1, n)]
-        self.key = F.col(column).cast("double")
-        found = ids.agg(F.percentile_approx(self.key, at, 100 * n)).first()[0]
-        self.cuts: list[float] = sorted(set(found or []))
-        self.count = len(self.cuts) + 2
+        self.key, self.text = F.col(column).cast("double"), text
+        found = rows.agg(F.percentile_approx(self.key, at, 100 * n), F.count(F.lit(1)), F.count(self.key)).first()
+        cuts = found[0] or []
+        self.cuts: list[float] = sorted(set(cuts))
+        times = [cuts.count(x) if text is not None else 1 for x in self.cuts] if len(self.cuts) < len(cuts) else [1] * len(self.cuts)
+        # of the ids up to each cut (the cut's own id may fill several), of those above all, and of null
+        self.widths = [*times, 1, max(1, round(n * (found[1] - found[2]) / max(1, found[1]))) if text is not None else 1]
+        self.count, self.nulls = sum(self.widths), self.widths[-1]
+
+    @property
+    def by_text(self) -> bool:
+        """Whether any id fills several ranges."""
+        return max(self.widths) > 1
 
     def number(self) -> F.Column:
-        """The range of a row's id: found in steps of the square root of their number, as Spark has no binary search."""
-        step = max(1, int(len(self.cuts) ** 0.5))
-        key = self.key
-        coarse = F.array(*[F.lit(x) for x in self.cuts[::step]]).cast("array<double>")
-        fine = F.array(*[F.array(*[F.lit(x) for x in self.cuts[k : k + step]]) for k in range(0, len(self.cuts), step)]).cast("array<array<double>>")
+        """The range of a row: found in steps of the square root of their number, as Spark has no binary search."""
+        step, key = max(1, int(len(self.cuts) ** 0.5)), self.key
+        coarse = literal(self.cuts[::step], "array<double>")
+        fine = literal([self.cuts[k : k + step] for k in range(0, len(self.cuts), step)], "array<array<double>>")
         at = F.size(F.filter(coarse, lambda x: x < key))
         inner = F.coalesce(F.size(F.filter(F.get(fine, at - 1), lambda x: x < key)), F.lit(0))
-        return F.when(key.isNull(), F.lit(self.count - 1)).when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+        place = F.when(key.isNull(), F.lit(len(self.cuts) + 1)).when(at == 0, F.lit(0)).otherwise((at - 1) * step + inner)
+        if not self.by_text:
+            return place
+        first = literal([sum(self.widths[:k]) for k in range(len(self.widths))], "array<int>")
+        width = F.get(literal(self.widths, "array<int>"), place)
+        # of the ids up to a cut only the cut's own is spread; the others, which are smaller, come first
+        spread = key.isNull() | (key == F.get(literal(self.cuts, "array<double>"), place))
+        own = F.when(spread, F.floor(text_rank(self.text) * width / F.lit(1 << 31)).cast("int")).otherwise(0)
+        return F.get(first, place) + own
 
 
 def utf8(column) -> F.Column:

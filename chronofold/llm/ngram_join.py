@@ -6,25 +6,37 @@ symmetric difference, and the parts (or bits) that differ are a lower bound of i
 size. Sets with a Jaccard likeness of at least t differ in at most
 (a + b) (1 - t) / (1 + t) shingles: with more parts than that one part must agree.
 Sizes go by bands, each with its own number of parts; a set near the top of its
-band also goes into the next one. Parts that no shingle falls into don't count,
-unless a sketch has so many of them that the others would not suffice.
+band also goes into the next one.
 
 Equal sets are one node. Nodes that agree in a part form a group. Links are
 wanted for connected components only, so no group is expanded into all its pairs:
-first all members are verified against one of them, then, in groups whose members
-are not all connected yet, against the one with the most links so far, and at
-last what still lies in different components, pair by pair, as far as a bit sketch
-allows the likeness. So every two members of a group are either connected or
-compared, and no component is missed. `join` yields components only; `links`
-compares every two members of a group and yields all links between sets.
 
-Documents are dealt to parts by ranges of ids; a node is (part, row). The texts
-are shuffled once; what groups need of them is kept as sets of hashes.
+1. Candidates. In a group of up to COMMON members those whose sizes and bit sketches
+   allow a link are joined up. The hash of a larger group is a common one, as that
+   of a part which holds nothing but shingles of a widespread passage. Two sets that
+   differ in d parts share one of the d + 1 that each would keep in any order that
+   both follow (prefix filter); so each leaves out its empty parts, then its most
+   common hashes, as many as it has parts beyond that number. Nodes that still share
+   a common hash are joined up as they are; mostly they are copies. Connected
+   components of all this hold every link inside one of them.
+2. Verification. A candidate component's sets meet in one call, in which nodes that
+   aren't connected yet are compared by their sets. A large component is cut into
+   calls of bounded size by hash; then one node of each of a call's components
+   meets those of the other calls.
+3. The rest. Where a large component isn't connected after that, its members are
+   compared by bit sketches, each two chunks of it in a call, and pairs that these
+   leave over and that aren't connected yet are verified.
+
+So every two members of a group are either connected or compared, and no component
+is missed. `join` yields components only; `links` yields all links between sets.
+
+Documents are dealt to parts by a hash of id and text; a node is (part, row). The
+texts are shuffled once; what is verified is kept as sets of hashes.
 
 Edge cases: a null text, or one without words, has an empty set and is linked
 with nothing; fewer than SHINGLE words are one shingle; repeated rows and ids
 are rows of the result, the component is the least id of its rows (null if all
-ids are null).
+ids are null). Rows that are equal in id and text share a part.
 """
 
 from __future__ import annotations
@@ -34,10 +46,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ranges, materialize, shuffle_partitions, slices, utf8
+from .common import materialize, shuffle_partitions, slices, utf8
+from .components import components, roots
 from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges, buckets
 from .wordhash import Words, mix, runs
 
@@ -47,18 +60,24 @@ THRESHOLD = Fraction(4, 5)
 BAND = 1.6
 #: Bits of the sketch that pairs are tried by before their sets are fetched: the power of two not under the size, in these bounds.
 LEAST_BITS, MOST_BITS = 64, 4096
-#: Members of a group that go to one call. A larger group is cut into chunks of that size by hash, and each two of its
-#: chunks go to a call, so none sees more than two chunks however large a group is, and no two members miss each other.
-CHUNK = 8192
+#: Members of a group that are compared by bit sketches. The hash of a larger group is a common one.
+COMMON = 64
+#: Sets, and shingles of them, of one call of the verification; a larger candidate component is cut into several calls.
+CALL_SETS, CALL_SHINGLES = 512, 1 << 18
+#: Members of a chunk of a component that isn't connected by then; each two chunks meet in a call.
+CHUNK = 4096
 #: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
 HASH_BYTES = 6
 
-#: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, the caller's mark, bit sketch of a node.
-DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, marks array<bigint>, sketches array<binary>"
+#: Bit of a node's number that says that a hash is of its next band.
+UP = 62
+
+#: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, the caller's mark, the hashes that a node may leave out (see Sent), its bit sketch.
+DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, marks array<bigint>, spares array<bigint>, sketches array<binary>"
 GROUP = f"kind int, group bigint, n bigint, members array<bigint>, {DESCRIBED}"
 #: Members in a row; a larger group has several rows.
 ROW_MEMBERS = 1 << 14
-SETS = "node bigint, shingles binary"
+SETS = "node bigint, n bigint, shingles binary"
 
 
 def bands(threshold: Fraction, largest: int) -> list[tuple[int, int, int]]:
@@ -119,18 +138,27 @@ class Part:
         self.rows = order[new]  # of the part's nodes, by signature
 
 
-def part_hashes(flat: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, set number) of each sketch part of the sets."""
+class Sent(NamedTuple):
+    """The sketch parts of some sets: hash, set number, and whether it is of the band above the set's own; by set and (own, next) band, how many of them it may leave out."""
+
+    hashes: np.ndarray
+    whose: np.ndarray
+    up: np.ndarray
+    spare: np.ndarray
+
+
+def part_hashes(flat: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> Sent:
     starts = np.cumsum(sizes) - sizes
+    a, b = threshold.numerator, threshold.denominator
     # up to the largest set that any one here can be alike to, wherever that lies: a set's bands don't depend on its part
-    largest = int(sizes.max(initial=1)) * threshold.denominator // threshold.numerator
-    every, found, whose = bands(threshold, largest), [], []
-    tops = np.array([b[0] for b in every])
+    every, found, whose, above = bands(threshold, int(sizes.max(initial=1)) * b // a), [], [], []
+    tops = np.array([band[0] for band in every])
     own = np.searchsorted(tops, sizes)
     # into the next band, if a set of its least size could still be alike
-    up = (own + 1 < len(every)) & (sizes * threshold.denominator >= (tops[own] + 1) * threshold.numerator)
+    up = (own + 1 < len(every)) & (sizes * b >= (tops[own] + 1) * a)
     least = int(1 / (1 - threshold)) - 1  # sets under this size are alike only if they are equal
-    for k, (_, most, parts) in enumerate(every):
+    spare = np.zeros((len(sizes), 2), np.int64)
+    for k, (top, _, parts) in enumerate(every):
         at = np.flatnonzero((sizes >= least) & ((own == k) | (up & (own == k - 1))))
         if not len(at):
             continue
@@ -142,11 +170,19 @@ def part_hashes(flat: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tup
         sketch = np.zeros(len(at) * parts, np.uint64)
         np.bitwise_xor.at(sketch, key, mix(h + np.uint64(0xE7037ED1A0B428DB)))
         held = np.bincount(key, minlength=len(sketch)).reshape(len(at), parts) > 0
-        sent = held | (held.sum(1) <= most)[:, None]
+        full = held.sum(1)
+        # the most differences to any set of the band that it can be alike to
+        most = (n + np.minimum(n * b // a, top)) * (b - a) // (b + a)
+        # Two sets that differ in d parts share one of the d + 1 that each holds dear most, in any order that both follow.
+        # In this one empty parts come last, the last of them at the very end; common hashes come before them.
+        sent = held | (np.cumsum(~held, 1) <= np.maximum(0, most + 1 - full)[:, None])
+        spare[at, (own[at] < k).astype(int)] = np.maximum(0, full - (most + 1))
         row, part = np.nonzero(sent)
         found.append(mix(sketch.reshape(len(at), parts)[row, part] ^ mix((np.uint64(k) << np.uint64(40)) + part.astype(np.uint64))))
         whose.append(at[row])
-    return (np.concatenate(found), np.concatenate(whose)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        above.append(own[at[row]] < k)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return Sent(*(np.concatenate(x) if x else n for x, n in zip((found, whose, above), none, strict=True)), spare)
 
 
 def bit_sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -160,18 +196,38 @@ def bit_sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return out
 
 
-def narrowed(sketches: list[bytes]) -> np.ndarray:
-    """The sketches, all at the width of the narrowest, as rows of 64-bit numbers."""
-    width = min(map(len, sketches), default=LEAST_BITS // 8)
-    rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches]
-    return np.array(rows, np.uint64).reshape(len(sketches), -1)
+class Sketches:
+    """Bit sketches of any widths, from a column of binaries."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        raw = column.to_pylist()
+        self.words = np.frombuffer(b"".join(raw), np.uint64)
+        self.widths = np.array([len(x) // 8 for x in raw], np.int64)  # of 64-bit numbers
+        self.starts = np.cumsum(self.widths) - self.widths
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of these rows, folded to a width that none is under, as a matrix."""
+        out = np.zeros((len(rows), width), np.uint64)
+        for w in np.unique(self.widths[rows]).tolist():
+            mine = np.flatnonzero(self.widths[rows] == w)
+            whole = self.words[self.starts[rows[mine]][:, None] + np.arange(w)]
+            out[mine] = np.bitwise_xor.reduce(whole.reshape(len(mine), w // width, width), axis=1)
+        return out
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair of rows, a lower bound of the size of their sets' symmetric difference."""
+        width, out = np.minimum(self.widths[x], self.widths[y]), np.zeros(len(x), np.int64)
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w)
+            out[mine] = np.bitwise_count(self.at(x[mine], w) ^ self.at(y[mine], w)).sum(1, dtype=np.int64)
+        return out
 
 
 def _node(part: int, rows: np.ndarray) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + rows.astype(np.int64)
 
 
-_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds", "marks")), ("sketches", pa.list_(pa.binary()))]
+_DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds", "marks", "spares")), ("sketches", pa.list_(pa.binary()))]
 _GROUP = pa.schema([("kind", pa.int32()), ("group", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
 
 
@@ -189,32 +245,163 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _find_groups(table):
-    """In a bucket: nodes that sent one hash, as a group; the rows that describe documents pass through."""
+def _find_groups(table: pa.Table, common: int) -> pa.Table:
+    """In a bucket: nodes that sent one hash, as a group (kind 1); the members of more than `common` with the mark UP if the hash is of their next band, in a group that the hash names (kind 3)."""
     raw = [r for r in zip(*(table.column(c).to_pylist() for c in ("part", "hashes", "more")), strict=True)]
     hashes = np.concatenate([_unpacked(h) for _, h, _ in raw])
-    nodes = np.concatenate([_node(p, np.frombuffer(m, f"<u{len(m) * HASH_BYTES // len(h)}")) for p, h, m in raw])
-    order = np.lexsort((nodes, hashes))
+    sent = []
+    for p, h, m in raw:
+        width = len(m) * HASH_BYTES // len(h)
+        rows = np.frombuffer(m, f"<u{width}").astype(np.int64)
+        sent.append(_node(p, rows >> 1) | (rows & 1) << UP)
+    nodes = np.concatenate(sent)
+    order = np.lexsort((nodes & (1 << UP) - 1, hashes))
     hashes, nodes = hashes[order], nodes[order]
-    edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    edges = _edges(hashes)
     found: dict[int, np.ndarray] = {}  # by a hash of the members, as most groups come from several parts of a sketch
+    rows = []
     for k in np.flatnonzero(np.diff(edges) > 1).tolist():
         members = nodes[edges[k] : edges[k + 1]]
+        if len(members) > common:
+            name = int(hashes[edges[k]] >> np.uint64(64 - 8 * HASH_BYTES))
+            rows += [(3, name, len(members), members[j : j + ROW_MEMBERS]) for j in range(0, len(members), ROW_MEMBERS)]
+            continue
+        members = members & (1 << UP) - 1
         name = int(np.bitwise_xor.reduce(mix(members.view(np.uint64) + np.uint64(len(members)))).view(np.int64))
         found.setdefault(name, members)
-    rows = [(g, len(m), m[k : k + ROW_MEMBERS]) for g, m in sorted(found.items()) for k in range(0, len(m), ROW_MEMBERS)]
-    return pa.table([pa.array([1] * len(rows), pa.int32()), *(pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())))), *_nothing(len(rows))], schema=_GROUP)
+    rows += [(1, g, len(m), m) for g, m in sorted(found.items())]
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))] + _nothing(len(rows)), schema=_GROUP)
 
 
-def _compatible(sketch: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Whether sizes and bit sketches (of one width) allow sets to be alike."""
+def _allowed(size: np.ndarray, other: np.ndarray, differ: np.ndarray | int, threshold: Fraction) -> np.ndarray:
+    """Whether sets of these sizes, with so many differences at least, can be alike."""
     a, b = threshold.numerator, threshold.denominator
-    differ = np.bitwise_count(sketch ^ other).sum(-1, dtype=np.int64)
-    return (np.minimum(size, other_size) * b >= np.maximum(size, other_size) * a) & (differ * (a + b) <= (size + other_size) * (b - a))
+    return (np.minimum(size, other) * b >= np.maximum(size, other) * a) & (differ * (a + b) <= (size + other) * (b - a))
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows of sorted columns begin, and the end."""
+    new = np.zeros(len(keys[0]) - 1, bool) if len(keys[0]) else np.zeros(0, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate([[True], new, [True]])) if len(keys[0]) else np.zeros(1, np.int64)
+
+
+def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of rows of one run, for runs of these sizes from these rows on."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes).tolist():
+        i, j = np.triu_indices(n, 1)
+        first = starts[sizes == n][:, None]
+        x.append((first + i).ravel())
+        y.append((first + j).ravel())
+    return np.concatenate(x), np.concatenate(y)
+
+
+#: Pairs of rows tried at once; bounds the memory of it.
+PAIRS = 1 << 16
+
+
+def _candidates(threshold: Fraction):
+    """Rows (group, node, size, sketch): (node, root) of the nodes that the groups of the table join up."""
+
+    def found(table):
+        table = table.sort_by([("group", "ascending"), ("node", "ascending")])
+        group, node, size = (table.column(c).to_numpy() for c in ("group", "node", "size"))
+        edges, sketches = _edges(group), Sketches(table.column("sketch"))
+        starts, sizes = edges[:-1], np.diff(edges)
+        x, y = [node[:0]], [node[:0]]
+        sums = np.cumsum(sizes * (sizes - 1) // 2)
+        for at in np.split(np.arange(len(sizes)), np.searchsorted(sums, np.arange(PAIRS, int(sums[-1]) + 1, PAIRS))):
+            p, q = _pairs_within(sizes[at], starts[at])
+            for k in range(0, len(p), PAIRS):
+                i, j = p[k : k + PAIRS], q[k : k + PAIRS]
+                near = _allowed(size[i], size[j], 0, threshold)
+                i, j = i[near], j[near]
+                near = _allowed(size[i], size[j], sketches.differ(i, j), threshold)
+                x.append(node[i[near]])
+                y.append(node[j[near]])
+        return pa.table(list(map(pa.array, roots(np.concatenate(x), np.concatenate(y)))), names=["node", "root"])
+
+    return found
+
+
+class Together:
+    """The sets of one call."""
+
+    def __init__(self, blobs: list[bytes], threshold: Fraction):
+        self.sets, self.threshold = [np.frombuffer(x, np.uint64) for x in blobs], threshold
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+    def common(self, k: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles set k has in common with each of the others."""
+        own, flat = self.sets[k], np.concatenate([self.sets[j] for j in others])
+        at = np.searchsorted(own, flat)
+        hit = own[np.minimum(at, len(own) - 1)] == flat
+        return np.bincount(np.repeat(np.arange(len(others)), self.sizes[others])[hit], minlength=len(others))
+
+    def linked(self, k: int, others: np.ndarray) -> np.ndarray:
+        a, b = self.threshold.numerator, self.threshold.denominator
+        same = self.common(k, others)
+        return others[same * b >= (self.sizes[k] + self.sizes[others] - same) * a]
+
+    def sketches(self) -> np.ndarray:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(self.sizes.max() - 1).bit_length()))
+        place = (mix(np.concatenate(self.sets) + np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
+        held = np.bincount(np.repeat(np.arange(len(self.sets)), self.sizes) * bits + place, minlength=len(self.sets) * bits) & 1
+        return np.packbits(held.astype(bool)).view(np.uint64).reshape(len(self.sets), -1)
+
+    def components(self) -> np.ndarray:
+        """For each set the one that stands for its component: the one with the most links found."""
+        n = len(self.sets)
+        if n == 2:
+            return np.array([0, 0 if len(self.linked(0, np.array([1]))) else 1])
+        label, links, sketch = np.arange(n), np.zeros(n, np.int64), self.sketches()
+        for k in range(n - 1):
+            rest = np.arange(k + 1, n)
+            rest = rest[label[rest] != label[k]]
+            differ = np.bitwise_count(sketch[k] ^ sketch[rest]).sum(1, dtype=np.int64)
+            rest = rest[_allowed(self.sizes[k], self.sizes[rest], differ, self.threshold)]
+            if len(rest) and len(found := self.linked(k, rest)):
+                links[k] += len(found)
+                links[found] += 1
+                label[np.isin(label, label[found])] = label[k]
+        order = np.lexsort((np.arange(n), -links, label))
+        first = order[_edges(label[order])[:-1]]
+        return first[np.searchsorted(label[first], label)]
+
+
+def _verified_calls(threshold: Fraction):
+    """Rows (call, label, big, node, shingles): the node that stands for each one's component within its call; with its set, if there are other calls."""
+
+    def found(table):
+        table = table.sort_by([("call", "ascending"), ("node", "ascending")])
+        node, shingles = table.column("node").to_numpy(), table.column("shingles").to_pylist()
+        edges, root = _edges(table.column("call").to_numpy()), np.empty(len(node), np.int64)
+        for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            root[i:j] = node[i:j][Together(shingles[i:j], threshold).components()] if j > i + 1 else node[i:j]
+        wanted = (root == node) & np.array(table.column("big").to_pylist(), bool)
+        kept = pa.array([x if w else None for x, w in zip(shingles, wanted.tolist(), strict=True)], pa.binary())
+        return pa.table([table.column("node"), pa.array(root), table.column("label"), table.column("big"), kept], names=["node", "root", "label", "big", "shingles"])
+
+    return found
+
+
+VERIFIED = "node bigint, root bigint, label bigint, big boolean, shingles binary"
+
+
+def _in_calls(sets: DataFrame, per_label: DataFrame, threshold: Fraction) -> DataFrame:
+    """`sets` (node, label, shingles) verified in calls; per_label: label, rows, shingles of each label."""
+    cuts = F.ceil(F.greatest(F.col("rows") / CALL_SETS, F.col("total") / CALL_SHINGLES)).cast("bigint")
+    big = materialize(per_label.select("label", cuts.alias("cuts")).where("cuts > 1"))
+    dealt = sets.join(big, "label", "left") if not big.isEmpty() else sets.withColumn("cuts", F.lit(None).cast("bigint"))
+    call = F.when(F.col("cuts").isNull(), F.col("label")).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(6)), "cuts")))
+    dealt = dealt.select("node", "label", "shingles", F.col("cuts").isNotNull().alias("big"), call.alias("call"))
+    return dealt.groupBy(F.pmod(F.xxhash64("call"), F.lit(8 * shuffle_partitions(sets.sparkSession)))).applyInArrow(_verified_calls(threshold), VERIFIED)
 
 
 def _bundled(rows: DataFrame):
-    """Rows (group, n members, node, ...) grouped for calls that compare members: `chunks` names a group or two chunks of it."""
+    """Rows (group, n members, node, ...) grouped for calls that compare all members: `chunks` names a group or two chunks of it."""
     cuts = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(6)), cuts.cast("bigint")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda j: F.xxhash64("group", F.least(own, j), F.greatest(own, j)))
@@ -222,28 +409,23 @@ def _bundled(rows: DataFrame):
     return dealt.groupBy(F.pmod("chunks", F.lit(8 * shuffle_partitions(rows.sparkSession))).alias("bundle"))
 
 
-def _by_group(table):
-    """The rows of each of the groups of a table: (slice of the sorted table, their sizes, their sketches at one width)."""
-    table = table.sort_by([("chunks", "ascending"), ("node", "ascending")])
-    groups, sizes, raw = table.column("chunks").to_numpy(), table.column("size").to_numpy(), table.column("sketch").to_pylist()
-    edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])).tolist()
-    each = [(slice(i, j), sizes[i:j], narrowed(raw[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
-    return table, each
+def _described(found: DataFrame, **columns: str) -> DataFrame:
+    """Columns of the documents under other names, a row each."""
+    d = found.where("kind = 0").select(F.explode(F.arrays_zip(*columns)).alias("d"))
+    return d.select(*[F.col(f"d.{c}").alias(name) for c, name in columns.items()])
 
 
 def _facts(found: DataFrame) -> DataFrame:
     """node, size, sketch."""
-    each = found.where("kind = 0").select(F.explode(F.arrays_zip("nodes", "sizes", "sketches")).alias("d"))
-    return each.where("d.nodes IS NOT NULL").select(F.col("d.nodes").alias("node"), F.col("d.sizes").alias("size"), F.col("d.sketches").alias("sketch"))
+    return _described(found, nodes="node", sizes="size", sketches="sketch").where("node IS NOT NULL")
 
 
-def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One table of the documents (kind 0, a row a part, whose number is in `group`), those members of groups that may be alike to another one (kind 1), and their sets (kind 2)."""
+def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The rows with their parts; and the documents (kind 0, a row a part) and groups of nodes (kinds 1 and 3)."""
     rows = docs.select("id", "raw", "mark")
-    ranges = Ranges(rows.select("id"), "id", SPREAD)
-    n = buckets(docs.sparkSession)
-    dealt = rows.withColumn("part", ranges.number())
-    sent = f"{SENT}, {DESCRIBED}"
+    n, parts_ = buckets(docs.sparkSession), shuffle_partitions(docs.sparkSession) * SPREAD
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("raw")), F.lit(parts_)).cast("int"))
+    message, common = f"{SENT}, {DESCRIBED}", COMMON
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *_DESCRIBED])
 
     def send_signatures(key, table):
@@ -260,16 +442,18 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         mine = np.zeros(len(sizes), bool)
         mine[owned] = True
         keep = np.repeat(mine, sizes)
-        hashes, whose = part_hashes(flat[keep], sizes[mine], threshold)
-        order = np.argsort(hashes)
-        hashes, rows = hashes[order], np.flatnonzero(mine)[whose[order]].astype("<u2" if len(sizes) <= 1 << 16 else "<u4")
+        sent = part_hashes(flat[keep], sizes[mine], threshold)
+        order = np.argsort(sent.hashes)
+        # a row's number, and in the last bit whether the hash is of the next band
+        hashes, rows = sent.hashes[order], (np.flatnonzero(mine)[sent.whose[order]] * 2 + sent.up[order]).astype("<u2" if len(sizes) <= 1 << 15 else "<u4")
         edges = bucket_edges(hashes, n)
         full = np.flatnonzero(np.diff(edges))
         runs_ = [slice(edges[j], edges[j + 1]) for j in full]
         sent_rows = [pa.array(full.astype(np.int32)), pa.array([part] * len(full), pa.int32()), pa.array([_packed(hashes[r]) for r in runs_], pa.binary()), pa.array([rows[r].tobytes() for r in runs_], pa.binary())]
         nodes = [int(x) if m else None for x, m in zip(_node(part, np.arange(len(sizes))), mine, strict=True)]
+        spares = iter((sent.spare[:, 0] + (sent.spare[:, 1] << 32)).tolist())
         sketches = iter(bit_sketches(flat[keep], sizes[mine]))
-        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), p.marks, [next(sketches) if m else None for m in mine]]
+        described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), p.marks, [next(spares) if m else None for m in mine], [next(sketches) if m else None for m in mine]]
         out = pa.table([*sent_rows, *_nothing(len(full))], schema=schema)
         row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], t) for x, (_, t) in zip(described, _DESCRIBED, strict=True))]
         return pa.concat_tables([out, pa.table(row, schema=schema)])
@@ -278,7 +462,17 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         if table.column("bucket")[0].as_py() < 0:  # a part's documents
             described = [table.column(c).cast(t) for c, t in _DESCRIBED]
             return pa.table([pa.array([0] * len(table), pa.int32()), table.column("part").cast(pa.int64()), *(pa.nulls(len(table), t) for t in _GROUP.types[2:4]), *described], schema=_GROUP)
-        return _find_groups(table)
+        return _find_groups(table, common)
+
+    signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
+    owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
+    parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, message)
+    found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
+    return dealt, found
+
+
+def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """One table of the documents (kind 0, a row a part), candidates (kind 1: a node and in `group` what it is joined up with, a node or, under 0, a common hash), and their sets (kind 2)."""
 
     def fetch(key, left, right):
         at = sorted({x & 0xFFFFFFFF for x in right.column("node").to_pylist()})
@@ -286,104 +480,56 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         flat, sizes = p.sets(at)
         ends = np.cumsum(sizes)
         blobs = [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
-
-    def near_members(table):
-        table, groups = _by_group(table)
-        alike = np.zeros(len(table), bool)
-        for at, size, sketch in groups:
-            mine = alike[at]
-            for j in range(len(size) - 1):
-                ok = _compatible(sketch[j], size[j], sketch[j + 1 :], size[j + 1 :], threshold)
-                mine[j] |= ok.any()
-                mine[j + 1 :] |= ok
-        return table.select(["group", "node"]).filter(pa.array(alike))
-
-    signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
-    owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
-    parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, sent)
-    found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
-    members = found.where("kind = 1").select("group", "n", F.explode("members").alias("node"))
-    near = _bundled(members.join(_facts(found), "node")).applyInArrow(near_members, "group bigint, node bigint").distinct()
-    # the exchange by node serves both uses of the result, so it keeps all columns
-    near = near.repartition("node")
-    wanted = near.groupBy("node").agg(F.min("group").alias("group")).withColumn("part", F.shiftright("node", 32).cast("int"))
+        return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "n", "shingles"])
+
+    dealt, found = _parts(docs, k, threshold)
+    least = F.element_at("members", 1)  # groups of one cluster mostly share it, so a call joins them up
+    members = found.where("kind = 1").select("group", least.alias("least"), F.explode("members").alias("node")).join(_facts(found), "node")
+    small = members.groupBy(F.pmod(F.xxhash64("least"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInArrow(_candidates(threshold), "node bigint, root bigint")
+    # of its common hashes a node leaves out the most common ones; by the others it is joined up with what has them
+    least_bits = (1 << UP) - 1
+    spare = F.when(F.col("up") == 0, F.col("spare").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftright("spare", 32))
+    often = found.where("kind = 3").select("group", "n", F.explode("members").alias("sent"))
+    often = often.select("group", "n", F.col("sent").bitwiseAND(least_bits).alias("node"), F.shiftright("sent", UP).alias("up"))
+    often = often.join(_described(found, nodes="node", spares="spare").where("node IS NOT NULL"), "node")
+    order = Window.partitionBy("node", "up").orderBy(F.col("n").desc(), "group")
+    large = often.withColumn("place", F.row_number().over(order)).where(F.col("place") > spare).select("node", (-1 - F.col("group")).alias("root"))
+    # the exchange by node serves both uses of the result, so both need all columns
+    near = small.unionByName(large).repartition("node")
+    wanted = near.groupBy("node").agg(F.min("root").alias("root")).withColumn("part", F.shiftright("node", 32).cast("int"))
     sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
-    whole = found.where("kind = 0").unionByName(near.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    candidates = near.select("node", F.col("root").alias("group"), F.lit(1).alias("kind"))
+    whole = found.where("kind = 0").drop("members").unionByName(candidates, allowMissingColumns=True)
     return materialize(whole.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
 
 
-def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (x, y) that are alike; sets are fetched only for those that sizes and bit sketches leave over."""
-    a, b = threshold.numerator, threshold.denominator
-    left = facts.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("sketch").alias("sketch_x"))
-    right = facts.select(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("sketch").alias("sketch_y"))
-
-    def compatible(batches):
-        for batch in batches:
-            sizes = [batch.column(c).to_numpy() for c in (2, 4)]
-            keep = [
-                bool(_compatible(*(two := narrowed([p, q]))[:1], m, two[1:], n, threshold)[0])
-                for p, q, m, n in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), *sizes, strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "size_x", "sketch_x", "size_y", "sketch_y")
-    near = both.mapInArrow(compatible, "x bigint, y bigint")
-    near = near.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("set_x")), "x")
-    near = near.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("set_y")), "y").select("x", "y", "set_x", "set_y")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (x, y) that are alike."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "xy")
 
     def alike(batches):
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common * b >= (len(p) + len(q) - common) * a)
+            for two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                keep.append(len(Together(list(two), threshold).linked(0, np.array([1]))) > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return near.mapInArrow(alike, "x bigint, y bigint")
-
-
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label: the least label that links lead to. `labels` has all nodes; each round also follows labels of labels."""
-    spark = labels.sparkSession
-    ends = links.select("x", "y").join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y")
-    edges = materialize(ends.where("lx != ly").select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b")).distinct())
-    if edges.isEmpty():
-        return labels
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = edges.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("to", F.col("a"))
-    while True:
-        near = both.join(found.select(F.col("a").alias("b"), F.col("to").alias("next")), "b").groupBy("a").agg(F.min("next").alias("next"))
-        step = found.join(near, "a").select("a", F.least("to", "next").alias("new"), F.col("to").alias("old"))
-        jump = step.select(F.col("a").alias("new"), F.col("new").alias("far"))
-        step = materialize(step.join(jump, "new").select("a", F.least("new", "far").alias("to"), "old"))
-        found = step.select("a", "to")
-        if step.where("`to` != old").isEmpty():
-            break
-    return materialize(labels.join(found.select(F.col("a").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-
-
-def _rest(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, n members, node, label of the groups whose members have more than one label."""
-    rows = groups.join(labels, "node")
-    several = rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("group", "n")
-    return rows.join(several, "group")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y").mapInArrow(alike, "x bigint, y bigint")
 
 
 def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of a group with different labels that sizes and bit sketches leave over."""
+    """Of rows (group, n members, node, label): pairs of a group with different labels that sizes and bit sketches leave over."""
 
     def pairs(table):
-        table, groups = _by_group(table)
-        nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
-        out = [np.zeros((0, 2), np.int64)]
-        for at, size, sketch in groups:
-            node, label = nodes[at], labels[at]
-            for k in range(len(size) - 1):
-                ok = _compatible(sketch[k], size[k], sketch[k + 1 :], size[k + 1 :], threshold) & (label[k + 1 :] != label[k])
-                out.append(np.stack([np.full(ok.sum(), node[k]), node[k + 1 :][ok]], 1))
+        table = table.sort_by([("chunks", "ascending"), ("node", "ascending")])
+        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
+        edges, sketches, out = _edges(table.column("chunks").to_numpy()), Sketches(table.column("sketch")), [np.zeros((0, 2), np.int64)]
+        for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            folded = sketches.at(np.arange(i, j), int(sketches.widths[i:j].min()))
+            for k in range(i, j - 1):
+                differ = np.bitwise_count(folded[k - i] ^ folded[k - i + 1 :]).sum(1, dtype=np.int64)
+                ok = _allowed(size[k], size[k + 1 : j], differ, threshold) & (label[k + 1 : j] != label[k])
+                out.append(np.stack([np.full(ok.sum(), node[k]), node[k + 1 : j][ok]], 1))
         every = np.concatenate(out)
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
 
@@ -396,42 +542,56 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, mark=None) -> DataFrame:
 
 
 def _documents(found: DataFrame) -> DataFrame:
-    """A row a document; places ascend by id (null last), then text."""
-    described = F.arrays_zip("ids", "sizes", "nodes", "firsts", "seconds", "marks")
-    d = found.where("kind = 0").select("group", F.posexplode(described).alias("at", "d"))
-    place = F.shiftleft(F.col("group"), 32) + F.col("at")
-    return d.select("d.*", place.alias("place")).toDF("id", "n_shingles", "node", "first", "second", "mark", "place")
+    """A row a document."""
+    return _described(found, ids="id", sizes="n_shingles", nodes="node", firsts="first", seconds="second", marks="mark")
 
 
-def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """A row a document: id, mark, n_shingles, component_id, kept (true for the first row of each component)."""
-    found = _groups(rows, k, threshold)
-    groups, facts = found.where("kind = 1").select("group", "node"), _facts(found)
+def _candidate_labels(found: DataFrame) -> DataFrame:
+    """node, label of a candidate component, size."""
+    labels = components(found.where("kind = 1 AND node != group").select(F.col("group").alias("x"), F.col("node").alias("y")))
+    return materialize(found.where("kind = 2").select("node", F.col("n").alias("size")).join(labels, "node"))
+
+
+def _verified_labels(found: DataFrame, threshold: Fraction) -> DataFrame:
+    """node, comp of the nodes that candidates hold: those of one component have one comp, whichever."""
+    labels = _candidate_labels(found)
     sets = found.where("kind = 2").select("node", "shingles")
-    labels = sets.select("node", F.col("node").alias("label"))
-    centres = groups.groupBy("group").agg(F.min("node").alias("x"))
-    star = groups.join(centres, "group").where("node != x").select("x", F.col("node").alias("y")).distinct()
-    links = materialize(verified(star, facts, sets, threshold))
-    labels = components(labels, links)
-    rest = materialize(_rest(groups, labels))
-    if not rest.isEmpty():
-        degrees = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        ranked = rest.join(degrees, "node", "left").groupBy("group").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "node", "label")).alias("hub"))
-        hubs = rest.join(ranked, "group").where(F.col("label") != F.col("hub.label"))
-        star = hubs.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y")).distinct()
-        labels = components(labels, materialize(verified(star, facts, sets, threshold)))
-        last = _last_pairs(_rest(groups, labels), facts, threshold)
-        labels = components(labels, materialize(verified(last, facts, sets, threshold)))
+    per_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"))
+    done = materialize(_in_calls(sets.join(labels.select("node", "label"), "node"), per_label, threshold))
+    out = done.select("node", F.col("root").alias("comp"))
+    if done.where("big").isEmpty():
+        return out
+    heads = done.where("big AND node = root").select("node", "label", "shingles")
+    per_label = heads.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("shingles") / 8).alias("total"))
+    met = materialize(_in_calls(heads, per_label, threshold).select(F.col("node").alias("root"), F.col("root").alias("comp")))
+    large = materialize(done.where("big").select("node", "label", "root").join(met, "root").select("node", "label", "comp"))
+    out = done.where("NOT big").select("node", F.col("root").alias("comp")).unionByName(large.select("node", "comp"))
+    apart = large.groupBy("label").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    apart = materialize(apart.select("label", "n"))
+    if apart.isEmpty():
+        return materialize(out)
+    rest = large.join(apart, "label").select(F.col("label").alias("group"), "n", "node", F.col("comp").alias("label"))
+    links = verified(_last_pairs(rest, _facts(found), threshold), sets, threshold)
+    ends = links.join(out.toDF("x", "comp_x"), "x").join(out.toDF("y", "comp_y"), "y")
+    more = components(ends.select(F.col("comp_x").alias("x"), F.col("comp_y").alias("y")))
+    return materialize(out.join(more.toDF("comp", "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")))
 
+
+def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """A row a document: id, mark, n_shingles, component_id, kept (true for the rows of each component that are first by id, null last, and mark)."""
+    found = _groups(rows, k, threshold)
+    near = _verified_labels(found, threshold)
     d = _documents(found)
-    # the least id of each set, then of each component of sets; most sets are their own component
-    least = d.where("n_shingles > 0").groupBy("first", "second").agg(F.min("id").alias("least"), F.min("place").alias("place"), F.max("node").alias("node"), F.count(F.lit(1)).alias("rows"))
-    named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("place").alias("keeper"), F.sum("rows").alias("all_rows"))
-    several = named.join(whole.where("all_rows > 1"), "label").select(F.col("first").alias("f"), F.col("second").alias("s"), "component_id", "keeper")
-    joined = d.join(several, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
-    kept = F.coalesce(F.col("keeper") == F.col("place"), F.lit(True))
-    return joined.select("id", "mark", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), kept.alias("kept"))
+    # the first row of each set, then of each component of sets; most sets are their own component
+    place = F.struct(F.isnull("id").alias("last"), "id", "mark")
+    firsts = d.where("n_shingles > 0").groupBy("first", "second").agg(F.min(place).alias("own"), F.max("node").alias("node"), F.count(F.lit(1)).alias("rows"))
+    named = materialize(firsts.join(near, "node", "left").where("comp IS NOT NULL OR rows > 1"))
+    whole = materialize(named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("keeper")))
+    several = materialize(named.join(whole, "comp", "left").select("first", "second", F.coalesce("keeper", "own").alias("keeper")))
+    joined = d.join(several, ["first", "second"], "left")
+    kept = F.col("keeper").isNull() | (F.col("id").eqNullSafe(F.col("keeper.id")) & F.col("mark").eqNullSafe(F.col("keeper.mark")))
+    component = F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id"))
+    return joined.select("id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,12 +617,13 @@ class Links(NamedTuple):
 
 
 def links(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> Links:
-    """All verified links, also those inside a component; a group of m different texts has up to m x m / 2 of them."""
+    """All verified links, also those inside a component; of m members of a candidate component all m x m / 2 pairs are compared by bit sketches."""
     found = _groups(_rows(docs, id_col, text_col), k, threshold)
-    sets = found.where("kind = 2").select("node", "shingles")
-    facts, alone = _facts(found), sets.select("node", F.col("node").alias("label"))
-    pairs = _last_pairs(_rest(found.where("kind = 1").select("group", "node"), alone), facts, threshold)
+    labels, sets = _candidate_labels(found), found.where("kind = 2").select("node", "shingles")
+    per_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    every = labels.join(materialize(per_label), "label").select(F.col("label").alias("group"), "n", "node", F.col("node").alias("label"))
+    pairs = _last_pairs(every, _facts(found), threshold)
     d = _documents(found).select("id", "n_shingles", "node", "first", "second")
     owners = d.where("node IS NOT NULL").select(F.col("first").alias("f"), F.col("second").alias("s"), F.col("node").alias("owner"))
     members = d.join(owners, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
-    return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(verified(pairs, facts, sets, threshold)))
+    return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(verified(pairs, sets, threshold)))
