@@ -20,7 +20,7 @@ from ..operators import changelog, mapreduce, measures
 from ..operators.compaction import compact
 from ..operators.mapreduce import Map, View
 from ..session import scratch
-from ..sources import EventLog, Store
+from ..sources import EventLog, EventStream, Store
 from ..streaming import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,16 +215,33 @@ def events_last_etag(spark, sf_dir):
     return event_log(spark, sf_dir).agg(F.max("etag").alias("etag")).select(fn.etag_number(F.col("etag")).alias("last_event"))
 
 
-@query("SELECT event_id // 1000 AS range_no, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY 1")
+def _stream(spark: SparkSession, sf_dir: str, parts: int) -> EventStream:
+    """Events in so many appends, each by id."""
+    stream = EventStream(spark, scratch(spark, "stream"))
+    e = table(spark, sf_dir, "events")
+    n = e.count()
+    for k in range(parts):
+        part = e.where((F.col("event_id") >= n * k // parts) & (F.col("event_id") < n * (k + 1) // parts))
+        stream.append(part.orderBy("event_id").select("event_id", F.col("event_type").alias("topic")))
+    return stream
+
+
+@query("""
+    SELECT CAST(range_no AS INTEGER) AS range_no, count(*) AS n, min(event_id) + 1 AS first_number, max(event_id) + 1 AS last_number
+    FROM (SELECT event_id, (event_id * 4 + 3) // (SELECT count(*) FROM events) AS range_no FROM events) GROUP BY 1""")
 def stream_count_ranges(spark, sf_dir):
-    number = F.expr("event_id div 1000")
-    return table(spark, sf_dir, "events").groupBy(number.alias("range_no")).agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+    """From the commits alone."""
+    found = _stream(spark, sf_dir, 4).ranges()
+    rows = [(k, f["n"], fn.keys.etag_parts(f["first"])[1], fn.keys.etag_parts(f["last"])[1]) for k, f in enumerate(found)]
+    return spark.createDataFrame(rows, "range_no int, n bigint, first_number bigint, last_number bigint")
 
 
-@query("SELECT event_id, event_type AS topic FROM events WHERE event_id >= 9000 ORDER BY event_id")
+@query("SELECT event_id, event_type AS topic FROM events WHERE event_id >= (SELECT 9 * count(*) // 10 FROM events) ORDER BY event_id")
 def stream_read_from(spark, sf_dir):
-    start = fn.keys.etag_text(9000)
-    return event_log(spark, sf_dir).where(F.col("etag") >= start).orderBy("etag").select("event_id", "topic")
+    stream = _stream(spark, sf_dir, 2)
+    start = fn.keys.etag_text(9 * stream.count() // 10 + 1, stream.log.epoch)
+    found = stream.read_from(start)
+    return found.select(fn.field(F.col("data"), "event_id", "bigint").alias("event_id"), fn.field(F.col("data"), "topic").alias("topic"))
 
 
 @query("SELECT event_id, event_type AS topic, json_extract_string(props, '$.k') AS k FROM events")

@@ -89,6 +89,9 @@ class CommitLog:
         found = self._fs.listStatus(self._path(path)) if self.has(path) else []
         return {s.getPath().getName(): s.getModificationTime() / 1000 for s in found if s.isDirectory() and s.getPath().getName().startswith(prefix)}
 
+    def size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

@@ -118,11 +118,13 @@ class Store:
 
     # -- folders ------------------------------------------------------------------------------------
 
-    def _write_folder(self, rows: DataFrame, number: int, level: int) -> list[dict]:
-        """The versions as a folder, described; none if there are none."""
+    def _write_folder(self, rows: DataFrame, number: int, level: int, known: dict | None = None) -> list[dict]:
+        """The versions as a folder, described; none if there are none. known: n, smallest and largest of rows that the driver has made, as one file."""
         name = f"data-{number:010d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.path}/{name}"
         with_bloom(rows.select("key", "at", "seq", "op", "value").sortWithinPartitions("at", F.col("seq").desc()).write, "at").parquet(path)
+        if known is not None:
+            return [{"name": name, "level": level, "files": 1, "size": self.commits.size(path)} | known]
         files = file_statistics(self.spark, path, "at", VERSIONS)
         found = files.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest")).first()
         if not found.n:
@@ -177,8 +179,9 @@ class Store:
     def _write_group(self, group: list[_Waiting]) -> None:
         every = [row for w in group for row in w.batch.rows]
         rows = self.spark.createDataFrame([(k, op, v, p) for p, (k, op, v) in enumerate(every)], "key string, op int, value string, position bigint").coalesce(1)
+        keys = sorted((self._id(k) for k, _, _ in every), key=str.encode)
         try:
-            seq = self._write_rows(rows) - len(every)
+            seq = self._write_rows(rows, {"n": len(every), "smallest": keys[0], "largest": keys[-1]}) - len(every)
         except Exception as e:
             for w in group:
                 w.error = e
@@ -187,17 +190,19 @@ class Store:
             seq += w.batch.operations
             w.seq = seq
 
-    def _write_rows(self, rows: DataFrame) -> int:
+    def _write_rows(self, rows: DataFrame, known: dict | None = None) -> int:
         self._hold_back()
 
         def change(number, state):
             base = state["seq"]
             key = fold(F.col("key")) if self.folded else F.col("key")
             numbered = changelog.as_batch(rows, base).select("key", key.alias("at"), "seq", F.col("op").cast("tinyint").alias("op"), F.col("value").cast("string").alias("value"))
-            made = self._write_folder(numbered, number + 1, 0)
+            made = self._write_folder(numbered, number + 1, 0, known)
             if not made:
                 return state, base, made
             n = made[0]["n"]
+            if known is not None:
+                return state | {"seq": base + n, "folders": [*state["folders"], *made]}, base + n, made
             seqs = self._read_folders(made).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_distinct("seq").alias("n")).first()
             if (seqs.lo, seqs.hi, seqs.n) != (base + 1, base + n, n):
                 self.commits.delete(f"{self.path}/{made[0]['name']}")

@@ -112,3 +112,34 @@ def test_histogram(spark):
     assert (s.n, s.lo, s.hi, s["mean"]) == (1000, 1.0, 1000.0, 500.5) and abs(s.deviation - 288.675) < 0.01
     assert abs(fn.percentile(whole, 50).first().value - 500) < 5 and fn.percentile(whole, 100).first().value == 1000.0
     assert fn.percentile(fn.histogram(d.limit(0), "v"), 50).first() is None
+
+
+def test_varint(spark):
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**56 - 1, 2**63 - 1]
+
+    def plain(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    d = spark.createDataFrame([(n,) for n in [*numbers, -1, None]], "n bigint").withColumn("v", fn.varint(F.col("n")))
+    found = d.select("n", "v", fn.unvarint(F.col("v")).alias("back")).collect()
+    assert [(bytes(r.v), r.back) for r in found[: len(numbers)]] == [(plain(n), n) for n in numbers]
+    assert [(r.v, r.back) for r in found[len(numbers) :]] == [(None, None)] * 2
+
+
+def test_payload(spark):
+    d = spark.range(50).select(fn.payload(F.col("id"), 1000, 0.2).alias("v"), fn.payload(F.col("id"), 7, 1.0).alias("short"), fn.payload(F.col("id"), 300, 1.0).alias("all"))
+    found = d.collect()
+    assert {len(r.v) for r in found} == {1000} and len({r.v for r in found}) == 50 and all(r.v == (r.v[:200] * 5) for r in found)
+    assert {len(r.short) for r in found} == {7} and {len(r.all) for r in found} == {300} and d.collect() == found
+
+
+def test_roll_up(spark):
+    from chronofold.operators import roll_up
+
+    rows = spark.createDataFrame([("read", 5, 100, 2.0), ("read", 7, 300, 4.0), ("write", 1, 10, 0.0)], "op string, ops long, bytes long, elapsed double")
+    found = {r.op: (r.ops, r.bytes, r.elapsed, r.rate) for r in roll_up(rows, *map(F.col, rows.columns)).collect()}
+    assert found == {"read": (12, 400, 4.0, 100.0), "write": (1, 10, 0.0, None)}
