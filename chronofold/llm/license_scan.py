@@ -64,10 +64,22 @@ def phrase_pattern(phrase: str) -> re.Pattern:
 
 def resolve(found: list[tuple]) -> list[tuple]:
     """(label, kind, start, end, score, priority) without those within one that stands before them."""
-    standing: list[tuple] = []
-    for x in sorted(set(found), key=lambda x: (-x[5], x[2] - x[3], x[2], x[0])):
-        if not any(y[2] <= x[2] and x[3] <= y[3] for y in standing):
-            standing.append(x)
+    every = sorted(set(found), key=lambda x: (-x[5], x[2] - x[3], x[2], x[0]))
+    rank = {start: k for k, start in enumerate(sorted({x[2] for x in every}), 1)}
+    # the furthest end by start of those that stand, as maxima over runs of ranks whose lengths are powers of two
+    furthest, standing = [-1] * (len(rank) + 1), []
+    for x in every:
+        k, most = rank[x[2]], -1
+        while k:
+            most = max(most, furthest[k])
+            k &= k - 1
+        if most >= x[3]:
+            continue
+        standing.append(x)
+        k = rank[x[2]]
+        while k <= len(rank):
+            furthest[k] = max(furthest[k], x[3])
+            k += k & -k
     return sorted(standing, key=lambda x: (x[2], x[3], x[0]))
 
 

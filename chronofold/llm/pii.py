@@ -20,7 +20,9 @@ points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate, groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,7 +47,6 @@ OUTPUT = T.StructType([T.StructField("spans", T.ArrayType(SPAN))])
 # -- base spans ----------------------------------------------------------------------------------
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -122,12 +123,9 @@ def lexicon() -> frozenset[str]:
 
 
 def shape(word: str) -> str:
-    out = []
-    for c in word[:64]:
-        s = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c if c.isascii() else "u"
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out)[:12]
+    """The kinds of the word's characters, each run once."""
+    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c if c.isascii() else "u" for c in word)
+    return "".join(k for k, _ in groupby(kinds))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -340,8 +338,10 @@ class Finder:
         """All spans of each text, by start, then kind as listed."""
         out = []
         for text, added in zip(texts, self.added_spans(texts), strict=True):
-            base = base_spans(text)
-            free = [x for x in added if not any(x[1] < b[2] and b[1] < x[2] for b in base)]
+            base = sorted(base_spans(text), key=lambda x: x[1])
+            starts, ends = [b[1] for b in base], [-1, *accumulate((b[2] for b in base), max)]
+            # of the base spans that begin before its end, the furthest end
+            free = [x for x in added if ends[bisect_left(starts, x[2])] <= x[1]]
             out.append(sorted(base + free, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
         return out
 

@@ -1,4 +1,4 @@
-"""The small labelled table of the personal-data tagger: `{kind words}` marks a span."""
+"""The small labelled table of the personal-data tagger: `{kind words}` marks a span. Written by hand; invented words are in no table that is searched."""
 
 EXAMPLES = """
 my name is {name John Smith} and i live here
@@ -53,13 +53,13 @@ le la les des une est dans pour que qui
 La maison est grande et le jardin est petit.
 el la los las una con por para que del
 La casa es grande y el jardín es pequeño.
-Onin thsh the For threly ofedwhou ingin eahesh of hewh
-Étreenque çen èéier laaiauxtiontion les oueuxqueoi de oiment
-Enberber enverheitber erlichungst geßkeit ungsch enlich
-Asciue ciónjaaros asboque ciónosgata iedoga de arez
-HASH!! ON.!! IT!! ONEDEN!! ESTIONED.!! THE!! TI!! TO!!
-reed*** ndsh*** ing&&& erhe*** of%%% to%%% inrent$$$
-ofanwhorha, | erhaheou | edntin, | threhe | eranen
+Vondrel shaskit the For brumwick tolverane quistow mapplegorn of drenfa
+Évrandois çarbel prèmelle louvaurtine les quévardoux de brimancel
+Grambeltz unverstrotlich Knieselbraß Wälpenheit tröngelung brausig
+Cordelluz alañaros mestroque vación ruñogato de parvez
+BRACK!! MOLT.!! VERN!! SKARDEN!! PLOVING.!! AND!! QU!! WE!!
+brog*** talm*** wisk&&& dorven*** pell%%% gam%%% stolben$$$
+mavolquen, | birtanoze | falkrit, | sprolde | wontabek
 # heading of the page
 ## Second heading here
 - item one of the list
