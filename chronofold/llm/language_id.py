@@ -2,17 +2,22 @@
 
 A text's letters (lower case, all else a space) give 1- to 3-grams, hashed to DIMS
 features. Document frequencies are counted over all eligible rows. The classifier
-is fitted on a bounded sample of them, SAMPLE_PER_LANG rows a language, the same
-ones in every run, by FTRL-proximal with elastic-net penalties, which leaves most
-weights at zero. A fifth of the sample stays out of the fit and sets the
-temperature that divides the scores before the softmax.
+is fitted on a bounded sample of them, SAMPLE_PER_LANG rows of each of the
+SAMPLE_LANGS most frequent languages, the same ones in every run, by FTRL-proximal
+with elastic-net penalties, which leaves most weights at zero. A fifth of the
+sample stays out of the fit and sets the temperature that divides the scores
+before the softmax.
 
 Eligible rows have a text, a language and, where the caller asks for it, a place
 outside the held-out rows. Language, source and id are never inputs of a
 prediction.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is
-every row if no row is eligible. With one language all others get that one.
+every row if no row is eligible. With one language all others get that one. The
+sample is drawn by a hash of id and text, so null and repeated ids count as any
+other; of rows that are equal in both as many are drawn as there is room for. Of
+equally frequent languages the ones that come first by name are learned, of
+equally likely ones the first is predicted.
 """
 
 from __future__ import annotations
@@ -26,15 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, shuffle_partitions
 
 UNKNOWN = "und"
 DIMS = 1 << 14
 #: Rows of each language that the classifier is fitted on, at most (the bound of the sample).
 SAMPLE_PER_LANG = 400
-MARGIN = 4
-#: Languages whose counts are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1000
+#: Languages that are learned, at most: with SAMPLE_PER_LANG the bound of what the driver takes up, and of the model (8 DIMS bytes a language).
+SAMPLE_LANGS = 256
 EPOCHS = 4
 #: FTRL-proximal: learning rate and its smoothing, and the penalties on sum and squares of the weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
@@ -114,16 +118,30 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 
 def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
-    """(language, kept out of the fit, features, counts) of the rows of each language whose ids hash lowest."""
-    number = F.xxhash64(F.col(id_col).cast("string"), F.lit(8))
-    # first by a bound on the hash that leaves about MARGIN times the sample, so that no task ranks a whole language
+    """(language, kept out of the fit, features, counts) of the rows of each language that hash lowest."""
+
+    def number(seed: int) -> Column:
+        return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
+
+    place = F.shiftrightunsigned(number(8), 11)
     sizes = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
-    share = F.least(F.lit(1.0), F.lit(float(MARGIN * SAMPLE_PER_LANG)) / F.col("_n"))
-    low = rows.select(id_col, lang_col).join(sizes, F.col(lang_col) == F.col("_lang")).where(F.shiftrightunsigned(number, 11) <= share * float(1 << 53))
-    order = Window.partitionBy(lang_col).orderBy(F.shiftrightunsigned(number, 11), F.col(id_col))
-    ids = low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_PER_LANG).select(id_col).distinct()
-    picked = rows.join(F.broadcast(ids), id_col, "left_semi")  # SAMPLE_PER_LANG ids a language
+    langs = sizes.orderBy(F.col("_n").desc(), "_lang").limit(SAMPLE_LANGS).select("_lang")
+    named = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_of"), F.col(text_col).alias("_text"), place.alias("_place"), (F.pmod(number(9), F.lit(5)) == 0).alias("_out"))
+
+    groups = max(1, int(shuffle_partitions(rows.sparkSession) ** 0.5))
+
+    def first(of: DataFrame) -> DataFrame:
+        """Each task keeps no more than the sample, then each of some groups of tasks, then all together."""
+        of = of.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        for keys in (("_of", "_group"), ("_of",)):
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_place"))
+            of = of.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE_PER_LANG).drop("_rank")
+        return of
+
+    # how far the sample goes in each language, without the texts; then its rows, and what has the last one's hash
+    upto = first(named.select("_of", "_place").join(F.broadcast(langs), F.col("_of") == F.col("_lang"))).groupBy("_lang").agg(F.max("_place").alias("_upto"))
+    near = named.join(F.broadcast(upto), (F.col("_of") == F.col("_lang")) & (F.col("_place") <= F.col("_upto")))  # a row a language
+    picked = first(near)
 
     def run(batches):
         for batch in batches:
@@ -131,8 +149,7 @@ def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
                 at, n = counts(text)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([out]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int32()))], names=["lang", "out", "at", "n"])
 
-    left_out = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(5)) == 0
-    found = picked.select(F.col(lang_col).alias("lang"), left_out.alias("out"), text_col).mapInArrow(run, "lang string, out boolean, at array<int>, n array<int>").collect()
+    found = picked.select("_lang", "_out", "_text").mapInArrow(run, "lang string, out boolean, at array<int>, n array<int>").collect()
     found.sort(key=lambda r: (r.lang, r.out, len(r.at), r.at, r.n))
     return [(r.lang, r.out, np.array(r.at, np.int64), np.array(r.n, float)) for r in found]
 
