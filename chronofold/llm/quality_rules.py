@@ -5,10 +5,11 @@ with the largest FOIL gain on the growing part until it takes no good row or has
 MAX_TESTS tests, then loses tests from its end while that does not lower its
 precision on the pruning part; it stands if its smoothed precision there is at
 least MIN_PRECISION. Its thresholds then move towards the bad rows, which leaves a
-margin to the good ones. Rows that the moved rule covers go, and the next rule
-grows on the others, until none stands. Thresholds are quantiles over all labelled rows. Everything is counted by
-Spark aggregations, of which the driver sees a row per statistic and bin, never
-a document; the list itself becomes one ordered CASE expression.
+margin to the good ones, if the moved rule stands that test too. Rows that the
+emitted rule covers go, and the next rule grows on the others, until none stands.
+Thresholds are quantiles over all labelled rows. Everything is counted by Spark
+aggregations, of which the driver sees a row per statistic and bin, never a
+document; the list itself becomes one ordered CASE expression.
 
 Edge cases: a null text has no words and all counts 0. Repeated labels of an id
 count once, the lowest; a null label doesn't count. Without labels, or with only
@@ -190,16 +191,22 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
             bad, good = total(counts(part))
             scored.append(((bad + 1) / (bad + good + 2), bad + good, k))
         precision, cover, length = max(scored, key=lambda x: (round(x[0], 4), -x[2]))
-        if cover < MIN_COVER or precision < MIN_PRECISION:
+        if not _stands(precision, cover):
             break
         rule = rule[:length]
-        rules.append(_with_margin(rule, rows))
+        moved = _with_margin(rule, rows)
+        scores = rows.where(F.col("pruning") & _covers(moved)).agg(F.count_if(F.col("_label") == 0).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+        rules.append(moved if _stands((scores.bad + 1) / (scores.n + 2), scores.n) else rule)
         # what lies in the margin is still there for later rules; a moved threshold may lie inside a bin, so rows are counted anew
         rows = rows.where(~_covers(rules[-1]))
         rest = binned(rows)
     return rules
 
 
+def _stands(precision: float, cover: int) -> bool:
+    return cover >= MIN_COVER and precision >= MIN_PRECISION
+
+
 def _covers(rule: list[Test]) -> Column:
     test = F.lit(True)
     for t in rule:
