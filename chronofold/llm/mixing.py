@@ -56,6 +56,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Co
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def point(slot: Column) -> Column:
+    """frac(slot * phi) in 32 bits. By the negative number that GOLDEN is modulo TURN, as the product by GOLDEN itself can leave 64 bits."""
+    return F.pmod(slot % TURN * (GOLDEN - TURN), F.lit(TURN))
+
+
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
@@ -127,10 +132,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranges = ranges.withColumn("lower", F.coalesce(F.lag("upper").over(line), F.lit(0)))
     at_end = F.lead("upper").over(line).isNull()
     ranges = ranges.withColumn("upper", F.when(at_end, F.lit(TURN)).otherwise(F.col("upper")))
-    slots = docs.sparkSession.range(total).withColumn("point", (F.col("id") % TURN * GOLDEN) % TURN)
-    # a source's range goes into all cells of the circle that it touches, so that points find it by an equality
-    cells = 1 << 10
-    cell = TURN // cells
+    slots = docs.sparkSession.range(total).withColumn("point", point(F.col("id")))
+    # a source's range goes into all cells of the circle that it touches, so that points find it by an equality;
+    # there are more cells than sources, so that a point meets about one range
+    cell = TURN >> min(30, max(10, (4 * sources.count()).bit_length()))
     spread = ranges.where(F.col("upper") > F.col("lower")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") / cell), F.floor((F.col("upper") - 1) / cell))))
     hit = slots.withColumn("cell", F.floor(F.col("point") / cell)).join(spread, "cell").where((F.col("point") >= F.col("lower")) & (F.col("point") < F.col("upper")))
     hit = hit.select(F.col("id").alias("slot"), "source", F.floor(F.col("id") / PIECE).alias("piece"), F.lit(1).alias("one"))
@@ -138,7 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     had = ranked.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("had"))
     lacking = sources.join(had, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < F.col("slots"))
     closing = lacking.select("source", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("rank"))
-    ranked = ranked.unionByName(closing.withColumn("slot", F.lit(total) + F.col("rank")))
+    # a cut in a long plan, so that no job has all its stages
+    ranked = materialize(ranked.unionByName(closing.withColumn("slot", F.lit(total) + F.col("rank"))))
 
     facts = sources.select(F.col("source").alias("_s"), "source_size", "target", "per_epoch", "wanted", "slots")
     named = ranked.join(facts, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("rank") < F.col("slots"))
