@@ -13,8 +13,10 @@ import ctypes
 import gc
 import json
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +27,25 @@ from ..session import shared_folder
 BATCH_BYTES = 2 << 20
 
 
-def _return_memory() -> None:
-    """Blocks of 1 MB and more go back to the system when they are freed, as workers live on between tasks (glibc; elsewhere nothing changes)."""
-    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-    if mallopt is not None:
-        for option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
-            mallopt(option, 1 << 20)
+@cache
+def _allocator():
+    """The C library, told to return blocks of 4 MB and more as soon as they are free. What it keeps would else grow with the largest block so far. Other libraries than glibc have none of this."""
+    found = ctypes.CDLL(None)
+    if hasattr(found, "mallopt"):
+        found.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        found.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    return found
 
 
-_return_memory()
+_allocator()
+
+
+def give_back() -> None:
+    """Memory that is free in this worker goes back to the system, as workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_allocator(), "malloc_trim"):
+        _allocator().malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +89,7 @@ class Ranges:
         n = shuffle_partitions(rows.sparkSession) * per_partition
         at = [k / n for k in range(1, n)]
         self.key, self.text = F.col(column).cast("double"), text
-        found = rows.agg(F.percentile_approx(self.key, at, 100 * n), F.count(F.lit(1)), F.count(self.key)).first()
+        found = rows.agg(F.percentile_approx(self.key, at, max(10_000, 10 * n)), F.count(F.lit(1)), F.count(self.key)).first()
         cuts = found[0] or []
         self.cuts: list[float] = sorted(set(cuts))
         times = [cuts.count(x) if text is not None else 1 for x in self.cuts] if len(self.cuts) < len(cuts) else [1] * len(self.cuts)
@@ -152,7 +164,7 @@ def append_columns(
         apply = make()
         for batch in batches:
             first = batch.column(n_kept)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(first), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(first), 0).to_pylist()
             for at in slices(sizes):
                 part = batch.slice(at.start, at.stop - at.start)
                 ins = [part.column(n_kept + k).to_pylist() for k in range(len(temp))]
@@ -166,7 +178,6 @@ def append_columns(
 
         # the worker lives on with the next task: what this one gathered goes back to the system now
         del apply
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return source.mapInArrow(run, schema)

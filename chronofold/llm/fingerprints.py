@@ -2,8 +2,8 @@
 
 A section ends at a blank line, a paragraph at a line's end, and within a
 paragraph a piece ends at white space after certain letters or marks, so that a
-change moves no boundary but its own. A piece's leaf is a 64-bit hash cut to 32
-bits; a paragraph's node is a 64-bit hash of its leaves, a section's one of its
+change moves no boundary but its own. A piece's leaf is 32 bits of its MD5; a
+paragraph's node is 64 bits of the MD5 of its leaves, a section's of that of its
 paragraphs' nodes, and the root the SHA-256 of the sections' nodes. The SHA-256
 of the text stands beside the tree, as white space between pieces and sections
 is in no leaf. The fingerprint writes all of it down:
@@ -21,7 +21,8 @@ the bucket before it. Quantiles and bucket heads are a number a bucket.
 
 Edge cases: a null text is the empty one; two empty texts are alike by 1, an
 empty and another one by 0. Null ids come after all others. Rows with one id
-are ordered by their texts. With one row the next document is that row itself.
+are ordered by their texts, or by a hash of them first where an id fills a whole
+bucket, as then it fills several. With one row the next document is that row itself.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ranges
+from .common import Ranges, literal, text_rank
 
 #: Letters and marks after which white space ends a piece.
 ENDINGS = r"nrkxzNRKXZ0-9\p{Punct}"
@@ -37,8 +38,8 @@ ENDINGS = r"nrkxzNRKXZ0-9\p{Punct}"
 SPREAD = 8
 
 SECTION, PARAGRAPH = r"\n[ \t]*\n\s*", r"\n"
-#: Digits of an inner node.
-NODE = 16
+#: Digits of a leaf, and of an inner node.
+LEAF, NODE = 8, 16
 PIECE = rf"(?<=[{ENDINGS}])[ \t]+"
 
 
@@ -47,7 +48,7 @@ def fingerprint(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def leaf(piece: Column) -> Column:
-        return F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(piece), 32))), 8, "0")
+        return F.substring(F.md5(piece), 1, LEAF)
 
     def below(line: Column) -> Column:
         return F.array_join(F.transform(F.split(line, PIECE), leaf), ".")
@@ -56,7 +57,7 @@ def fingerprint(text: Column) -> Column:
         return F.transform(written, lambda x: F.substring(x, 1, NODE))
 
     def node(of: Column) -> Column:
-        return F.lpad(F.lower(F.hex(F.xxhash64(of))), NODE, "0")
+        return F.substring(F.md5(of), 1, NODE)
 
     def paragraphs(part: Column) -> Column:
         return F.transform(F.transform(F.split(part, PARAGRAPH), below), lambda p: F.concat(node(p), F.lit("="), p))
@@ -130,55 +131,51 @@ def likeness(a: Column, b: Column) -> Column:
     return _alike(text_sha256(a) == text_sha256(b), leaves(a), leaves(b))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, and the text of the next document by descending id (after the last one: of the first)."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, rank, text, bucket (a range of ids, from the largest on), guest: each document, and the first of each bucket again as a guest of the bucket before."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = docs.select(F.col(id_col).alias("id"))
-    ranges = Ranges(ids, "id", SPREAD)
+    ranges = Ranges(rows, "id", SPREAD, F.col("text"))
+    rows = rows.withColumn("rank", text_rank(F.col("text")) if ranges.by_text else F.lit(0).cast("bigint"))
     # from the largest ids (0) to the smallest, then null
-    bucket = F.when(F.col("id").isNull(), ranges.count).otherwise(ranges.count - 1 - ranges.number())
+    known = ranges.count - ranges.nulls
+    bucket = F.when(F.col("id").isNull(), ranges.count + known - 1 - ranges.number()).otherwise(known - 1 - ranges.number())
 
-    # the first id of each bucket there is, and the bucket that it visits: the one before, for the very first the last
-    heads = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
+    # the first row of each bucket there is, and the bucket that it visits: the one before, for the very first the last
+    heads = rows.groupBy(bucket.alias("bucket")).agg(F.max(F.struct("id", "rank")).alias("first")).orderBy("bucket").collect()
     if not heads:
-        return rows.withColumn("next_text", F.lit("")).where(F.lit(False))
-    visits = F.array(*[F.lit(heads[k - 1].bucket) for k in range(len(heads))])
-    numbers = F.array(*[F.lit(h.bucket) for h in heads])
-    ends = F.array(*[F.lit(h.id).cast("bigint") for h in heads])
+        return rows.select("id", "rank", "text", F.lit(0).alias("bucket"), F.lit(False).alias("guest")).where(F.lit(False))
+    visits = literal([heads[k - 1].bucket for k in range(len(heads))], "array<int>")
+    numbers = literal([h.bucket for h in heads], "array<int>")
+    ends, ranks = (literal([h.first[c] for h in heads], "array<bigint>") for c in ("id", "rank"))
     place = F.array_position(numbers, F.col("bucket")).cast("int") - 1
     placed = rows.withColumn("bucket", bucket).withColumn("place", place)
-    is_head = F.col("id").eqNullSafe(F.get(ends, F.col("place")))
+    is_head = F.col("id").eqNullSafe(F.get(ends, F.col("place"))) & (F.col("rank") == F.get(ranks, F.col("place")))
     own = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")))
     guest = F.array(F.struct(F.get(visits, F.col("place")).alias("bucket"), F.lit(True).alias("guest")))
-    dealt = placed.select("id", "text", F.explode(F.when(is_head, F.concat(own, guest)).otherwise(own)).alias("to"))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")
-    return dealt.select("id", "text", "to.*").withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).select("id", "text", "next_text")
+    return placed.select("id", "rank", "text", F.explode(F.when(is_head, F.concat(own, guest)).otherwise(own)).alias("to")).select("id", "rank", "text", "to.*")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited form (its second half replaced by the next text's beginning), and how alike they are."""
-    d = with_next(docs, id_col, text_col)
+    """Fingerprints of each text, of its edited form (its second half replaced by the next text's beginning), and how alike they are.
+
+    Next is by descending id (after the last one: the first). A text's own tree is built once, where it is dealt to; the
+    one before it takes the tree over from there.
+    """
+    # by bucket before the trees are built, so that the window needs no other exchange and only texts are moved
+    d = _dealt(docs, id_col, text_col).repartition("bucket").withColumn("fingerprint", fingerprint(F.col("text")))
+    d = d.withColumn("leaves", leaves(F.col("fingerprint")))
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.col("rank").desc(), "text")
+    d = d.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "fingerprint", "leaves")}).where(~F.col("guest"))
     size, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half))
+    near_next = _alike(text_sha256(F.col("fingerprint")) == text_sha256(F.col("next_fingerprint")), F.col("leaves"), F.col("next_leaves"))
     d = d.select(
         F.col("id").alias(id_col),
         size.cast("bigint").alias("n_chars"),
-        edited.alias("edited"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("next_text")).alias("next_fingerprint"),
-    )
-    d = d.select("*", fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    d = d.select("*", *[leaves(F.col(c)).alias(f"_{c}") for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")])
-
-    def near(other: str) -> Column:
-        return _alike(text_sha256(F.col("fingerprint")) == text_sha256(F.col(other)), F.col("_fingerprint"), F.col(f"_{other}"))
-
-    return d.select(
-        id_col,
-        "n_chars",
-        text_sha256(F.col("edited_fingerprint")).alias("edited_sha256"),
         "fingerprint",
-        "edited_fingerprint",
-        near("edited_fingerprint").alias("near_edited"),
-        near("next_fingerprint").alias("near_next"),
+        "leaves",
+        fingerprint(edited).alias("edited_fingerprint"),
+        near_next.alias("near_next"),
     )
+    near_edited = _alike(text_sha256(F.col("fingerprint")) == text_sha256(F.col("edited_fingerprint")), F.col("leaves"), leaves(F.col("edited_fingerprint")))
+    return d.select(id_col, "n_chars", text_sha256(F.col("edited_fingerprint")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), "near_next")
