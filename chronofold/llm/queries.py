@@ -82,6 +82,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM texts),
+        windows AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k:k + 19], ' ') ORDER BY doc_id, k) > 1 AS again FROM starts),
+        gone AS (SELECT DISTINCT doc_id, k + step AS k FROM windows, range(20) t(step) WHERE again),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM texts),
+        kept AS (
+            SELECT words.doc_id, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY words.k) FILTER (WHERE gone.k IS NULL) AS kept
+            FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.k = gone.k GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+    """,
+    "op2_fingerprints": r"""
+        WITH ordered AS (
+            SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER line AS following, first_value(coalesce(text, '')) OVER line AS top
+            FROM documents WINDOW line AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        pairs AS (SELECT doc_id, t, coalesce(following, top) AS n, len(t) // 2 AS half FROM ordered),
+        edited AS (SELECT doc_id, t, n, substring(t, 1, len(t) - half) || substring(n, 1, half) AS e FROM pairs),
+        texts AS (SELECT DISTINCT unnest([t, n, e]) AS x FROM edited),
+        leaved AS (
+            SELECT x, list_transform(regexp_split_to_array(x, '\n[ \t]*\n[ \t\n\x0B\f\r]*'), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+                list_transform(string_split(regexp_replace(p, '([nrkxzNRKXZ0-9[:punct:]])[ \t]+', '\1' || chr(57344), 'g'), chr(57344)), lambda w: substr(md5(w), 1, 8)))) AS tree
+            FROM texts),
+        written AS (
+            SELECT x, list_distinct(flatten(flatten(tree))) AS leaves,
+                   list_transform(tree, lambda s: list_transform(s, lambda p: substr(md5(array_to_string(p, '.')), 1, 16) || '=' || array_to_string(p, '.'))) AS lines FROM leaved),
+        noded AS (
+            SELECT x, leaves, list_transform(lines, lambda s: substr(md5(array_to_string(list_transform(s, lambda p: substr(p, 1, 16)), ',')), 1, 16) || '=' || array_to_string(s, ',')) AS parts
+            FROM written),
+        prints AS (
+            SELECT x, CASE WHEN x = '' THEN [] ELSE leaves END AS leaves,
+                   sha256(x) || ':' || CASE WHEN x = '' THEN sha256('') || ':' ELSE sha256(array_to_string(list_transform(parts, lambda p: substr(p, 1, 16)), '/')) || ':' || array_to_string(parts, '/') END AS print
+            FROM noded)
+        SELECT doc_id, len(t) AS n_chars, sha256(e) AS edited_sha256, own.print AS fingerprint, changed.print AS edited_fingerprint,
+               CASE WHEN t = e THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(own.leaves, changed.leaves)) / (len(own.leaves) + len(changed.leaves)) END AS near_edited,
+               CASE WHEN t = n THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(own.leaves, next.leaves)) / (len(own.leaves) + len(next.leaves)) END AS near_next
+        FROM edited JOIN prints own ON own.x = t JOIN prints changed ON changed.x = e JOIN prints next ON next.x = n
+    """,
+    "op6_ngram_join": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM texts),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id != b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT x, min(y) AS component_id FROM reached GROUP BY x) ON x = doc_id
+    """,
     # the schedule is not in it: whatever the order of slots, a source's line is taken from its start to its target
     "op5_mixing": r"""
         WITH sized AS (

@@ -15,8 +15,8 @@ windows go the same way, and the bit says whether the part is the first to hold
 it. So a passage in a third of all documents costs a part one hash, not one a
 document; no pairs are ever made, and the texts are shuffled once.
 
-Order: by id, then start; rows with one id stand in the order of their texts, null
-ids last. Edge cases: a null text has no words; a text shorter than the window
+Order: by id, then start; rows with one id stand in the order of a hash of their
+texts, null ids last. An id that fills several ranges is dealt to as many parts. Edge cases: a null text has no words; a text shorter than the window
 loses none; an empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, shuffle_partitions, slices, utf8
+from .common import Ranges, give_back, shuffle_partitions, slices, text_rank, utf8
 from .wordhash import Words, mix, runs
 
 WINDOW = 20
@@ -35,7 +35,7 @@ WINDOW = 20
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Words of an anchor at least, so that chance doesn't repeat it.
 LEAST_ANCHOR = 8
-#: Parts a shuffle partition. Each part sends a row to each bucket, so there are fewer of those: one to two partitions.
+#: Parts, and buckets, a shuffle partition; several, so that partitions get about equally many of them. Each part sends a row to each bucket.
 SPREAD = 2
 SLICE_BYTES = 8 << 20
 
@@ -53,7 +53,7 @@ def bucket_edges(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def buckets(spark: SparkSession) -> int:
-    return max(1, shuffle_partitions(spark) // 2)
+    return shuffle_partitions(spark) * SPREAD
 
 
 class Part:
@@ -61,7 +61,8 @@ class Part:
 
     def __init__(self, table: pa.Table, window: int):
         ids, texts = table.column("id").to_pylist(), table.column("raw").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
+        ranks = table.column("rank").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, ranks[k], texts[k]))
         self.ids, self.texts = [ids[k] for k in order], [texts[k] for k in order]
         self.window, self.period = window, period_for(window)
         self.width = window - self.period + 1
@@ -186,20 +187,23 @@ def _bits(answers: pa.Table, kind: int, hashes: np.ndarray, n: int) -> np.ndarra
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id, n_words, n_removed, removed (runs of word numbers, end exclusive) and kept (words joined by one space)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
-    ranges = Ranges(rows.select("id"), "id", SPREAD)
+    ranges = Ranges(rows, "id", SPREAD, F.col("raw"))
     n = buckets(docs.sparkSession)
-    dealt = rows.withColumn("part", ranges.number())
+    dealt = rows.withColumns({"rank": text_rank(F.col("raw")), "part": ranges.number()})
 
     def send_anchors(key, table):
+        give_back()
         p = Part(table, window)
         return _send(key[0].as_py(), n, p.anchors, p.twice)
 
     def send_windows(key, left, right):
+        give_back()
         p = Part(left, window)
         p.windows(_bits(right, 1, p.anchors, n))
         return _send(key[0].as_py(), n, p.first, p.second)
 
     def finish(key, left, right):
+        give_back()
         p = Part(left, window)
         p.windows(_bits(right, 1, p.anchors, n))
         marks = p.removed(_bits(right, 2, p.first, n))
