@@ -22,10 +22,10 @@ wanted for connected components only, so no group is expanded into all its pairs
 2. Verification. A candidate component's sets meet in one call, in which nodes that
    aren't connected yet are compared by their sets. A large component is cut into
    calls of bounded size by hash; then one node of each of a call's components
-   meets those of the other calls.
-3. The rest. Where a large component isn't connected after that, its members are
-   compared by bit sketches, each two chunks of it in a call, and pairs that these
-   leave over and that aren't connected yet are verified.
+   meets those of the other calls, in rounds.
+3. The rest. Where a large component isn't connected after that, what isn't in its
+   largest part is compared by bit sketches with all of it, two chunks in a call, and
+   pairs that these leave over and that aren't connected yet are verified.
 
 So every two members of a group are either connected or compared, and no component
 is missed. `join` yields components only; `links` yields all links between sets.
@@ -41,15 +41,17 @@ ids are null). Rows that are equal in id and text share a part.
 
 from __future__ import annotations
 
+from collections import Counter
 from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, slices, utf8
+from .common import give_back, materialize, shuffle_partitions, slices, utf8
 from .components import components, roots
 from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges, buckets
 from .wordhash import Words, mix, runs
@@ -62,10 +64,13 @@ BAND = 1.6
 LEAST_BITS, MOST_BITS = 64, 4096
 #: Members of a group that are compared by bit sketches. The hash of a larger group is a common one.
 COMMON = 64
+#: Nodes of one part with one hash that go to its bucket by number; of more the bucket gets their count only, and the hash
+#: is a common one. So a bucket lists no more than this for each part, however many sets share a hash.
+LISTED = 32
 #: Sets, and shingles of them, of one call of the verification; a larger candidate component is cut into several calls.
 CALL_SETS, CALL_SHINGLES = 512, 1 << 18
-#: Members of a chunk of a component that isn't connected by then; each two chunks meet in a call.
-CHUNK = 4096
+#: Members of a chunk of a component that isn't connected by then; a call has two chunks.
+CHUNK = 1024
 #: Bytes of a part's hash that are sent. Hashes that agree in them only make a group too many.
 HASH_BYTES = 6
 
@@ -235,7 +240,15 @@ def _nothing(n: int) -> list[pa.Array]:
     return [pa.nulls(n, t) for _, t in _DESCRIBED]
 
 
+def _messages(part: int, n: int, hashes: np.ndarray, more: np.ndarray) -> list[tuple]:
+    """(bucket, part, hashes, more) for each of n buckets that gets any of the sorted hashes."""
+    edges = bucket_edges(hashes, n)
+    runs_ = [(k, slice(edges[k], edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(k, part, _packed(hashes[r]), more[r].tobytes()) for k, r in runs_]
+
+
 def _packed(hashes: np.ndarray) -> bytes:
+    hashes = np.ascontiguousarray(hashes)
     return hashes.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
 
 
@@ -245,32 +258,54 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _numbered(part: int, more: bytes, n_hashes: int) -> np.ndarray:
+    """The nodes that a message lists, with the bit UP."""
+    rows = np.frombuffer(more, f"<u{len(more) // n_hashes}").astype(np.int64)
+    return _node(part, rows >> 1) | (rows & 1) << UP
+
+
+def _name(hashes: np.ndarray) -> np.ndarray:
+    """What names a group: the bits of its hash that are sent."""
+    return (hashes >> np.uint64(64 - 8 * HASH_BYTES)).astype(np.int64)
+
+
+def _group_rows(rows: list[tuple]) -> pa.Table:
+    """Rows (kind, group, n, members), of which long ones are cut."""
+    cut = [(kind, g, n, m[k : k + ROW_MEMBERS]) for kind, g, n, m in rows for k in range(0, max(1, len(m)), ROW_MEMBERS)]
+    return pa.table([pa.array([r[c] for r in cut], t) for c, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))] + _nothing(len(cut)), schema=_GROUP)
+
+
 def _find_groups(table: pa.Table, common: int) -> pa.Table:
-    """In a bucket: nodes that sent one hash, as a group (kind 1); the members of more than `common` with the mark UP if the hash is of their next band, in a group that the hash names (kind 3)."""
-    raw = [r for r in zip(*(table.column(c).to_pylist() for c in ("part", "hashes", "more")), strict=True)]
-    hashes = np.concatenate([_unpacked(h) for _, h, _ in raw])
-    sent = []
-    for p, h, m in raw:
-        width = len(m) * HASH_BYTES // len(h)
-        rows = np.frombuffer(m, f"<u{width}").astype(np.int64)
-        sent.append(_node(p, rows >> 1) | (rows & 1) << UP)
-    nodes = np.concatenate(sent)
+    """In a bucket: nodes that sent one hash, as a group (kind 1). Those of more than `common`, or that a part holds back, with the bit UP in a group that the hash names (kind 3); and how many have a hash that parts hold back (kind 4)."""
+    found: dict[int, np.ndarray] = {}  # by a hash of the members, as most groups come from several parts of a sketch
+    counts: Counter[int] = Counter()
+    hashes, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part, packed, more in zip(*(table.column(c).to_pylist() for c in ("part", "hashes", "more")), strict=True):
+        own = _unpacked(packed)
+        if part < 0:
+            for name, n in zip(_name(own).tolist(), np.frombuffer(more, "<u4").tolist(), strict=True):
+                counts[name] += n
+        else:
+            hashes.append(own)
+            nodes.append(_numbered(part, more, len(own)))
+    hashes, nodes = np.concatenate(hashes), np.concatenate(nodes)
     order = np.lexsort((nodes & (1 << UP) - 1, hashes))
     hashes, nodes = hashes[order], nodes[order]
     edges = _edges(hashes)
-    found: dict[int, np.ndarray] = {}  # by a hash of the members, as most groups come from several parts of a sketch
+    names, sizes = _name(hashes[edges[:-1]]), np.diff(edges)
+    wanted = (sizes > 1) | np.isin(names, np.array(sorted(counts), np.int64))
     rows = []
-    for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-        members = nodes[edges[k] : edges[k + 1]]
-        if len(members) > common:
-            name = int(hashes[edges[k]] >> np.uint64(64 - 8 * HASH_BYTES))
-            rows += [(3, name, len(members), members[j : j + ROW_MEMBERS]) for j in range(0, len(members), ROW_MEMBERS)]
+    for k in np.flatnonzero(wanted).tolist():
+        members, name = nodes[edges[k] : edges[k + 1]], int(names[k])
+        if name in counts:
+            counts[name] += len(members)
+        if name in counts or len(members) > common:
+            rows.append((3, name, len(members), members))
             continue
         members = members & (1 << UP) - 1
-        name = int(np.bitwise_xor.reduce(mix(members.view(np.uint64) + np.uint64(len(members)))).view(np.int64))
-        found.setdefault(name, members)
+        found.setdefault(int(np.bitwise_xor.reduce(mix(members.view(np.uint64) + np.uint64(len(members)))).view(np.int64)), members)
     rows += [(1, g, len(m), m) for g, m in sorted(found.items())]
-    return pa.table([pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))] + _nothing(len(rows)), schema=_GROUP)
+    return _group_rows(rows + [(4, name, n, []) for name, n in sorted(counts.items())])
 
 
 def _allowed(size: np.ndarray, other: np.ndarray, differ: np.ndarray | int, threshold: Fraction) -> np.ndarray:
@@ -400,18 +435,36 @@ def _in_calls(sets: DataFrame, per_label: DataFrame, threshold: Fraction) -> Dat
     return dealt.groupBy(F.pmod(F.xxhash64("call"), F.lit(8 * shuffle_partitions(sets.sparkSession)))).applyInArrow(_verified_calls(threshold), VERIFIED)
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """Of rows (group, node, label) those of groups with more than one label: main, whether the row has the label that most of the group have, and in how many chunks these and the others go."""
+    each = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    chunks = [F.ceil(n / CHUNK).cast("int").alias(name) for n, name in ((F.col("top.n"), "main_chunks"), (F.col("n") - F.col("top.n"), "rest_chunks"))]
+    whole = materialize(whole.select("group", F.col("top.label").alias("top"), *chunks))
+    return members.join(whole, "group").withColumn("main", F.col("label") == F.col("top")).drop("top")
+
+
 def _bundled(rows: DataFrame):
-    """Rows (group, n members, node, ...) grouped for calls that compare all members: `chunks` names a group or two chunks of it."""
-    cuts = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(6)), cuts.cast("bigint")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), cuts - 1), lambda j: F.xxhash64("group", F.least(own, j), F.greatest(own, j)))
-    dealt = rows.withColumn("chunks", F.explode(F.when(cuts > 1, pairs).otherwise(F.array("group"))))
+    """Rows of `_apart` grouped for calls that compare them: a call has a chunk of the main ones and one of the others, or two of the others; `chunks` names it, `mixed` says which."""
+    n = F.when(F.col("main"), F.col("main_chunks")).otherwise(F.col("rest_chunks"))
+    own = F.pmod(F.xxhash64("node", F.lit(6)), n.cast("bigint")).cast("int")
+
+    def call(mixed: bool, i: F.Column, j: F.Column) -> F.Column:
+        return F.struct(F.xxhash64("group", F.lit(mixed), i, j).alias("chunks"), F.lit(mixed).alias("mixed"))
+
+    def numbers(count: str) -> F.Column:
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    of_main = F.transform(numbers("rest_chunks"), lambda j: call(True, own, j))
+    of_rest = F.concat(F.transform(numbers("main_chunks"), lambda i: call(True, i, own)), F.transform(numbers("rest_chunks"), lambda j: call(False, F.least(own, j), F.greatest(own, j))))
+    dealt = rows.withColumn("call", F.explode(F.when(F.col("main"), of_main).otherwise(of_rest))).select("node", "label", "size", "sketch", "main", "call.*")
     return dealt.groupBy(F.pmod("chunks", F.lit(8 * shuffle_partitions(rows.sparkSession))).alias("bundle"))
 
 
 def _described(found: DataFrame, **columns: str) -> DataFrame:
     """Columns of the documents under other names, a row each."""
-    d = found.where("kind = 0").select(F.explode(F.arrays_zip(*columns)).alias("d"))
+    # outer, as explode infers a filter on the lists, which would go below and make another plan of what is read several times
+    d = found.where("kind = 0").select(F.explode_outer(F.arrays_zip(*columns)).alias("d")).where("d IS NOT NULL")
     return d.select(*[F.col(f"d.{c}").alias(name) for c, name in columns.items()])
 
 
@@ -421,19 +474,21 @@ def _facts(found: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """The rows with their parts; and the documents (kind 0, a row a part) and groups of nodes (kinds 1 and 3)."""
+    """The rows with their parts; and the documents (kind 0, a row a part), groups of nodes (kinds 1 and 3) and sizes of common ones (kind 4)."""
     rows = docs.select("id", "raw", "mark")
     n, parts_ = buckets(docs.sparkSession), shuffle_partitions(docs.sparkSession) * SPREAD
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("raw")), F.lit(parts_)).cast("int"))
-    message, common = f"{SENT}, {DESCRIBED}", COMMON
+    message, common, listed = f"{SENT}, {DESCRIBED}", COMMON, LISTED
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *_DESCRIBED])
 
     def send_signatures(key, table):
+        give_back()
         p = Part(table, k)
         p.signatures(*p.sets())
         return _send(key[0].as_py(), n, p.first[p.rows], p.second[p.rows])
 
     def send_parts(key, left, right):
+        give_back()
         part = key[0].as_py()
         p = Part(left, k)
         flat, sizes = p.sets()
@@ -446,28 +501,41 @@ def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, Dat
         order = np.argsort(sent.hashes)
         # a row's number, and in the last bit whether the hash is of the next band
         hashes, rows = sent.hashes[order], (np.flatnonzero(mine)[sent.whose[order]] * 2 + sent.up[order]).astype("<u2" if len(sizes) <= 1 << 15 else "<u4")
-        edges = bucket_edges(hashes, n)
-        full = np.flatnonzero(np.diff(edges))
-        runs_ = [slice(edges[j], edges[j + 1]) for j in full]
-        sent_rows = [pa.array(full.astype(np.int32)), pa.array([part] * len(full), pa.int32()), pa.array([_packed(hashes[r]) for r in runs_], pa.binary()), pa.array([rows[r].tobytes() for r in runs_], pa.binary())]
+        edges = _edges(hashes)
+        sizes_ = np.diff(edges)
+        held = np.repeat(sizes_ > listed, sizes_)
+        often = np.flatnonzero(sizes_ > listed)
+        sent_rows = [
+            *_messages(part, n, hashes[~held], rows[~held]),
+            *_messages(-1 - part, n, hashes[edges[often]], sizes_[often].astype("<u4")),
+            *((-1 - part, part, _packed(hashes[edges[k] : edges[k] + 1]), rows[edges[k] : edges[k + 1]].astype("<u4").tobytes()) for k in often.tolist()),
+        ]
+        first = [pa.array([r[c] for r in sent_rows], f.type) for c, f in enumerate(list(schema)[:4])]
         nodes = [int(x) if m else None for x, m in zip(_node(part, np.arange(len(sizes))), mine, strict=True)]
         spares = iter((sent.spare[:, 0] + (sent.spare[:, 1] << 32)).tolist())
         sketches = iter(bit_sketches(flat[keep], sizes[mine]))
         described = [p.ids, sizes.tolist(), nodes, p.first.view(np.int64).tolist(), p.second.astype(np.int64).tolist(), p.marks, [next(spares) if m else None for m in mine], [next(sketches) if m else None for m in mine]]
-        out = pa.table([*sent_rows, *_nothing(len(full))], schema=schema)
+        out = pa.table([*first, *_nothing(len(sent_rows))], schema=schema)
         row = [pa.array([-1 - part], pa.int32()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([b""]), *(pa.array([x], t) for x, (_, t) in zip(described, _DESCRIBED, strict=True))]
         return pa.concat_tables([out, pa.table(row, schema=schema)])
 
     def bucket(table):
-        if table.column("bucket")[0].as_py() < 0:  # a part's documents
-            described = [table.column(c).cast(t) for c, t in _DESCRIBED]
-            return pa.table([pa.array([0] * len(table), pa.int32()), table.column("part").cast(pa.int64()), *(pa.nulls(len(table), t) for t in _GROUP.types[2:4]), *described], schema=_GROUP)
+        if table.column("bucket")[0].as_py() < 0:  # a part's documents, and what it holds back
+            rows = table.filter(pc.is_valid(table.column("ids")))
+            described = [rows.column(c).cast(t) for c, t in _DESCRIBED]
+            own = pa.table([pa.array([0] * len(rows), pa.int32()), rows.column("part").cast(pa.int64()), *(pa.nulls(len(rows), t) for t in _GROUP.types[2:4]), *described], schema=_GROUP)
+            held = table.filter(pc.is_null(table.column("ids")))
+            back = [_unpacked(h) for h in held.column("hashes").to_pylist()]
+            lists = [_numbered(p, m, len(m) // 4) for p, m in zip(held.column("part").to_pylist(), held.column("more").to_pylist(), strict=True)]
+            return pa.concat_tables([own, _group_rows([(3, int(_name(h)[0]), len(m), m) for h, m in zip(back, lists, strict=True)])])
         return _find_groups(table, common)
 
     signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
     owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, message)
-    found = parts.groupBy("bucket").applyInArrow(bucket, GROUP).distinct()
+    # kind as an aggregate, so that no filter by kind goes below, and the buckets are searched once for all of them
+    found = parts.groupBy("bucket").applyInArrow(bucket, GROUP)
+    found = found.groupBy(*[c for c in found.columns if c != "kind"]).agg(F.max("kind").alias("kind"))
     return dealt, found
 
 
@@ -475,6 +543,7 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """One table of the documents (kind 0, a row a part), candidates (kind 1: a node and in `group` what it is joined up with, a node or, under 0, a common hash), and their sets (kind 2)."""
 
     def fetch(key, left, right):
+        give_back()
         at = sorted({x & 0xFFFFFFFF for x in right.column("node").to_pylist()})
         p = Part(left, k)
         flat, sizes = p.sets(at)
@@ -484,12 +553,14 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
 
     dealt, found = _parts(docs, k, threshold)
     least = F.element_at("members", 1)  # groups of one cluster mostly share it, so a call joins them up
-    members = found.where("kind = 1").select("group", least.alias("least"), F.explode("members").alias("node")).join(_facts(found), "node")
+    members = found.where("kind = 1").select("group", least.alias("least"), F.explode_outer("members").alias("node")).join(_facts(found), "node")
     small = members.groupBy(F.pmod(F.xxhash64("least"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInArrow(_candidates(threshold), "node bigint, root bigint")
     # of its common hashes a node leaves out the most common ones; by the others it is joined up with what has them
     least_bits = (1 << UP) - 1
     spare = F.when(F.col("up") == 0, F.col("spare").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftright("spare", 32))
-    often = found.where("kind = 3").select("group", "n", F.explode("members").alias("sent"))
+    counted = found.where("kind = 4").select("group", F.col("n").alias("whole"))
+    often = found.where("kind = 3").select("group", "n", "members").join(counted, "group", "left")
+    often = often.select("group", F.coalesce("whole", "n").alias("n"), F.explode_outer("members").alias("sent"))
     often = often.select("group", "n", F.col("sent").bitwiseAND(least_bits).alias("node"), F.shiftright("sent", UP).alias("up"))
     often = often.join(_described(found, nodes="node", spares="spare").where("node IS NOT NULL"), "node")
     order = Window.partitionBy("node", "up").orderBy(F.col("n").desc(), "group")
@@ -517,23 +588,26 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return pairs.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y").mapInArrow(alike, "x bigint, y bigint")
 
 
-def _last_pairs(rest: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of rows (group, n members, node, label): pairs of a group with different labels that sizes and bit sketches leave over."""
+def _last_pairs(members: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of rows (group, node, label): pairs of a group with different labels that sizes and bit sketches leave over."""
 
     def pairs(table):
-        table = table.sort_by([("chunks", "ascending"), ("node", "ascending")])
+        table = table.sort_by([("chunks", "ascending"), ("main", "ascending"), ("node", "ascending")])
         node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
+        main, mixed = (np.array(table.column(c).to_pylist(), bool) for c in ("main", "mixed"))
         edges, sketches, out = _edges(table.column("chunks").to_numpy()), Sketches(table.column("sketch")), [np.zeros((0, 2), np.int64)]
         for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
             folded = sketches.at(np.arange(i, j), int(sketches.widths[i:j].min()))
-            for k in range(i, j - 1):
-                differ = np.bitwise_count(folded[k - i] ^ folded[k - i + 1 :]).sum(1, dtype=np.int64)
-                ok = _allowed(size[k], size[k + 1 : j], differ, threshold) & (label[k + 1 : j] != label[k])
-                out.append(np.stack([np.full(ok.sum(), node[k]), node[k + 1 : j][ok]], 1))
-        every = np.concatenate(out)
+            others = i + int((~main[i:j]).sum())  # the main ones stand behind them
+            for k in range(i, others):
+                first = others if mixed[i] else k + 1
+                differ = np.bitwise_count(folded[k - i] ^ folded[first - i :]).sum(1, dtype=np.int64)
+                ok = _allowed(size[k], size[first:j], differ, threshold) & (label[first:j] != label[k])
+                out.append(np.stack([np.full(ok.sum(), node[k]), node[first:j][ok]], 1))
+        every = np.sort(np.concatenate(out), axis=1)
         return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
 
-    return _bundled(rest.join(facts, "node")).applyInArrow(pairs, "x bigint, y bigint").distinct()
+    return _bundled(_apart(members).join(facts, "node")).applyInArrow(pairs, "x bigint, y bigint").distinct()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, mark=None) -> DataFrame:
@@ -561,24 +635,28 @@ def _verified_labels(found: DataFrame, threshold: Fraction) -> DataFrame:
     out = done.select("node", F.col("root").alias("comp"))
     if done.where("big").isEmpty():
         return out
-    heads = done.where("big AND node = root").select("node", "label", "shingles")
-    per_label = heads.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("shingles") / 8).alias("total"))
-    met = materialize(_in_calls(heads, per_label, threshold).select(F.col("node").alias("root"), F.col("root").alias("comp")))
-    large = materialize(done.where("big").select("node", "label", "root").join(met, "root").select("node", "label", "comp"))
+    large, level, n = done.where("big").select("node", "label", F.col("root").alias("comp")), done, 0
+    # one node of each call's components meets those of other calls, in as many rounds as bring their number down
+    while True:
+        heads = level.where("big AND node = root").select("node", "label", "shingles")
+        if (n_heads := heads.count()) == 0 or n and 2 * n_heads > n:
+            break
+        n = n_heads
+        per_label = heads.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("shingles") / 8).alias("total"))
+        level = materialize(_in_calls(heads, per_label, threshold))
+        large = materialize(large.join(level.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp").select("node", "label", F.col("to").alias("comp")))
     out = done.where("NOT big").select("node", F.col("root").alias("comp")).unionByName(large.select("node", "comp"))
-    apart = large.groupBy("label").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    apart = materialize(apart.select("label", "n"))
-    if apart.isEmpty():
+    last = materialize(_last_pairs(large.select(F.col("label").alias("group"), "node", F.col("comp").alias("label")), _facts(found), threshold))
+    if last.isEmpty():
         return materialize(out)
-    rest = large.join(apart, "label").select(F.col("label").alias("group"), "n", "node", F.col("comp").alias("label"))
-    links = verified(_last_pairs(rest, _facts(found), threshold), sets, threshold)
+    links = verified(last, sets, threshold)
     ends = links.join(out.toDF("x", "comp_x"), "x").join(out.toDF("y", "comp_y"), "y")
     more = components(ends.select(F.col("comp_x").alias("x"), F.col("comp_y").alias("y")))
     return materialize(out.join(more.toDF("comp", "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")))
 
 
 def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """A row a document: id, mark, n_shingles, component_id, kept (true for the rows of each component that are first by id, null last, and mark)."""
+    """A row a document: id, mark, n_shingles, component_id, linked (to another row), and if so keeper: id (null last) and mark of its component's first row."""
     found = _groups(rows, k, threshold)
     near = _verified_labels(found, threshold)
     d = _documents(found)
@@ -589,9 +667,8 @@ def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     whole = materialize(named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("keeper")))
     several = materialize(named.join(whole, "comp", "left").select("first", "second", F.coalesce("keeper", "own").alias("keeper")))
     joined = d.join(several, ["first", "second"], "left")
-    kept = F.col("keeper").isNull() | (F.col("id").eqNullSafe(F.col("keeper.id")) & F.col("mark").eqNullSafe(F.col("keeper.mark")))
     component = F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id"))
-    return joined.select("id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return joined.select("id", "mark", "n_shingles", component.alias("component_id"), F.struct("keeper.id", "keeper.mark").alias("keeper"), F.col("keeper").isNotNull().alias("linked"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -605,8 +682,20 @@ def text_hash(text_col: str = "text") -> F.Column:
 
 
 def first_rows(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: id, text_hash, kept, which is true for one row of each component, the first by id (null last) and text."""
-    return _joined(_rows(docs, id_col, text_col, text_hash(text_col)), k, threshold).select(F.col("id").alias(id_col), F.col("mark").alias("text_hash"), "kept")
+    """A row a document: id, text_hash, kept, which is true for one row of each component, the first by id (null last) and text, and for rows equal to it in both."""
+    found = materialize(_joined(_rows(docs, id_col, text_col, text_hash(text_col)), k, threshold))
+    first = F.col("id").eqNullSafe(F.col("keeper.id"))
+    tied = found.where("linked").where(first).groupBy("keeper").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi")
+    several = materialize(found.where("linked").where(first).join(tied.select("keeper"), "keeper", "left_semi").select("keeper", "id", "mark").distinct())
+    if not several.isEmpty():  # texts of one id in one component: the first of them stays
+        texts = docs.select(F.col(id_col).alias("of"), text_hash(text_col).alias("hash"), utf8(F.col(text_col)).alias("raw"))
+        texts = several.join(texts, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("hash")))
+        best = texts.groupBy("keeper").agg(F.min_by("mark", "raw").alias("best")).select(F.col("keeper").alias("of"), "best")
+        found = found.join(best, F.col("linked") & F.col("keeper").eqNullSafe(F.col("of")), "left")
+    else:
+        found = found.withColumn("best", F.lit(None).cast("bigint"))
+    kept = ~F.col("linked") | (first & (F.col("mark") == F.coalesce("best", "keeper.mark")))
+    return found.select(F.col("id").alias(id_col), F.col("mark").alias("text_hash"), kept.alias("kept"))
 
 
 class Links(NamedTuple):
@@ -620,9 +709,7 @@ def links(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id
     """All verified links, also those inside a component; of m members of a candidate component all m x m / 2 pairs are compared by bit sketches."""
     found = _groups(_rows(docs, id_col, text_col), k, threshold)
     labels, sets = _candidate_labels(found), found.where("kind = 2").select("node", "shingles")
-    per_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    every = labels.join(materialize(per_label), "label").select(F.col("label").alias("group"), "n", "node", F.col("node").alias("label"))
-    pairs = _last_pairs(every, _facts(found), threshold)
+    pairs = _last_pairs(labels.select(F.col("label").alias("group"), "node", F.col("node").alias("label")), _facts(found), threshold)
     d = _documents(found).select("id", "n_shingles", "node", "first", "second")
     owners = d.where("node IS NOT NULL").select(F.col("first").alias("f"), F.col("second").alias("s"), F.col("node").alias("owner"))
     members = d.join(owners, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")

@@ -35,6 +35,96 @@ def test_language_id(spark):
     assert language_id.predict(docs, one).where("doc_id = 1").first().lang_pred == "xx"
 
 
+def test_the_sample_goes_by_row_and_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 50)
+    rnd = random.Random(5)
+    langs = ["xx", "yy", "zz"]
+    # one id for all of a language, null ids, one row very often
+    rows = [(4, letters("xx", rnd, 20), "xx") for _ in range(400)] + [(None, letters("yy", rnd, 20), "yy") for _ in range(400)] + [(9, "ñóéb ñóéc ñóéd", "zz")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = language_id.sample(docs, "doc_id", "text", "lang")
+    assert {x: sum(r[0] == x for r in found) for x in langs} == {"xx": 50, "yy": 50, "zz": 50}
+    again = language_id.sample(docs.repartition(3), "doc_id", "text", "lang")
+    assert [(a[0], a[1], a[2].tolist()) for a in found] == [(a[0], a[1], a[2].tolist()) for a in again]
+    model = language_id.train(docs, F.lit(False))
+    assert language_id.predict(docs.limit(900), model, keep_text=True).where("lang != lang_pred").count() == 0
+    monkeypatch.setattr(language_id, "SAMPLE_LANGS", 2)
+    assert language_id.train(docs.where("lang != 'yy' OR text < 'd'"), F.lit(False)).langs == ["xx", "zz"]
+
+
+def test_features_and_fit_against_plain_python():
+    import math
+
+    import numpy as np
+
+    def plain_counts(text):
+        c = [32] + [ord(ch.lower()) if ch.isalpha() else 32 for ch in text]
+        m, out = (1 << 32) - 1, {}
+        for k in range(len(c)):
+            grams = [c[k] * 0x27D4EB2F]
+            if k >= 1:
+                pair = (c[k - 1] * 0x9E3779B1 + c[k] + 0x51ED27) & m
+                grams.append(pair * 0x165667B1)
+            if k >= 2:
+                before = (c[k - 2] * 0x9E3779B1 + c[k - 1] + 0x51ED27) & m
+                grams.append(((before * 0x85EBCA6B + c[k] + 0xC2B2AE) & m) * 0x27D4EB2F)
+            for j, g in enumerate(grams):
+                if k or j:  # the leading space alone is no letter of the text
+                    g &= m
+                    g ^= g >> 15
+                    f = ((g * 0x2C1B3C6D) & m) >> 18
+                    out[f] = out.get(f, 0) + 1
+        return out
+
+    rnd = random.Random(1)
+    texts = [(x, letters(x, rnd, 6)) for x in ("xx", "yy") for _ in range(8)]
+    for _, t in [*texts, ("", "A bÄ"), ("", "x")]:
+        at, n = language_id.counts(t)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == plain_counts(t)
+
+    counted = [(lang, plain_counts(t)) for lang, t in texts]
+    df = {}
+    for _, c in counted:
+        for f in c:
+            df[f] = df.get(f, 0) + 1
+    examples = [(lang, False, np.array(sorted(c)), np.array([c[f] for f in sorted(c)], float)) for lang, c in counted]
+    table = np.zeros(language_id.DIMS)
+    for f, n in df.items():
+        table[f] = n
+    model = language_id.fit(examples, table, len(texts))
+
+    # FTRL-proximal with dictionaries
+    idf = {f: math.log((1 + len(texts)) / (1 + n)) + 1 for f, n in df.items()}
+    z, s = [{}, {}], [{}, {}]
+
+    def weight(k, f):
+        zz = z[k].get(f, 0.0)
+        if abs(zz) <= language_id.L1:
+            return 0.0
+        return -(zz - math.copysign(language_id.L1, zz)) / ((language_id.BETA + math.sqrt(s[k].get(f, 0.0))) / language_id.ALPHA + language_id.L2)
+
+    rng = np.random.default_rng(8)
+    for _ in range(language_id.EPOCHS):
+        for i in rng.permutation(len(counted)):
+            lang, c = counted[i]
+            v = {f: (1 + math.log(n)) * idf[f] for f, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            v = {f: x / norm for f, x in v.items()} | {language_id.DIMS: 1.0}
+            w = [{f: weight(k, f) for f in v} for k in range(2)]
+            score = [sum(w[k][f] * x for f, x in v.items()) for k in range(2)]
+            e = [math.exp(x - max(score)) for x in score]
+            for k in range(2):
+                g0 = e[k] / sum(e) - (k == ["xx", "yy"].index(lang))
+                for f, x in v.items():
+                    g, old = g0 * x, s[k].get(f, 0.0)
+                    sigma = (math.sqrt(old + g * g) - math.sqrt(old)) / language_id.ALPHA
+                    z[k][f] = z[k].get(f, 0.0) + g - sigma * w[k][f]
+                    s[k][f] = old + g * g
+    for k in range(2):
+        assert all(abs(model.weights[k, f] - weight(k, f)) < 1e-9 for f in df) and abs(model.bias[k] - weight(k, language_id.DIMS)) < 1e-9
+        assert not np.delete(model.weights[k], list(df)).any()
+
+
 def test_a_long_text_is_counted_in_steps(monkeypatch):
     text = "Das ist ein Beispiel mit vielen Wörtern. " * 50
     whole = language_id.counts(text)
@@ -121,3 +211,27 @@ def test_only_unknown_languages_go(spark, monkeypatch):
 def test_stages_take_empty_tables(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, docs, SF).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_alone_on_odd_tables(spark, make_prose, k):
+    # null and repeated ids, null and empty texts, repeated rows, a long text, and columns with the names that stages use
+    rnd = random.Random(3)
+    long = make_prose(rnd, 30_000, 3000)
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, "a b c d e f g", None, None, 13), (2, None, "en", "s", None), (2, "", None, "t", 0), (3, long, "en", "t", len(long)), (4, make_prose(rnd, 50), "fr", "s", 5)]
+    odd = [(*r, 7, "x", 1.0, True, [1], "y", 2, "z") for r in rows]
+    names = "doc_id long, text string, lang string, source string, n_chars long, id long, hash string, times double, kept boolean, each array<int>, of string, epoch int, key string"
+    out = corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(odd, names), SF)
+    found = out.collect()
+    assert k == 4 or out.columns == list(corpus_pipeline.COLUMNS)
+    ids = [r.doc_id for r in found]
+    if k == 0:
+        assert len(found) == 5 and 2 not in ids
+    if k == 1:  # the first of the texts that are alike, empty texts each
+        assert sorted(map(str, ids)) == ["1", "2", "2", "3", "4", "None"]
+    if k in (2, 4):
+        assert len(found) == 7
+    if k == 3:
+        assert set(ids) <= {1, 3, 4, None} and 3 in ids
+    if k == 4:
+        assert sum(r.decoded == long for r in found) == 1
