@@ -12,7 +12,15 @@
    an id has its own count.
 5. byte_bpe: the texts become token ids, with the text that they decode to.
 
-Stages 1 to 4 return the columns of documents (n_chars follows the text).
+Stages 1 to 4 return the columns of documents (n_chars follows the text); other
+columns of their input are left out. `run` checkpoints what each stage returns, so
+that a lost executor, or the next stage's reading it twice, repeats one stage only.
+
+Edge cases: a null text, or one without a letter, goes in stage 1; the later stages
+take a null text as the empty one (stage 3 leaves it null), and each of them can be
+used alone. Very long texts are taken whole. Null ids and sources are values like
+others. Rows that are equal in id and text are one document after stage 2. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,14 +36,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     model = language_id.train(docs, language_id.held_out_rows())
     judged = language_id.predict(docs, model, keep_text=True)
     return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = materialize(ngram_join.first_rows(docs))
+    docs = docs.select(*COLUMNS)
+    linked = ngram_join.first_rows(docs)
     keys = linked.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    keys = materialize(keys)  # three readers
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (ngram_join.text_hash() == F.col("hash"))
     kept = docs.join(keys.where("NOT kept"), same, "left_anti")
     # rows with one id and text: once; they are few, so most texts pass by
@@ -45,10 +56,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     times = F.when(F.col("taken") > 0, F.expr("CAST(floor(taken / size + 0.5) AS INT)")).otherwise(0)
     taken = mixing.mix(docs).documents.select("key", F.col("source").alias("of"), times.alias("times"))
     taken = materialize(taken.groupBy("key", "of").agg(F.sort_array(F.collect_list("times"), asc=False).alias("each")).where("each[0] > 0"))
@@ -82,6 +94,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
