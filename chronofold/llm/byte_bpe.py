@@ -9,7 +9,8 @@ a Spark expression: the ids' byte strings, from a literal array, concatenated.
 
 Texts are first cut at single spaces between other characters, where no word of
 the pattern can reach across; those pieces repeat, so the pattern runs once for
-each distinct one. A text with other white space beside a space is split whole.
+each distinct one (of the standard pattern a space and Latin letters are one word
+anyway). A text with other white space beside a space is split whole.
 A word of over LONG bytes (a run of thousands of letters) is merged by a heap
 over the same ranks, as the matrix would take steps in proportion to its square.
 
@@ -26,9 +27,11 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,8 @@ from .common import append_columns, utf8
 LONG = 128
 #: Distinct pieces of text whose ids a task keeps; past it the table starts anew, which costs time only.
 KEPT = 200_000
+#: First character beyond the Latin letters, whose classes no version of Unicode changes.
+LATIN = "\u0250"
 #: No rank; above every rank.
 NONE = 1 << 30
 
@@ -181,9 +186,12 @@ class Encoder:
         self.ranks, self.table = ranks, RankMap(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
+        # of the standard pattern a space and letters are one word; of others nothing is taken for granted
+        self.letters_are_words = pattern == PATTERN
         self.words, self.pieces = Runs(), Runs()
 
-    def add_words(self, new: list[str]) -> None:
+    def merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
         raw = [w.encode() for w in new]
         sizes = np.zeros(len(raw), np.int64)
         whole: dict[int, list[int]] = {}
@@ -211,45 +219,45 @@ class Encoder:
                 flat[starts[at[has]] + j] = out[has, j]
         for k, ids in whole.items():
             flat[starts[k] : starts[k] + len(ids)] = ids
-        self.words.add(new, flat, sizes)
+        return flat, sizes
 
-    def take(self, runs: Runs, picks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of rows of run numbers, and how many each row has."""
-        counts = [len(p) for p in picks]
-        flat, ends = ragged(runs.flat, runs.starts, runs.sizes, np.array([x for p in picks for x in p], np.int64))
-        edges = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+    def take(self, runs: Runs, picks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of run numbers (so many a row, one after another), and how many each row has."""
+        flat, ends = ragged(runs.flat, runs.starts, runs.sizes, picks)
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(edges)
 
     def by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.split(t) for t in texts]
-        if new := list({w: 0 for s in split for w in s if w not in self.words.number}):
-            self.add_words(new)
-        return self.take(self.words, [[self.words.number[w] for w in s] for s in split])
+        words = list(chain.from_iterable(split))
+        if new := list(set(words).difference(self.words.number)):
+            self.words.add(new, *self.merged(new))
+        picks = np.fromiter(map(self.words.number.__getitem__, words), np.int64, len(words))
+        return self.take(self.words, picks, np.array([len(s) for s in split], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         if len(self.pieces.number) > KEPT or len(self.words.number) > KEPT:
             self.words, self.pieces = Runs(), Runs()
-        # a piece's key holds the space in front of it; "\0" stands for that of a text's first piece
+        # a piece stands for itself with the space in front of it
         cut = [t.split(" ") for t in texts]
-        number = self.pieces.number
-        new = {p for c in cut for p in c[1:] if p not in number}
-        clean = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        first = [c.pop(0) for c in cut]
+        pieces, counts, number = list(chain.from_iterable(cut)), np.array([len(c) for c in cut], np.int64), self.pieces.number
+        clean = [p for p in set(pieces).difference(number) if p and not p[0].isspace() and not p[-1].isspace()]
+        if self.letters_are_words:
+            if plain := [p for p in clean if p.isalpha() and (p.isascii() or max(p) < LATIN)]:
+                self.pieces.add(plain, *self.merged([" " + p for p in plain]))
+                clean = [p for p in clean if p not in number]
         if clean:
             self.pieces.add(clean, *self.by_words([" " + p for p in clean]))
         # texts with a piece that isn't clean, or whose first one is empty or ends in white space, are split whole
-        get = number.get
-        picks, odd = [], []
-        for k, c in enumerate(cut):
-            p = list(map(get, c[1:]))
-            if None in p or not c[0] or c[0][-1].isspace():
-                odd.append(k)
-                p = []
-            picks.append(p)
-        odd_set = set(odd)
-        first = [c[0] if k not in odd_set else "" for k, c in enumerate(cut)]
-        first_flat, first_sizes = self.by_words(first)
-        rest_flat, rest_sizes = self.take(self.pieces, picks)
+        picks = np.fromiter(map(number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        owner = np.repeat(np.arange(len(texts)), counts)
+        is_odd = np.array([not f or f[-1].isspace() for f in first], bool)
+        is_odd[owner[picks < 0]] = True
+        odd = np.flatnonzero(is_odd).tolist()
+        first_flat, first_sizes = self.by_words(["" if o else f for f, o in zip(first, is_odd.tolist(), strict=True)])
+        rest_flat, rest_sizes = self.take(self.pieces, picks[~is_odd[owner]], np.where(is_odd, 0, counts))
         odd_flat, odd_sizes = self.by_words([texts[k] for k in odd])
         sizes_odd = np.zeros(len(texts), np.int64)
         sizes_odd[odd] = odd_sizes
