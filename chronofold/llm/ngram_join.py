@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, materialize, shuffle_partitions, slices, utf8
 from .components import components, roots
-from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges, buckets
+from .substring_dedup import ANSWER, SENT, SLICE_BYTES, SPREAD, _answer, _bits, _send, bucket_edges
 from .wordhash import Words, mix, runs
 
 SHINGLE = 5
@@ -476,7 +476,7 @@ def _facts(found: DataFrame) -> DataFrame:
 def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """The rows with their parts; and the documents (kind 0, a row a part), groups of nodes (kinds 1 and 3) and sizes of common ones (kind 4)."""
     rows = docs.select("id", "raw", "mark")
-    n, parts_ = buckets(docs.sparkSession), shuffle_partitions(docs.sparkSession) * SPREAD
+    n = parts_ = shuffle_partitions(docs.sparkSession) * SPREAD  # as many buckets, so that partitions get about equally many
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("raw")), F.lit(parts_)).cast("int"))
     message, common, listed = f"{SENT}, {DESCRIBED}", COMMON, LISTED
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), *_DESCRIBED])

@@ -35,7 +35,7 @@ WINDOW = 20
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 #: Words of an anchor at least, so that chance doesn't repeat it.
 LEAST_ANCHOR = 8
-#: Parts, and buckets, a shuffle partition; several, so that partitions get about equally many of them. Each part sends a row to each bucket.
+#: Parts a shuffle partition. Each part sends a row to each bucket, and gets one back, so there are fewer of those: one to two partitions.
 SPREAD = 2
 SLICE_BYTES = 8 << 20
 
@@ -53,7 +53,7 @@ def bucket_edges(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def buckets(spark: SparkSession) -> int:
-    return shuffle_partitions(spark) * SPREAD
+    return max(1, shuffle_partitions(spark) // 2)
 
 
 class Part:
