@@ -62,7 +62,8 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     done = df.checkpoint(eager=True)
-    # shuffle files of finished steps go when the driver collects what held them, else only by chance
+    # shuffle files of finished steps, this one if the caller doesn't hold it, go when the driver collects what held them, else only by chance
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return done

@@ -30,8 +30,11 @@ wanted for connected components only, so no group is expanded into all its pairs
 So every two members of a group are either connected or compared, and no component
 is missed. `join` yields components only; `links` yields all links between sets.
 
-Documents are dealt to parts by a hash of id and text; a node is (part, row). The
-texts are shuffled once; what is verified is kept as sets of hashes.
+Documents are dealt to parts by a hash of id and text; a node is (part, row). What
+is verified is kept as sets of hashes. Groups are kept as they are found, then the
+candidates, then the sets, so that shuffled texts and messages are gone from disk
+before groups become rows. The texts are read and shuffled twice for that, and must
+be the same each time.
 
 Edge cases: a null text, or one without words, has an empty set and is linked
 with nothing; fewer than SHINGLE words are one shingle; repeated rows and ids
@@ -79,8 +82,9 @@ UP = 62
 
 #: A part's documents, as lists: id, set size, node (if the set's first document is this one), signature, the caller's mark, the hashes that a node may leave out (see Sent), its bit sketch.
 DESCRIBED = "ids array<bigint>, sizes array<bigint>, nodes array<bigint>, firsts array<bigint>, seconds array<bigint>, marks array<bigint>, spares array<bigint>, sketches array<binary>"
-GROUP = f"kind int, group bigint, n bigint, members array<bigint>, {DESCRIBED}"
-#: Members in a row; a larger group has several rows.
+#: Entries of groups: the group, for kind 1 its least member or else its size, and a member.
+GROUP = f"kind int, groups array<bigint>, ns array<bigint>, members array<bigint>, {DESCRIBED}"
+#: Entries in a row.
 ROW_MEMBERS = 1 << 14
 SETS = "node bigint, n bigint, shingles binary"
 
@@ -233,7 +237,7 @@ def _node(part: int, rows: np.ndarray) -> np.ndarray:
 
 
 _DESCRIBED = [*((c, pa.list_(pa.int64())) for c in ("ids", "sizes", "nodes", "firsts", "seconds", "marks", "spares")), ("sketches", pa.list_(pa.binary()))]
-_GROUP = pa.schema([("kind", pa.int32()), ("group", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), *_DESCRIBED])
+_GROUP = pa.schema([("kind", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("groups", "ns", "members")), *_DESCRIBED])
 
 
 def _nothing(n: int) -> list[pa.Array]:
@@ -270,9 +274,16 @@ def _name(hashes: np.ndarray) -> np.ndarray:
 
 
 def _group_rows(rows: list[tuple]) -> pa.Table:
-    """Rows (kind, group, n, members), of which long ones are cut."""
-    cut = [(kind, g, n, m[k : k + ROW_MEMBERS]) for kind, g, n, m in rows for k in range(0, max(1, len(m)), ROW_MEMBERS)]
-    return pa.table([pa.array([r[c] for r in cut], t) for c, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int64())))] + _nothing(len(cut)), schema=_GROUP)
+    """Groups (kind, group, n, members) as entries, many in a row; a group without members is one entry."""
+    cut: list[tuple] = []
+    for kind in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == kind]
+        sizes = [max(1, len(r[3])) for r in own]
+        groups, ns = (np.repeat(np.array([r[c] for r in own], np.int64), sizes) for c in (1, 2))
+        members = pa.concat_arrays([pa.array(r[3] if len(r[3]) else [None], pa.int64()) for r in own])
+        cut += [(kind, groups[k : k + ROW_MEMBERS], ns[k : k + ROW_MEMBERS], members.slice(k, ROW_MEMBERS)) for k in range(0, len(groups), ROW_MEMBERS)]
+    lists = [pa.array([x[c].tolist() if c < 3 else x[c].to_pylist() for x in cut], pa.list_(pa.int64())) for c in (1, 2, 3)]
+    return pa.table([pa.array([x[0] for x in cut], pa.int32()), *lists, *_nothing(len(cut))], schema=_GROUP)
 
 
 def _find_groups(table: pa.Table, common: int) -> pa.Table:
@@ -304,7 +315,7 @@ def _find_groups(table: pa.Table, common: int) -> pa.Table:
             continue
         members = members & (1 << UP) - 1
         found.setdefault(int(np.bitwise_xor.reduce(mix(members.view(np.uint64) + np.uint64(len(members)))).view(np.int64)), members)
-    rows += [(1, g, len(m), m) for g, m in sorted(found.items())]
+    rows += [(1, g, int(m[0]), m) for g, m in sorted(found.items())]
     return _group_rows(rows + [(4, name, n, []) for name, n in sorted(counts.items())])
 
 
@@ -463,8 +474,7 @@ def _bundled(rows: DataFrame):
 
 def _described(found: DataFrame, **columns: str) -> DataFrame:
     """Columns of the documents under other names, a row each."""
-    # outer, as explode infers a filter on the lists, which would go below and make another plan of what is read several times
-    d = found.where("kind = 0").select(F.explode_outer(F.arrays_zip(*columns)).alias("d")).where("d IS NOT NULL")
+    d = found.where("kind = 0").select(F.explode(F.arrays_zip(*columns)).alias("d"))
     return d.select(*[F.col(f"d.{c}").alias(name) for c, name in columns.items()])
 
 
@@ -474,7 +484,7 @@ def _facts(found: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """The rows with their parts; and the documents (kind 0, a row a part), groups of nodes (kinds 1 and 3) and sizes of common ones (kind 4)."""
+    """The rows with their parts; and, checkpointed, the documents (kind 0, a row a part), groups of nodes (kinds 1 and 3) and sizes of common ones (kind 4)."""
     rows = docs.select("id", "raw", "mark")
     n = parts_ = shuffle_partitions(docs.sparkSession) * SPREAD  # as many buckets, so that partitions get about equally many
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.xxhash64("raw")), F.lit(parts_)).cast("int"))
@@ -523,7 +533,7 @@ def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, Dat
         if table.column("bucket")[0].as_py() < 0:  # a part's documents, and what it holds back
             rows = table.filter(pc.is_valid(table.column("ids")))
             described = [rows.column(c).cast(t) for c, t in _DESCRIBED]
-            own = pa.table([pa.array([0] * len(rows), pa.int32()), rows.column("part").cast(pa.int64()), *(pa.nulls(len(rows), t) for t in _GROUP.types[2:4]), *described], schema=_GROUP)
+            own = pa.table([pa.array([0] * len(rows), pa.int32()), *(pa.nulls(len(rows), t) for t in _GROUP.types[1:4]), *described], schema=_GROUP)
             held = table.filter(pc.is_null(table.column("ids")))
             back = [_unpacked(h) for h in held.column("hashes").to_pylist()]
             lists = [_numbered(p, m, len(m) // 4) for p, m in zip(held.column("part").to_pylist(), held.column("more").to_pylist(), strict=True)]
@@ -533,14 +543,25 @@ def _parts(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, Dat
     signatures = dealt.groupBy("part").applyInArrow(send_signatures, SENT)
     owners = signatures.groupBy("bucket").applyInArrow(_answer(2), ANSWER)
     parts = dealt.groupBy("part").cogroup(owners.groupBy("part")).applyInArrow(send_parts, message)
-    # kind as an aggregate, so that no filter by kind goes below, and the buckets are searched once for all of them
-    found = parts.groupBy("bucket").applyInArrow(bucket, GROUP)
-    found = found.groupBy(*[c for c in found.columns if c != "kind"]).agg(F.max("kind").alias("kind"))
-    return dealt, found
+    return dealt, materialize(parts.groupBy("bucket").applyInArrow(bucket, GROUP))
 
 
-def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One table of the documents (kind 0, a row a part), candidates (kind 1: a node and in `group` what it is joined up with, a node or, under 0, a common hash), and their sets (kind 2)."""
+def _entries(found: DataFrame, kind: int) -> DataFrame:
+    """group, n and member of the groups of a kind."""
+    d = found.where(F.col("kind") == kind).select(F.explode(F.arrays_zip("groups", "ns", "members")).alias("d"))
+    return d.select(F.col("d.groups").alias("group"), F.col("d.ns").alias("n"), F.col("d.members").alias("member"))
+
+
+class Groups(NamedTuple):
+    #: a row a part (kind 0), among rows of groups
+    parts: DataFrame
+    #: node, and what it is joined up with, a node or, under 0, a common hash
+    candidates: DataFrame
+    #: node, n, shingles of the nodes that candidates hold
+    sets: DataFrame
+
+
+def _groups(docs: DataFrame, k: int, threshold: Fraction) -> Groups:
 
     def fetch(key, left, right):
         give_back()
@@ -552,26 +573,23 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         return pa.table([pa.array(_node(key[0].as_py(), np.array(at, np.int64)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "n", "shingles"])
 
     dealt, found = _parts(docs, k, threshold)
-    least = F.element_at("members", 1)  # groups of one cluster mostly share it, so a call joins them up
-    members = found.where("kind = 1").select("group", least.alias("least"), F.explode_outer("members").alias("node")).join(_facts(found), "node")
+    # groups of one cluster mostly share their least member, so a call joins them up
+    # groups of the same members, which buckets find each for itself, are one
+    members = _entries(found, 1).toDF("group", "least", "node").repartition("node").distinct().join(_facts(found), "node")
     small = members.groupBy(F.pmod(F.xxhash64("least"), F.lit(8 * shuffle_partitions(docs.sparkSession)))).applyInArrow(_candidates(threshold), "node bigint, root bigint")
     # of its common hashes a node leaves out the most common ones; by the others it is joined up with what has them
     least_bits = (1 << UP) - 1
     spare = F.when(F.col("up") == 0, F.col("spare").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftright("spare", 32))
-    counted = found.where("kind = 4").select("group", F.col("n").alias("whole"))
-    often = found.where("kind = 3").select("group", "n", "members").join(counted, "group", "left")
-    often = often.select("group", F.coalesce("whole", "n").alias("n"), F.explode_outer("members").alias("sent"))
+    counted = _entries(found, 4).select("group", F.col("n").alias("whole"))
+    often = _entries(found, 3).toDF("group", "n", "sent").join(counted, "group", "left").withColumn("n", F.coalesce("whole", "n"))
     often = often.select("group", "n", F.col("sent").bitwiseAND(least_bits).alias("node"), F.shiftright("sent", UP).alias("up"))
     often = often.join(_described(found, nodes="node", spares="spare").where("node IS NOT NULL"), "node")
     order = Window.partitionBy("node", "up").orderBy(F.col("n").desc(), "group")
     large = often.withColumn("place", F.row_number().over(order)).where(F.col("place") > spare).select("node", (-1 - F.col("group")).alias("root"))
-    # the exchange by node serves both uses of the result, so both need all columns
-    near = small.unionByName(large).repartition("node")
+    near = materialize(small.unionByName(large).repartition("node").distinct())
     wanted = near.groupBy("node").agg(F.min("root").alias("root")).withColumn("part", F.shiftright("node", 32).cast("int"))
-    sets = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS)
-    candidates = near.select("node", F.col("root").alias("group"), F.lit(1).alias("kind"))
-    whole = found.where("kind = 0").drop("members").unionByName(candidates, allowMissingColumns=True)
-    return materialize(whole.unionByName(sets.withColumn("kind", F.lit(2)), allowMissingColumns=True))
+    sets = materialize(dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(fetch, SETS))
+    return Groups(found, near, sets)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -620,16 +638,16 @@ def _documents(found: DataFrame) -> DataFrame:
     return _described(found, ids="id", sizes="n_shingles", nodes="node", firsts="first", seconds="second", marks="mark")
 
 
-def _candidate_labels(found: DataFrame) -> DataFrame:
+def _candidate_labels(found: Groups) -> DataFrame:
     """node, label of a candidate component, size."""
-    labels = components(found.where("kind = 1 AND node != group").select(F.col("group").alias("x"), F.col("node").alias("y")))
-    return materialize(found.where("kind = 2").select("node", F.col("n").alias("size")).join(labels, "node"))
+    labels = components(found.candidates.where("node != root").select(F.col("root").alias("x"), F.col("node").alias("y")))
+    return materialize(found.sets.select("node", F.col("n").alias("size")).join(labels, "node"))
 
 
-def _verified_labels(found: DataFrame, threshold: Fraction) -> DataFrame:
+def _verified_labels(found: Groups, threshold: Fraction) -> DataFrame:
     """node, comp of the nodes that candidates hold: those of one component have one comp, whichever."""
     labels = _candidate_labels(found)
-    sets = found.where("kind = 2").select("node", "shingles")
+    sets = found.sets.select("node", "shingles")
     per_label = labels.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"))
     done = materialize(_in_calls(sets.join(labels.select("node", "label"), "node"), per_label, threshold))
     out = done.select("node", F.col("root").alias("comp"))
@@ -646,7 +664,7 @@ def _verified_labels(found: DataFrame, threshold: Fraction) -> DataFrame:
         level = materialize(_in_calls(heads, per_label, threshold))
         large = materialize(large.join(level.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp").select("node", "label", F.col("to").alias("comp")))
     out = done.where("NOT big").select("node", F.col("root").alias("comp")).unionByName(large.select("node", "comp"))
-    last = materialize(_last_pairs(large.select(F.col("label").alias("group"), "node", F.col("comp").alias("label")), _facts(found), threshold))
+    last = materialize(_last_pairs(large.select(F.col("label").alias("group"), "node", F.col("comp").alias("label")), _facts(found.parts), threshold))
     if last.isEmpty():
         return materialize(out)
     links = verified(last, sets, threshold)
@@ -659,7 +677,7 @@ def _joined(rows: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """A row a document: id, mark, n_shingles, component_id, linked (to another row), and if so keeper: id (null last) and mark of its component's first row."""
     found = _groups(rows, k, threshold)
     near = _verified_labels(found, threshold)
-    d = _documents(found)
+    d = _documents(found.parts)
     # the first row of each set, then of each component of sets; most sets are their own component
     place = F.struct(F.isnull("id").alias("last"), "id", "mark")
     firsts = d.where("n_shingles > 0").groupBy("first", "second").agg(F.min(place).alias("own"), F.max("node").alias("node"), F.count(F.lit(1)).alias("rows"))
@@ -708,9 +726,9 @@ class Links(NamedTuple):
 def links(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> Links:
     """All verified links, also those inside a component; of m members of a candidate component all m x m / 2 pairs are compared by bit sketches."""
     found = _groups(_rows(docs, id_col, text_col), k, threshold)
-    labels, sets = _candidate_labels(found), found.where("kind = 2").select("node", "shingles")
-    pairs = _last_pairs(labels.select(F.col("label").alias("group"), "node", F.col("node").alias("label")), _facts(found), threshold)
-    d = _documents(found).select("id", "n_shingles", "node", "first", "second")
+    labels, sets = _candidate_labels(found), found.sets.select("node", "shingles")
+    pairs = _last_pairs(labels.select(F.col("label").alias("group"), "node", F.col("node").alias("label")), _facts(found.parts), threshold)
+    d = _documents(found.parts).select("id", "n_shingles", "node", "first", "second")
     owners = d.where("node IS NOT NULL").select(F.col("first").alias("f"), F.col("second").alias("s"), F.col("node").alias("owner"))
     members = d.join(owners, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
     return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(verified(pairs, sets, threshold)))
