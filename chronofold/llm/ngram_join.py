@@ -24,8 +24,10 @@ wanted for connected components only, so no group is expanded into all its pairs
    calls of bounded size by hash; then one node of each of a call's components
    meets those of the other calls, in rounds.
 3. The rest. Where a large component isn't connected after that, what isn't in its
-   largest part is compared by bit sketches with all of it, two chunks in a call, and
-   pairs that these leave over and that aren't connected yet are verified.
+   largest part is compared by bit sketches with all of it, two chunks in a call. The
+   sets of nodes that these leave over a pair of go to calls of bounded size, each
+   once a call however many such pairs it is in, and pairs that aren't connected yet
+   are verified there.
 
 So every two members of a group are either connected or compared, and no component
 is missed. `join` yields components only; `links` yields all links between sets.
@@ -391,12 +393,31 @@ class Together:
         same = self.common(k, others)
         return others[same * b >= (self.sizes[k] + self.sizes[others] - same) * a]
 
-    def sketches(self) -> np.ndarray:
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(self.sizes.max() - 1).bit_length()))
+    def sketches(self, wider: int = 1) -> np.ndarray:
+        bits = min(MOST_BITS, max(LEAST_BITS, wider << int(self.sizes.max() - 1).bit_length()))
         place = (mix(np.concatenate(self.sets) + np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
         held = np.bincount(np.repeat(np.arange(len(self.sets)), self.sizes) * bits + place, minlength=len(self.sets) * bits) & 1
         return np.packbits(held.astype(bool)).view(np.uint64).reshape(len(self.sets), -1)
 
+    def _later(self, k: int, label: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        """The sets after k, of another label, that are alike to it."""
+        rest = np.arange(k + 1, len(label))
+        rest = rest[label[rest] != label[k]]
+        differ = np.bitwise_count(sketch[k] ^ sketch[rest]).sum(1, dtype=np.int64)
+        rest = rest[_allowed(self.sizes[k], self.sizes[rest], differ, self.threshold)]
+        return self.linked(k, rest) if len(rest) else rest
+
+    def links(self, label: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Links between sets of different labels: all, or as many as join up the labels."""
+        label, sketch, found = label.copy(), self.sketches(8), []
+        for k in range(len(label) - 1):
+            near = self._later(k, label, sketch)
+            if len(near) and not every:
+                near = near[np.unique(label[near], return_index=True)[1]]
+                label[np.isin(label, label[near])] = label[k]
+            found.append(near)
+        return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
     def components(self) -> np.ndarray:
         """For each set the one that stands for its component: the one with the most links found."""
         n = len(self.sets)
@@ -404,11 +425,7 @@ class Together:
             return np.array([0, 0 if len(self.linked(0, np.array([1]))) else 1])
         label, links, sketch = np.arange(n), np.zeros(n, np.int64), self.sketches()
         for k in range(n - 1):
-            rest = np.arange(k + 1, n)
-            rest = rest[label[rest] != label[k]]
-            differ = np.bitwise_count(sketch[k] ^ sketch[rest]).sum(1, dtype=np.int64)
-            rest = rest[_allowed(self.sizes[k], self.sizes[rest], differ, self.threshold)]
-            if len(rest) and len(found := self.linked(k, rest)):
+            if len(found := self._later(k, label, sketch)):
                 links[k] += len(found)
                 links[found] += 1
                 label[np.isin(label, label[found])] = label[k]
@@ -592,40 +609,60 @@ def _groups(docs: DataFrame, k: int, threshold: Fraction) -> Groups:
     return Groups(found, near, sets)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (x, y) that are alike."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "xy")
-
-    def alike(batches):
-        for batch in batches:
-            keep = []
-            for two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(len(Together(list(two), threshold).linked(0, np.array([1]))) > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _blocks(sizes: np.ndarray) -> list[slice]:
+    """Consecutive rows cut into runs of about CALL_SHINGLES shingles."""
+    return list(slices(sizes.tolist(), CALL_SHINGLES))
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y").mapInArrow(alike, "x bigint, y bigint")
 
+def _last_calls(members: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of rows (group, node, label): the nodes of each call that sizes and bit sketches leave over a pair of, of different labels and one group."""
 
-def _last_pairs(members: DataFrame, facts: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of rows (group, node, label): pairs of a group with different labels that sizes and bit sketches leave over."""
-
-    def pairs(table):
+    def left_over(table):
         table = table.sort_by([("chunks", "ascending"), ("main", "ascending"), ("node", "ascending")])
-        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
+        chunks, node, label, size = (table.column(c).to_numpy() for c in ("chunks", "node", "label", "size"))
         main, mixed = (np.array(table.column(c).to_pylist(), bool) for c in ("main", "mixed"))
-        edges, sketches, out = _edges(table.column("chunks").to_numpy()), Sketches(table.column("sketch")), [np.zeros((0, 2), np.int64)]
+        edges, sketches, out = _edges(chunks), Sketches(table.column("sketch")), [np.zeros((0, 3), np.int64)]
         for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
             folded = sketches.at(np.arange(i, j), int(sketches.widths[i:j].min()))
             others = i + int((~main[i:j]).sum())  # the main ones stand behind them
-            for k in range(i, others):
-                first = others if mixed[i] else k + 1
-                differ = np.bitwise_count(folded[k - i] ^ folded[first - i :]).sum(1, dtype=np.int64)
-                ok = _allowed(size[k], size[first:j], differ, threshold) & (label[first:j] != label[k])
-                out.append(np.stack([np.full(ok.sum(), node[k]), node[first:j][ok]], 1))
-        every = np.sort(np.concatenate(out), axis=1)
-        return pa.table([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["x", "y"])
+            left = [(i + x.start, i + x.stop) for x in _blocks(size[i:others])]
+            right = [(others + x.start, others + x.stop) for x in _blocks(size[others:j])] if mixed[i] else left
+            for p, (a, b) in enumerate(left):
+                for q, (c, d) in enumerate(right):
+                    if not mixed[i] and q < p:
+                        continue
+                    wanted = np.zeros(j - i, bool)
+                    for k in range(a, b):
+                        first = c if mixed[i] or q > p else k + 1
+                        differ = np.bitwise_count(folded[k - i] ^ folded[first - i : d - i]).sum(1, dtype=np.int64)
+                        ok = _allowed(size[k], size[first:d], differ, threshold) & (label[first:d] != label[k])
+                        wanted[first - i : d - i] |= ok
+                        wanted[k - i] |= ok.any()
+                    at = i + np.flatnonzero(wanted)
+                    call = mix(np.array([chunks[i]]).view(np.uint64) + np.uint64((p << 32) + q)).view(np.int64)[0]
+                    out.append(np.stack([np.full(len(at), call), node[at], label[at]], 1))
+        found = np.concatenate(out)
+        return pa.table([pa.array(found[:, c]) for c in range(3)], names=["call", "node", "label"])
+
+    return _bundled(_apart(members).join(facts, "node")).applyInArrow(left_over, "call bigint, node bigint, label bigint")
+
+
+def _last_links(calls: DataFrame, sets: DataFrame, threshold: Fraction, every: bool = False) -> DataFrame:
+    """x, y, x < y: links between nodes of a call (call, node, label): all of different labels, or as many as join up the labels."""
+
+    def found(table):
+        table = table.sort_by([("call", "ascending"), ("node", "ascending")])
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        edges, out = _edges(table.column("call").to_numpy()), [np.zeros((0, 2), np.int64)]
+        for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            x, y = Together(table.column("shingles").slice(i, j - i).to_pylist(), threshold).links(label[i:j], every)
+            out.append(np.stack([node[i:j][x], node[i:j][y]], 1))
+        links_ = np.concatenate(out)
+        return pa.table([pa.array(links_[:, 0]), pa.array(links_[:, 1])], names=["x", "y"])
 
-    return _bundled(_apart(members).join(facts, "node")).applyInArrow(pairs, "x bigint, y bigint").distinct()
+    dealt = calls.join(sets.select("node", "shingles"), "node")
+    bundle = F.pmod(F.xxhash64("call"), F.lit(8 * shuffle_partitions(sets.sparkSession)))
+    return dealt.groupBy(bundle).applyInArrow(found, "x bigint, y bigint").distinct()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, mark=None) -> DataFrame:
@@ -664,10 +701,10 @@ def _verified_labels(found: Groups, threshold: Fraction) -> DataFrame:
         level = materialize(_in_calls(heads, per_label, threshold))
         large = materialize(large.join(level.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp").select("node", "label", F.col("to").alias("comp")))
     out = done.where("NOT big").select("node", F.col("root").alias("comp")).unionByName(large.select("node", "comp"))
-    last = materialize(_last_pairs(large.select(F.col("label").alias("group"), "node", F.col("comp").alias("label")), _facts(found.parts), threshold))
+    last = materialize(_last_calls(large.select(F.col("label").alias("group"), "node", F.col("comp").alias("label")), _facts(found.parts), threshold))
     if last.isEmpty():
         return materialize(out)
-    links = verified(last, sets, threshold)
+    links = _last_links(last, sets, threshold)
     ends = links.join(out.toDF("x", "comp_x"), "x").join(out.toDF("y", "comp_y"), "y")
     more = components(ends.select(F.col("comp_x").alias("x"), F.col("comp_y").alias("y")))
     return materialize(out.join(more.toDF("comp", "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")))
@@ -727,8 +764,8 @@ def links(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id
     """All verified links, also those inside a component; of m members of a candidate component all m x m / 2 pairs are compared by bit sketches."""
     found = _groups(_rows(docs, id_col, text_col), k, threshold)
     labels, sets = _candidate_labels(found), found.sets.select("node", "shingles")
-    pairs = _last_pairs(labels.select(F.col("label").alias("group"), "node", F.col("node").alias("label")), _facts(found.parts), threshold)
+    calls = _last_calls(labels.select(F.col("label").alias("group"), "node", F.col("node").alias("label")), _facts(found.parts), threshold)
     d = _documents(found.parts).select("id", "n_shingles", "node", "first", "second")
     owners = d.where("node IS NOT NULL").select(F.col("first").alias("f"), F.col("second").alias("s"), F.col("node").alias("owner"))
     members = d.join(owners, (F.col("first") == F.col("f")) & (F.col("second") == F.col("s")) & (F.col("n_shingles") > 0), "left")
-    return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(verified(pairs, sets, threshold)))
+    return Links(members.select(F.col("id").alias(id_col), "n_shingles", F.col("owner").alias("node")), materialize(_last_links(calls, sets, threshold, every=True)))

@@ -801,3 +801,37 @@ def test_ngram_join_keeps_groups_before_they_become_rows(spark, monkeypatch, mak
     steps = [[name for name in ("send_parts", "bucket", "found", "fetch") if f" {name}(" in p] for p in plans]
     assert steps[:3] == [["send_parts", "bucket"], ["found"], ["fetch"]]
     assert not any("bucket" in s for s in steps[1:])
+
+
+def test_ngram_join_brings_sets_once_a_call_not_once_a_pair(spark, monkeypatch):
+    # near copies of which many are alike to few or none: bit sketches leave over a good part of all pairs
+    import random
+
+    monkeypatch.setattr(ngram_join, "CALL_SETS", 20)
+    rnd = random.Random(6)
+    base, rows = [f"v{rnd.randrange(10**6)}" for _ in range(400)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(1, 12)):
+            w[rnd.randrange(400)] = f"n{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sizes, keep = {}, ngram_join.materialize
+
+    def noted(df):
+        done = keep(df)
+        sizes[tuple(done.columns)] = max(sizes.get(tuple(done.columns), 0), done.count())
+        return done
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
+    assert found == plain_join(rows) and 20 < len({c for _, c in found.values()}) < 150
+    assert max(n for columns, n in sizes.items() if "root" not in columns) <= 2 * len(rows)
+    # all links, also where calls are small, each once
+    monkeypatch.setattr(ngram_join, "CALL_SHINGLES", 4000)
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(396)} for k, t in rows}
+    alike = {(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    every = ngram_join.links(docs)
+    ids = {r.node: r.doc_id for r in every.members.collect()}
+    pairs = [tuple(sorted((ids[r.x], ids[r.y]))) for r in every.links.collect()]
+    assert len(ids) == 150 and len(pairs) == len(set(pairs)) and set(pairs) == alike
