@@ -10,8 +10,9 @@ A view that isn't so is refused when it is made. An average is two sums, a count
 the sum of a column of ones.
 
 A map may name checks. An event that fails one isn't mapped and goes to the
-rejects; the others go on. In a micro-batch a map stops after ERRORS events in a
-row that fail, for the rest of that batch.
+rejects; the others go on. In a batch a map stops after ERRORS events in a row
+that fail, for the rest of that batch. Events of many batches can be looked at
+together: a column `batch` then says which one an event is of.
 """
 
 from __future__ import annotations
@@ -136,29 +137,41 @@ def _checks(m: Map) -> dict[str, Column]:
     return {name: F.expr(test) for name, test in m.checks.items()}
 
 
-def map_rows(view: View, events: DataFrame, stops: dict[int, str] | None = None, *extra: Column) -> DataFrame:
-    """The rows of all maps, without events that fail a map's checks. stops: by a map's number the etag that it doesn't go beyond."""
+def _until(rows: DataFrame, stops: dict[int, str]) -> DataFrame:
+    """Without what comes after a stop in its batch."""
+    found = rows.sparkSession.createDataFrame(list(stops.items()), "batch long, stop string")
+    rows = rows.join(F.broadcast(found), "batch", "left")  # a row a batch that stops
+    return rows.where(F.col("stop").isNull() | (F.col("etag") <= F.col("stop"))).drop("stop")
+
+
+def map_rows(view: View, events: DataFrame, stops: dict[int, dict[int, str]] | None = None, *extra: Column) -> DataFrame:
+    """The rows of all maps, without events that fail a map's checks. stops: by a map's number, and then by batch, the etag that it doesn't go beyond."""
     parts = []
     for k, m in enumerate(view.maps):
         rows = _mapped(m, events)
         if m.checks:
             rows = tolerant(rows, _checks(m))[0]
         if stops and k in stops:
-            rows = rows.where(F.col("etag") <= stops[k])
+            rows = _until(rows, stops[k])
         parts.append(rows.select(*extra, *[F.expr(e).alias(c) for c, e in m.columns.items()]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def rejects(view: View, events: DataFrame) -> DataFrame | None:
-    """map (its number), rejected_by (the checks failed), and the event; None if no map has checks."""
-    parts = [tolerant(_mapped(m, events), _checks(m))[1].withColumn("map", F.lit(k)) for k, m in enumerate(view.maps) if m.checks]
+def rejects(view: View, events: DataFrame, stops: dict[int, dict[int, str]] | None = None) -> DataFrame | None:
+    """map (its number), rejected_by (the checks failed), and the event; None if no map has checks. stops: as for map_rows."""
+    parts = []
+    for k, m in enumerate(view.maps):
+        if m.checks:
+            rows = tolerant(_mapped(m, events), _checks(m))[1].withColumn("map", F.lit(k))
+            parts.append(_until(rows, stops[k]) if stops and k in stops else rows)
     return reduce(DataFrame.unionByName, parts).select("map", "rejected_by", *events.columns) if parts else None
 
 
-def stops(view: View, events: DataFrame, errors: int = ERRORS) -> dict[int, str]:
-    """By a map's number the etag where it has met `errors` failing events in a row. Looks at a batch's rejects and, if there are enough, at the batch's order."""
+def stops(view: View, events: DataFrame, errors: int = ERRORS) -> dict[int, dict[int, str]]:
+    """By a map's number, and then by batch, the etag where it has met `errors` failing events in a row. Looks at the rejects and, if a batch has enough, at the order in each batch."""
     from pyspark.sql import Window
 
+    order = Window.partitionBy("batch").orderBy("etag")
     out = {}
     for k, m in enumerate(view.maps):
         if not m.checks:
@@ -166,12 +179,14 @@ def stops(view: View, events: DataFrame, errors: int = ERRORS) -> dict[int, str]
         rows, bad = _mapped(m, events), F.lit(False)
         for ok in _checks(m).values():
             bad = bad | ~F.coalesce(ok, F.lit(False))
-        if rows.where(bad).limit(errors).count() < errors:
+        enough = rows.where(bad).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= errors)
+        if enough.isEmpty():
             continue
-        # one task, of a micro-batch
-        lately = Window.orderBy("etag").rowsBetween(1 - errors, 0)
-        at = rows.select("etag", F.sum(bad.cast("int")).over(lately).alias("n")).where(F.col("n") == errors).agg(F.min("etag")).first()[0]
-        if at is not None:
+        # a batch is of one task; a row's place less that of the last good one is the number of failing ones in a row
+        placed = rows.select("batch", "etag", bad.alias("bad")).withColumn("place", F.row_number().over(order))
+        good = F.max(F.when(~F.col("bad"), F.col("place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        full = placed.withColumn("n", F.col("place") - F.coalesce(good, F.lit(0))).where(F.col("n") == errors)
+        if at := {r.batch: r.at for r in full.groupBy("batch").agg(F.min("etag").alias("at")).collect()}:  # a row a batch that stops
             out[k] = at
     return out
 

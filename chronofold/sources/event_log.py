@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import etag, etag_parts, etag_text
+from ..functions.keys import etag, etag_number, etag_parts, etag_text
 from ..functions.values import ENTITY, stamped
 from .commits import CommitLog, Conflict
 
@@ -113,12 +114,26 @@ class EventLog:
             held, last = held + n, end
         return [*out, upto] if not out or out[-1] != upto else out
 
-    def _read(self, folders: list[dict], after: str | None = None, topic: str | None = None, upto: str | None = None) -> DataFrame:
+    def batches(self, after: str | None, cuts: list[str], most: int) -> DataFrame:
+        """The events up to the last of `cuts`, which are those of `most` after `after`, with the number of each one's part as batch."""
+        folders = self._folders(*self._state(), after)
+        ends, starts = [etag_parts(c)[1] for c in cuts], []
+        for f in folders:
+            begin = etag_parts(f["first"])[1]
+            begin = max(begin, etag_parts(after)[1] + 1) if after is not None else begin
+            starts.append((f["name"].removeprefix("commit="), bisect_left(ends, begin), begin))
+        rows = self._read(folders, after, upto=cuts[-1], names=("commit", *SCHEMA.names))
+        # a row a folder; one folder is cut into equal parts from its first event on, or not at all
+        rows = rows.join(F.broadcast(self.spark.createDataFrame(starts, "commit string, part long, begin long")), "commit")
+        batch = F.col("part") + F.floor((etag_number(F.col("etag")) - F.col("begin")) / most)
+        return rows.select(*SCHEMA.names, batch.alias("batch"))
+
+    def _read(self, folders: list[dict], after: str | None = None, topic: str | None = None, upto: str | None = None, names: Iterable[str] = SCHEMA.names) -> DataFrame:
         wanted = [f"{self.path}/{f['name']}" for f in folders if upto is None or f["first"] <= upto]
         if not wanted:
             return self.spark.createDataFrame([], SCHEMA)
         schema = T.StructType([*SCHEMA.fields[:-1], T.StructField("commit", T.StringType()), SCHEMA["topic"]])
-        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*wanted).select(*SCHEMA.names)
+        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*wanted).select(*names)
         if after is not None:
             rows = rows.where(F.col("etag") > after)
         if upto is not None:

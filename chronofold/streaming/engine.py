@@ -2,7 +2,10 @@
 
 Each view is a streaming query of its own over the log's commits: a micro-batch is
 some commits, its events are those between the view's progress and the last etag
-committed there, and `foreachBatch` folds them in. A new view starts at the log's
+committed there, and `foreachBatch` folds them in. They are cut into batches of at
+most `events` events, and many batches are one fold, with the results that they
+give one after the other; if a fold fails, its halves are tried, so a view ends
+with the batch before the one that it can't take. A new view starts at the log's
 beginning. The query's checkpoint only says which commits have been seen; what is
 in the results, and so what a repeated batch leaves out, the state itself says.
 
@@ -30,8 +33,10 @@ from .state import BUCKETS, State
 _FOLD = str.maketrans(UPPER, LOWER)
 #: Commits in a micro-batch.
 COMMITS = 16
-#: Events that are folded in at once, at most. Each fold is a commit of the state, so this is larger than what one machine would take up at once.
+#: Events of a batch, at most: failing ones in a row are counted within a batch.
 EVENTS = 1 << 16
+#: Batches that are folded in at once, at most. Each fold is a commit of the state; the driver lists where batches end and maps stop.
+BATCHES = 1 << 12
 
 
 class Following:
@@ -50,34 +55,56 @@ class Following:
     def _start(self, **trigger) -> StreamingQuery:
         if self.query is not None and self.query.isActive:
             return self.query
+        self.query = None  # an ended one says nothing about the one that begins
 
         def take(commits: DataFrame, _: int) -> None:
             upto = commits.agg(F.max("etag")).first()[0]
             done = self.state.progress()
             if upto is not None and (done is None or upto > done):
-                for cut in self.log.cuts(done, upto, self.events):
-                    self._fold(self.log.events(after=done, upto=cut), cut)
-                    done = cut
+                cuts = self.log.cuts(done, upto, self.events)
+                for k in range(0, len(cuts), BATCHES):
+                    done = self._take(done, cuts[k : k + BATCHES])
 
         commits = self.log.spark.readStream.schema("etag string").option("maxFilesPerTrigger", COMMITS).json(f"{self.log.path}/_commits")
         writer = commits.writeStream.foreachBatch(take).option("checkpointLocation", f"{self.path}/checkpoint")
         self.query = writer.trigger(**trigger).start()
         return self.query
 
-    def _fold(self, events: DataFrame, upto: str) -> None:
+    def _take(self, done: str | None, cuts: list[str]) -> str:
+        """Fold in the batches that end at `cuts`, all at once; where that fails, by halves, down to the batch that fails."""
+        try:
+            self._fold(done, cuts)
+        except Exception:
+            stopped = self.query is not None and not self.query.isActive
+            if len(cuts) == 1 or stopped or self.state.progress() != done:
+                raise
+            half = len(cuts) // 2
+            self._take(self._take(done, cuts[:half]), cuts[half:])
+        return cuts[-1]
+
+    def _fold(self, done: str | None, cuts: list[str]) -> None:
+        upto = cuts[-1]
+        if not any(m.checks for m in self.view.maps):
+            self.state.fold(self.log.events(after=done, upto=upto), upto)
+            return
+        for name in self._rejected():  # of a fold that didn't end
+            if done is None or name > f"upto={done}":
+                self.log.commits.delete(f"{self.path}/rejects/{name}")
+        events = self.log.batches(done, cuts, self.events)
         stops = mapreduce.stops(self.view, events, self.errors)
-        rejected = mapreduce.rejects(self.view, events)
-        if rejected is not None:  # a repeated batch writes the same folder again
-            for k, at in stops.items():
-                rejected = rejected.where((F.col("map") != k) | (F.col("etag") <= at))
-            rejected.write.mode("overwrite").parquet(f"{self.path}/rejects/upto={upto}")
+        mapreduce.rejects(self.view, events, stops).drop("batch").write.mode("overwrite").parquet(f"{self.path}/rejects/upto={upto}")
         self.state.fold(events, upto, stops)
 
+    def _rejected(self) -> list[str]:
+        return sorted(self.log.commits.folders(f"{self.path}/rejects", "upto="))
+
     def rejects(self) -> DataFrame | None:
         """map, rejected_by, etag, ts, data, topic of the events that a map's checks kept out; None if no map has checks, or before the first batch."""
-        if not any(m.checks for m in self.view.maps) or not self.log.commits.has(f"{self.path}/rejects"):
+        done = self.progress()
+        found = [f"{self.path}/rejects/{name}" for name in self._rejected() if done is not None and name <= f"upto={done}"]
+        if not found or not any(m.checks for m in self.view.maps):
             return None
-        return self.log.spark.read.parquet(f"{self.path}/rejects").drop("upto")
+        return self.log.spark.read.parquet(*found)
 
     def start(self, interval: str = "1 second") -> StreamingQuery:
         """Follow the log until stopped."""
@@ -131,7 +158,7 @@ class Following:
 
 
 class Engine:
-    """events, errors, buckets: of each view, the events folded in at once, the failing ones in a row that stop a map, and the parts that its results lie in."""
+    """events, errors, buckets: of each view, the events of a batch, the failing ones in a row that stop a map in it, and the parts that its results lie in."""
 
     def __init__(self, spark: SparkSession, path: str, events: int = EVENTS, errors: int = ERRORS, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")

@@ -41,8 +41,8 @@ class State:
         paths = [f"{self.path}/{name}/bucket={b}" for b, name in folders.items()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def fold(self, events: DataFrame, upto: str, stops: dict[int, str] | None = None) -> None:
-        """Take up events, all later than the progress, up to `upto`. stops: by a map's number the etag that it doesn't go beyond."""
+    def fold(self, events: DataFrame, upto: str, stops: dict[int, dict[int, str]] | None = None) -> None:
+        """Take up events, all later than the progress, up to `upto`. stops: by a map's number, and then by batch, the etag that it doesn't go beyond."""
         number, last = self._last()
         self.buckets = last["buckets"]
         bucket = F.pmod(F.xxhash64("reduce_key"), F.lit(self.buckets)).cast("int")

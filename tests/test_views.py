@@ -234,6 +234,51 @@ def test_bad_events_go_to_the_rejects(spark, tmp_path, bad, at_once, total, reje
         assert run(NUMBERS, engine.log.events()).first().Sum == total
 
 
+def test_many_batches_are_one_fold(spark, tmp_path):
+    """6 appends in batches of 10: one commit, with what the batches give one after the other, each map stopping in a batch after 3 failing events of its own."""
+    n = "get_json_object(data, '$.n')"
+    maps = tuple(Map({"Key": f"'{t or 'all'}'", "Sum": f"CAST({n} AS BIGINT)"}, t, checks={"number": f"try_cast({n} AS BIGINT) IS NOT NULL"}) for t in (None, "a"))
+    engine = Engine(spark, str(tmp_path / "db"), events=10, errors=3)
+    view = engine.create(View("Parts", maps, {"Key": "Key", "Sum": "sum(Sum)"}, "Key"))
+    texts = ["x" if i % 37 in (3, 4, 5, 11, 12, 13, 14, 20, 22, 24, 29, 30, 31, 32) else "1" for i in range(100)]
+    topics = ["ab"[i % 2] for i in range(100)]
+    for lo, hi in [(0, 3), (3, 7), (7, 9), (9, 48), (48, 49), (49, 100)]:
+        rows = spark.createDataFrame([(k, topics[k], json.dumps({"n": texts[k]})) for k in range(lo, hi)], "k long, topic string, data string")
+        last = engine.append("", rows.repartition(1).sortWithinPartitions("k").select("topic", "data"))
+    ends = [number_of(c) for c in engine.log.cuts(None, last, 10)]
+    total, out = {"all": 0, "a": 0}, []
+    for low, high in zip([0, *ends], ends):
+        for m, key in enumerate(total):
+            row = 0
+            for k in range(low, high):
+                if row < 3 and (m == 0 or topics[k] == "a"):
+                    row = row + 1 if texts[k] == "x" else 0
+                    total[key] += texts[k] == "1"
+                    out += [(m, k + 1)] * (texts[k] == "x")
+    view.catch_up()
+    assert view.state.commits.last()[0] == 1 and view.progress() == last
+    assert {r.reduce_key: r.Sum for r in view.results().collect()} == total
+    assert sorted((r.map, number_of(r.etag)) for r in view.rejects().collect()) == sorted(out)
+    assert any(total[k] < sum(t == "1" and (k == "all" or p == "a") for t, p in zip(texts, topics)) for k in total)
+    labelled = engine.log.batches(None, engine.log.cuts(None, last, 10), 10).collect()
+    assert {number_of(r.etag): r.batch for r in labelled} == {k: sum(e < k for e in ends) for k in range(1, 101)}
+
+
+def number_of(text):
+    return int(text.replace("-", "")[16:], 16)
+
+
+def test_a_view_ends_with_the_batch_before_the_one_that_fails(spark, tmp_path):
+    checked = Map({"Sum": "CAST(get_json_object(data, '$.n') AS BIGINT)"}, checks={"there": "get_json_object(data, '$.n') != 'x'"})
+    engine = Engine(spark, str(tmp_path / "db"), events=5)
+    view = engine.create(View("Ends", (checked,), {"Sum": "sum(Sum)"}, "1"))
+    engine.append("t", [json.dumps({"n": {3: "x", 12: "y", 13: "x", 18: "x"}.get(i, 1)}) for i in range(30)])
+    with pytest.raises(Exception):
+        view.catch_up()
+    assert number_of(view.progress()) == 10 and view.state.results().first().Sum == 9
+    assert [number_of(r.etag) for r in view.rejects().collect()] == [4]
+
+
 def test_batches_are_cut_by_events(spark, tmp_path):
     log = EventLog(spark, str(tmp_path / "log"))
     etags = [log.append("t", ["{}"] * n) for n in (3, 4, 25, 1)]
